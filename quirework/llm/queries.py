@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import langid, mixing, topk, toxicity
+from quirework.llm import jaccard, langid, mixing, topk, toxicity
 from quirework.llm._text import bucket
 from quirework.llm.token_counts import token_counts
 
@@ -44,6 +44,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.links(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2:3].isdigit()}
 
