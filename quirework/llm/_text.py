@@ -7,6 +7,8 @@ taken modulo 2**64 and finalised; two different bases give a 128-bit name.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,6 +90,15 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 3
             to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system; reused workers would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Words:

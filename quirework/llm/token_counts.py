@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,9 +33,9 @@ ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0530-\u200f\u2070-\U0010ffff]
 HEAD, HEAD_ROWS = 1 << 17, 4000
 
 
-def splitter(tokenizer):
+def splitter(vocabulary: str, specials: list[str]):
     """A function text -> Counter of pre-tokens; special strings are kept whole."""
-    specials, own, find = special_strings(tokenizer), tokenizer.pre_tokenizer.pre_tokenize_str, COMMON.findall
+    find = COMMON.findall
     parts = re.compile("|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)) or r"(?!)")
 
     def split(text: str) -> Counter:
@@ -44,7 +45,7 @@ def splitter(tokenizer):
                 out.update(split(part))
             return out
         if ODD.search(text):
-            return Counter(text[a:b] for _, (a, b) in own(text))
+            return Counter(text[a:b] for _, (a, b) in load(vocabulary).pre_tokenizer.pre_tokenize_str(text))
         return Counter(find(text))
 
     return split
@@ -54,6 +55,7 @@ def special_strings(tokenizer) -> list[str]:
     return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
 
+@lru_cache(1)
 def load(path: str):
     from tokenizers import Tokenizer
 
@@ -71,11 +73,11 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     """
     spark, kind = docs.sparkSession, type_of(docs, id_col)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = docs.count()
+    rows, specials = docs.count(), special_strings(load(vocabulary))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, total = splitter(load(vocabulary)), Counter()
-        for batch in batches:
+        split, total = splitter(vocabulary, specials), Counter()
+        for batch in pieces(batches, limit=1 << 20):
             for text in batch.column(0).to_pylist():
                 total.update(split(text or ""))
         top = total.most_common(head)
@@ -86,7 +88,7 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     known = spark.sparkContext.broadcast(dict(zip(words, count_pieces(load(vocabulary), words), strict=True)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, have = splitter(load(vocabulary)), known.value
+        split, have = splitter(vocabulary, specials), known.value
         for batch in pieces(batches, limit=1 << 20):
             ids, keys, counts, sizes, of = [], [], [], [], batch.column(0)
             for row, text in enumerate(batch.column(1).to_pylist()):
