@@ -14,7 +14,7 @@ above the threshold.  A hit is then verified: the words of the item's question a
 its answer (split after a question mark or before "answer:", else after two thirds of
 the words) must each be found in the passage to at least ``overlap``.
 
-Words are runs of letters and digits, with A-Z lowered.
+Words are runs of letters and digits, in lower case.
 
 Defined cases: null and empty texts hold nothing; items with fewer than ``least_words``
 words can't be told from chance and are never reported; equal items are each reported;
@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._text import LOWER, U, Words, pieces, type_of
+from quirework.llm._text import U, Words, pieces, type_of
 
 K1, B, POSTINGS = 1.2, 0.75, 32
 BLOCK_ITEMS = 20000
@@ -43,7 +44,7 @@ GAP[128:] = False
 
 
 def item_words(texts: list[str | None]) -> list[list[bytes]]:
-    w = Words(pa.array(texts, pa.string()), LOWER, GAP)
+    w = Words(pc.utf8_lower(pa.array(texts, pa.string())), space=GAP)
     raw = w.bytes.tobytes()
     spans = [raw[a:b] for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
     return [spans[w.rows[i] : w.rows[i + 1]] for i in range(len(texts))]
@@ -72,7 +73,7 @@ class Index:
         names = sorted({t for b in self.bags for t in b})
         number = {t: i for i, t in enumerate(names)}
         postings: list[list[tuple[int, float]]] = [[] for _ in names]
-        needed: dict[int, float] = {}
+        needed: list[list[tuple[int, float]]] = [[] for _ in names]
         for i, bag in enumerate(self.bags):
             raw = {t: idf_of(t) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words[i]) / mean_length)) for t, n in bag.items()}
             own = sum(raw.values()) or 1.0
@@ -82,16 +83,19 @@ class Index:
                 if x / own <= spare:
                     spare -= x / own
                 else:
-                    needed[number[t]] = max(needed.get(number[t], 0.0), x / own)
+                    needed[number[t]].append((i, x / own))
         self.items = [np.asarray([p for p, _ in x], np.int64) for x in postings]
         self.weights = [np.asarray([w for _, w in x]) for x in postings]
         self.tops = [[float(w[k : k + POSTINGS].max()) for k in range(0, len(w), POSTINGS)] for w in self.weights]
         self.top = [max(t) for t in self.tops]
         self.names = names
-        hashes = Words(pa.array([n.decode("utf-8", "replace") for n in names], pa.string()), LOWER, GAP).hashes() if names else np.zeros(0, U)
+        hashes = Words(pa.array([n.decode("utf-8", "replace") for n in names], pa.string()), space=GAP).hashes() if names else np.zeros(0, U)
         order = np.argsort(hashes)
         self.hashes, self.term = hashes[order], order
-        self.bound = np.asarray([needed.get(t, 0.0) for t in range(len(names))])
+        # postings of the telling terms of each item, one after the other
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in needed])]).astype(np.int64)
+        self.telling = np.asarray([i for x in needed for i, _ in x], np.int64)
+        self.gain = np.asarray([w for x in needed for _, w in x])
 
     def terms(self, h: np.ndarray) -> np.ndarray:
         """Term number of each hash, -1 for words of no item."""
@@ -151,9 +155,8 @@ class Index:
 
     def passages(self, array: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
         """(row, item, score, question overlap, answer overlap) of every verified or rejected hit."""
-        words = Words(array, LOWER, GAP)
+        words = Words(pc.utf8_lower(array), space=GAP)
         term = self.terms(words.hashes())
-        gain = np.concatenate([[0.0], np.cumsum(np.where(term >= 0, self.bound[np.maximum(term, 0)], 0.0))]) if len(self.bound) else np.zeros(len(term) + 1)
         # passages start at every multiple of the longest item within a row
         many = np.maximum(1, -(-words.counts // self.longest) - 1)
         many[words.counts == 0] = 0
@@ -161,14 +164,24 @@ class Index:
         k = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
         start = words.rows[row] + k * self.longest
         end = np.minimum(start + 2 * self.longest, words.rows[row + 1])
-        likely = np.flatnonzero(gain[end] - gain[start] >= self.threshold / 2 - 1e-9)
+        # (passage, telling term) of every word; a word lies in its own passage and the one before
+        at = np.flatnonzero(term >= 0)
+        at = at[np.diff(self.first)[term[at]] > 0]
+        where = np.searchsorted(words.rows, at, "right") - 1
+        own = (at - words.rows[where]) // self.longest
+        base = (np.cumsum(many) - many)[where]
+        keys = [(base + k)[good] * len(self.names) + term[at][good] for k in (own, own - 1) for good in ((k >= 0) & (k < many[where]),)]
+        key = np.unique(np.concatenate(keys))
+        passage, t = key // max(1, len(self.names)), key % max(1, len(self.names))
+        n = self.first[t + 1] - self.first[t]
+        post = np.repeat(self.first[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pair, inverse = np.unique(np.repeat(passage, n) * len(self.ids) + self.telling[post], return_inverse=True)
+        likely = np.unique(pair[np.bincount(inverse, weights=self.gain[post], minlength=len(pair)) >= self.threshold / 2 - 1e-9] // len(self.ids)) if len(pair) else []
         raw = words.bytes
         for p in likely:
             a, b = int(start[p]), int(end[p])
             have = np.unique(term[a:b])
             have = have[have >= 0]
-            if self.bound[have].sum() < self.threshold / 2 - 1e-9:
-                continue
             hits = self.search(have.tolist())
             if hits:
                 bag = Counter(raw[x:y].tobytes() for x, y in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist(), strict=True))
@@ -182,7 +195,7 @@ def indexes(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text"
     total = rows.count()
     many = max(1, math.ceil(total / block_items))
     numbered = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(many)))
-    token = F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+", " ")), " ")))
+    token = F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), "[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+", " ")), " ")))
     frequency = rows.select(token.alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     length = F.size(F.split(F.trim(F.regexp_replace("text", "[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+", " ")), " "))
     mean = (rows.agg(F.avg(length)).first()[0]) or 1.0
