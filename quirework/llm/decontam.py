@@ -236,3 +236,19 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
         out = spark.createDataFrame([], schema)
     best = out.groupBy("id", "item").agg(*[F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
     return best.withColumnsRenamed({"id": id_col, "item": item_col})
+
+
+def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.6, overlap: float = 0.75, least_words: int = 8, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows of docs that hold no item, without moving a text."""
+    at = docs.columns.index(text_col)
+    for index in indexes(items, id_col=item_col, text_col=item_text_col, threshold=threshold, least_words=least_words, block_items=block_items):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = sent.value
+            for batch in pieces(batches, text_col):
+                bad = {h[0] for h in index.passages(batch.column(at)) if h[3] >= overlap and h[4] >= overlap}
+                yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)])) if bad else batch
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

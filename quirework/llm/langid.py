@@ -167,13 +167,15 @@ class Profiles:
 def identify(docs: DataFrame, profiles: dict[str, list[int]], *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (the id unless given) with lang_pred and score for every row."""
     keep = keep or [id_col]
+    read = [*keep, *([] if text_col in keep else [text_col])]
+    at = read.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
     fields = ", ".join(f"`{c}` {type_of(docs, c)}" for c in keep)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(sent.value, size)
-        for batch in pieces(batches, "_text", 1 << 20):
-            langs, score = model.predict(batch.column(len(keep)).to_pylist())
+        for batch in pieces(batches, text_col, 1 << 20):
+            langs, score = model.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return docs.select(*read).mapInArrow(predict, f"{fields}, lang_pred string, score double")

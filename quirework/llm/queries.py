@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import decontam, jaccard, langid, mixing, ngram_lm, substring_dedup, topk, toxicity
+from quirework.llm import decontam, jaccard, langid, mixing, ngram_lm, pii, substring_dedup, topk, toxicity
 from quirework.llm._text import bucket
 from quirework.llm.token_counts import token_counts
 
@@ -33,6 +33,11 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (bucket(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), where=bucket(F.col("doc_id"), 5) != 0)
