@@ -24,9 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirework.llm._text import checkpointed
+
 #: A word, the weights in turn, the share of all words, the largest multiple of a source, bins a level.
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS, SHARE, MOST, BINS = (5, 2, 1), 1.5, 2, 4096
+#: Facts of at most so many sources (a few kilobytes each thousand) go to every task; more are joined by a shuffle.
+FEW_SOURCES = 10_000
 
 
 def words_in(text: Column) -> Column:
@@ -54,8 +58,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """(id, size, source_size, target, copies, taken) of every row, and the ``carry`` columns."""
     carry = [c for c in carry or [] if c not in (id_col, "size", "source_size", "target", "copies", "taken")]
     base = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_c_{c}") for c in carry])
-    slim = base.select("_id", "source", "size")
+    # the words are counted once; the search for the cut then reads ids, sources and sizes only
+    slim = checkpointed(base.select("_id", "source", "size"))
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    few = sizes.count() <= FEW_SOURCES
     plan = targets(sizes, weights=weights, share=share, most=most)
     plan = plan.withColumn("sure", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     plan = plan.withColumn("left", F.when(F.col("source_size") > 0, F.col("target") - F.col("sure") * F.col("source_size")).otherwise(F.lit(0.0)))
@@ -63,7 +69,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     plan = plan.withColumn("long", 4.0 * F.col("source_size") / F.col("rows"))
 
     def ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
-        out = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+        out = rows.join(F.broadcast(plan) if few else plan, rows["source"].eqNullSafe(plan["source"])).drop(plan["source"])
         digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("_id").cast("string"), F.lit("")))), 1, 12)
         u = (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 48)
         p = F.least(F.greatest(F.col("r") * F.least(F.lit(1.0), F.col("long") / F.greatest(F.col("size"), F.lit(1))), F.lit(1e-9)), F.lit(1 - 1e-9))
@@ -82,7 +88,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     all_rows = ranked(slim, plan)
     first = edge(all_rows, "coarse", None).select(F.col("source").alias("s1"), F.col("over").alias("at"), F.col("fits").alias("fits1"))
-    near = all_rows.join(first, F.col("source").eqNullSafe(F.col("s1"))).where("coarse = at")
+    near = all_rows.join(F.broadcast(first) if few else first, F.col("source").eqNullSafe(F.col("s1"))).where("coarse = at")
     second = edge(near, "spot", F.col("fits1")).select(F.col("source").alias("s2"), F.col("over").alias("spot_over"), F.col("fits").alias("fits2"))
     cut = first.join(second, F.col("s1").eqNullSafe(F.col("s2")), "left").select(F.col("s1").alias("s"), F.coalesce("spot_over", F.lit(BINS * BINS)).alias("stop"), F.coalesce("fits2", "fits1").alias("fits"))
     plan = plan.join(cut, plan["source"].eqNullSafe(cut["s"])).drop("s").withColumn("gap", F.col("left") - F.col("fits"))
@@ -90,7 +96,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     outside = ranked(slim, plan).where((F.col("spot") >= F.col("stop")) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
     close = outside.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("d"), F.col("spot"), F.col("_id"))).alias("c"))
     plan = plan.join(close.select(F.col("source").alias("s3"), F.col("c._id").alias("closing"), F.lit(True).alias("has")), plan["source"].eqNullSafe(F.col("s3")), "left").drop("s3")
-    out = ranked(base, plan)
+    out = ranked(base if carry else slim, plan)
     extra = (F.col("spot") < F.col("stop")) | (F.coalesce("has", F.lit(False)) & F.col("_id").eqNullSafe(F.col("closing")) & (F.col("size") > 0))
     copies = F.least(F.col("sure") + F.when(extra & (F.col("r") > 0), 1).otherwise(0), F.lit(most))
     out = out.withColumn("copies", copies.cast("long"))
