@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,14 +155,14 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder the session names.
+    """Cut the lineage: write a table to the shared folder the session names and read it.
 
     Only where ``spark.checkpoint.dir`` is unset, as in tests on one machine, is a
-    folder of this machine taken.
+    folder of this machine taken.  The tables stay until that folder is emptied.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/quirework-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
