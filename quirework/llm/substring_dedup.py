@@ -41,7 +41,8 @@ from quirework.llm._text import U, Words, checkpointed, mix, pieces, powers, rel
 #: Longest name after each round; words on which a boundary's survival depends: 1 + 2 + 4 + 6.
 CAPS = (2, 4, 6, 10)
 REACH = 1 + sum(CAPS[:-1])
-SHARD_WORDS = 6_000_000
+#: Words a shard at most, and shards at least: a document's positions come back in one row a shard.
+SHARD_WORDS, LEAST_SHARDS = 6_000_000, 64
 
 
 def least_width() -> int:
@@ -171,7 +172,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     facts = checkpointed(facts.groupBy("id").agg(F.min(F.struct("n", "c1", "c2", "sha")).alias("f")).select("id", "f.*"))
     classes = facts.where(F.col("n") >= width).groupBy("n", "c1", "c2").agg(F.min(F.struct("id")).alias("rep"), F.count(F.lit(1)).alias("copies"))
     total = facts.agg(F.sum("n")).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / SHARD_WORDS))
+    shards = max(LEAST_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / SHARD_WORDS))
 
     def name_boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
