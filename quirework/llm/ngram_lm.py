@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from quirework.llm._text import LOWER, U, Words, checkpointed, mix, pieces, release, type_of
 from quirework.llm.elias_fano import Trie
 
-#: Frequent words with an entry of their own in pairs, strength of the prior, bytes of a batch, tokens a shard.
-HEAD, STRENGTH, BATCH, SHARD_TOKENS = 1 << 17, 300.0, 6 << 20, 4_000_000
+#: Frequent words with an entry of their own in pairs, strength of the prior, bytes of a batch, tokens a shard, shards at least.
+HEAD, STRENGTH, BATCH, SHARD_TOKENS, LEAST_SHARDS = 1 << 17, 300.0, 6 << 20, 4_000_000, 64
 END = U(0x454E442D4F462121)
 SALT = 64
 
@@ -87,7 +87,7 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
     spark, kind = docs.sparkSession, type_of(docs, id_col)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     size = base.where("train").agg(F.sum(F.length("text")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size.n or 0) / 6 / SHARD_TOKENS))
+    shards = max(LEAST_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size.n or 0) / 6 / SHARD_TOKENS))
 
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, limit=BATCH):
