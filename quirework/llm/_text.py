@@ -78,7 +78,7 @@ def column_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of batches with about ``limit`` bytes of text, so that memory stays bounded."""
     for batch in batches:
         if not batch.num_rows:

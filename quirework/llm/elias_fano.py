@@ -11,7 +11,7 @@ U = np.uint64
 
 def _pack(bits: np.ndarray) -> np.ndarray:
     """Little-endian bits as 64-bit words, with a spare word."""
-    data = np.packbits(bits.astype(np.uint8), bitorder="little")
+    data = np.packbits(bits, bitorder="little")
     out = np.zeros((len(data) + 7) // 8 + 1, U)
     out.view(np.uint8)[: len(data)] = data
     return out
@@ -41,7 +41,9 @@ class EliasFano:
         self.bound = max(int(bound), 1)
         self.bits = max(0, (self.bound // max(n, 1)).bit_length() - 1)
         v = np.asarray(values, U)
-        cells = (v[:, None] >> np.arange(self.bits, dtype=U)) & U(1)
+        cells = np.zeros((n, self.bits), bool)
+        for k in range(self.bits):
+            cells[:, k] = (v >> U(k)) & U(1)
         self.low = _pack(cells.ravel()) if self.bits else np.zeros(2, U)
         self.buckets = (self.bound >> self.bits) + 1
         marks = np.zeros(n + self.buckets + 1, bool)
