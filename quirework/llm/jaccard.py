@@ -1,9 +1,12 @@
 """Similarity join on word n-gram sets by token-combination prefixes.
 
 Two documents link when their sets' Jaccard similarity reaches num / den.  The tokens
-(hashes of shingles) have one order for all documents: rare ones by hash, then
-frequent ones by how frequent a bounded sample found them.  The order decides speed
-only; any order gives the same links.
+(hashes of shingles) have one order for all documents: of those in the lowest ``SPAN``
+of the hash range, first the ones that no other document has, then the others, by hash
+(frequent ones of a bounded sample last); then all tokens above, by hash.  The order
+decides speed only; any order gives the same links.  Which tokens of the span are in
+two documents is found by dealing them to shards, in one packed row a batch and shard.
+A document with enough tokens of its own needs no signature at all.
 
 If two sets of n and m tokens link, their prefixes of n - ceil(t n) + l and
 m - ceil(t m) + l tokens share l tokens.  Prefixes are extended by l = B + 1, where B
@@ -36,7 +39,15 @@ from pyspark.sql import functions as F
 
 from quirework.llm._text import LOWER, U, Words, checkpointed, keep_fraction, mix, pieces, signed, window_hash
 from quirework.llm.components import components
-
+from quirework.llm.substring_dedup import packed, shared_positions
+
+#: Part of the hash range for which it is found out whether a token is shared.
+SPAN = 0.3
+LIMIT = U(int(SPAN * (1 << 64)))
+#: Ids of texts to compare that every task may hold (8 bytes each); more are joined by a shuffle.
+FEW_TEXTS = 200_000
+#: Tokens of the span a shard at most, and shards at least.
+SHARD_TOKENS, LEAST_SHARDS = 2_000_000, 64
 #: Documents sampled to find frequent tokens; in how many of them a frequent token is at least; most frequent tokens kept; tokens a part.
 SAMPLE, FREQUENT, HEAD, PART = 4000, 6, 1 << 16, 6
 BUCKETS = 256
@@ -75,35 +86,45 @@ def label_of(n: int, num: int, den: int) -> int:
     return k
 
 
+def short(x: np.ndarray, shards: int) -> np.ndarray:
+    """The name of a token as the exchange has it: 48 bits and the shard."""
+    held = ((x >> U(16)) & U(0xFFFFFFFF)) << U(16) | x >> U(48)
+    return mix(held ^ ((x % U(shards)) << U(48)))
+
+
+def reach(n: int, num: int, den: int) -> tuple[int, int, list[int]]:
+    """Slack n - ceil(t n), size class and parts under both classes of a set of n tokens."""
+    label = label_of(n, num, den)
+    return n - -(-num * n // den), label, [int(parts_of(k, num, den)) for k in (label, label + 1)]
+
+
 class Indexer:
     """Signatures of sets."""
 
     def __init__(self, frequent: np.ndarray, num: int, den: int):
-        # frequent: hashes, the least frequent first
+        # frequent: short names, the least frequent first
         self.num, self.den = num, den
         order = np.argsort(frequent)
         self.keys, self.place = frequent[order], order.astype(np.int64)
 
-    def signatures(self, x: np.ndarray) -> np.ndarray:
-        n, num, den = len(x), self.num, self.den
-        if not n:
+    def signatures(self, n: int, alone: int, x: np.ndarray) -> np.ndarray:
+        """n: tokens of the set; alone: tokens at its head that no other has; x: short names of the next ones."""
+        slack, label, parts = reach(n, self.num, self.den)
+        take = slack + 1 + max(parts) - alone
+        if take <= 0 or not len(x):
             return np.zeros(0, U)
         if len(self.keys):
             i = np.searchsorted(self.keys, x)
             i[i == len(self.keys)] = 0
             often = self.keys[i] == x
         else:
-            often = np.zeros(n, bool)
+            i, often = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         rare = x[~often]
-        slack = n - -(-num * n // den)
-        label = label_of(n, num, den)
-        parts = [int(parts_of(k, num, den)) for k in (label, label + 1)]
-        take = slack + 1 + max(parts)
         out = [mix(rare[:take] + U(1))]
         if take > len(rare) and often.any():
             common = x[often][np.argsort(self.place[i[often]], kind="stable")]
             for k, b in zip((label, label + 1), parts, strict=True):
-                held = common[: max(0, slack + 1 + b - len(rare))]
+                held = common[: max(0, slack + 1 + b - alone - len(rare))]
                 part = (mix(held + U(7)) % U(b)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 held, part = held[order], part[order]
@@ -135,36 +156,73 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
 
     sample = base.where(keep_fraction(F.col("id"), min(1.0, SAMPLE / max(total, 1)), "frequent")).select("text")
     often = sample.mapInArrow(sampled, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(HEAD).collect()
-    frequent = docs.sparkSession.sparkContext.broadcast(np.asarray([r.token for r in reversed(often)], np.int64).view(U))
+    often = np.asarray([r.token for r in reversed(often)], np.int64).view(U)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexer = Indexer(frequent.value, num, den)
+    totals = base.agg(F.sum(F.length("text")).alias("n")).first()
+    shards = max(LEAST_SHARDS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((totals.n or 0) / 6 * SPAN / SHARD_TOKENS))
+
+    frequent = docs.sparkSession.sparkContext.broadcast(short(often, shards))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets, _ = shingle_sets(batch.column(1), width)
-            sigs = [indexer.signatures(x) for x in sets]
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
+            span = [int(np.searchsorted(x, LIMIT)) for x in sets]
+            # tokens above the span that a prefix may reach
+            rest = [x[k : max(k, sum((r := reach(len(x), num, den))[:1]) + 1 + max(r[2]))] if len(x) else x for x, k in zip(sets, span, strict=True)]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in rest])]).astype(np.int32)
             one = np.asarray([mix(x).sum(dtype=U) for x in sets], U)
             two = np.asarray([mix(x + U(0x51ED27)).sum(dtype=U) for x in sets], U)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(np.asarray([len(x) for x in sets], np.int64)), pa.array(signed(one)), pa.array(signed(two)),
-                pa.array([bucket_counts(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(sigs)))),
-            ], ["id", "n", "c1", "c2", "counts", "sigs"])
+                batch.column(0), pa.array(np.asarray([len(x) for x in sets], np.int64)), pa.array(signed(one)), pa.array(signed(two)), pa.array(span, pa.int32()),
+                pa.array([bucket_counts(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(short(np.concatenate(rest), shards)))),
+            ], ["id", "n", "c1", "c2", "span", "counts", "rest"])
 
-    indexed = checkpointed(base.mapInArrow(index, f"id {kind}, n long, c1 long, c2 long, counts binary, sigs array<long>"))
-    ids = indexed.select("id", "n", "c1", "c2")
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sets, _ = shingle_sets(batch.column(1), width)
+            low = [x[: np.searchsorted(x, LIMIT)] for x in sets]
+            first = np.cumsum([len(x) for x in low]) - [len(x) for x in low]
+            key = np.concatenate(low)
+            if len(key):
+                yield packed(batch.column(0), first, np.arange(len(key)), key, None, shards)
+
+    described = checkpointed(base.mapInArrow(describe, f"id {kind}, n long, c1 long, c2 long, span int, counts binary, rest array<long>"))
+    ids = described.select("id", "n", "c1", "c2")
     reps = ids.where("n > 0 and id is not null").groupBy("n", "c1", "c2").agg(F.min("id").alias("rep"))
     members = reps.select("rep").distinct()
-    kept = indexed.join(members, indexed["id"] == members["rep"], "left_semi")
-    sigs = kept.select("id", F.explode("sigs").alias("sig"))
-    groups = sigs.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("sig", "low")
+    kept = described.join(members, described["id"] == members["rep"], "left_semi").dropDuplicates(["id"])
+    facts = kept.select("id", "n", "counts")
+    blob = f"shard int, ids array<{kind}>, first binary, at binary, k0 binary, k1 binary, k2 binary"
+    known = shared_positions(base.mapInArrow(send, blob), shards, kind, names=True)
+    known = known.groupBy("id").agg(F.count(F.lit(1)).alias("parts"), F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("name")).alias("name")).drop("parts")
+    placed = kept.join(known, "id", "left").select("id", "n", "span", "rest", "at", "name")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexer = Indexer(frequent.value, num, den)
+        for batch in batches:
+            sigs = []
+            for n, span, rest, at, name in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), batch.column(5), strict=True):
+                x = rest.values.to_numpy().view(U)
+                alone = span
+                if at.is_valid:
+                    # an id that repeats may list a place twice
+                    spot, where = np.unique(at.values.to_numpy(), return_index=True)
+                    alone = span - len(spot)
+                    x = np.concatenate([name.values.to_numpy()[where].view(U), x])
+                sigs.append(indexer.signatures(n, alone, x))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate([np.zeros(0, U), *sigs]))))], ["id", "sigs"])
+
+    sigs = placed.mapInArrow(sign, f"id {kind}, sigs array<long>").select("id", F.explode("sigs").alias("sig"))
+    sigs = checkpointed(sigs)
+    # signatures with the very same members (by two 64-bit hashes of the set) say the same: one of them stays
+    groups = sigs.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("g"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("x2")).where("low < high")
+    groups = groups.groupBy("low", "high", "g", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", "low")
     shared = checkpointed(sigs.join(groups, "sig"))
     pairs = shared.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    facts = kept.select("id", "n", "counts")
-    # the texts of every member of a shared signature: written once, read by each round
-    used = shared.select("id").distinct()
-    texts = checkpointed(base.join(used, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).join(facts.dropDuplicates(["id"]), "id"))
-    tested = checkpointed(plausible(pairs, texts, num, den))
-    linked = checkpointed(verify(tested, texts, width, num, den))
+    facts = checkpointed(facts.join(shared.select("id").distinct(), "id", "left_semi"))
+    tested = checkpointed(plausible(pairs, facts, num, den))
+    linked = checkpointed(verify(tested, base, width, num, den))
     comp = components(linked)
     at = 1
     while True:
@@ -174,25 +232,25 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
         open_ = checkpointed(placed.join(mixed, "sig").withColumn("i", F.row_number().over(Window.partitionBy("sig").orderBy("id"))))
         if not open_.limit(1).count():
             break
-        step = open_.select("sig", F.col("id").alias("a"), F.col("comp").alias("ca"), "i", "g").withColumn("j", F.explode(F.sequence(F.col("i") + at, F.col("i") + 2 * at - 1))).where("j <= g")
+        step = open_.select("sig", F.col("id").alias("a"), F.col("comp").alias("ca"), "i", "g").withColumn("j", F.explode(F.sequence(F.col("i") + at, F.col("i") + 4 * at - 1))).where("j <= g")
         other = open_.select("sig", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("i").alias("j"))
         new = step.join(other, ["sig", "j"]).where("ca <> cb").select("a", "b").distinct()
-        new = checkpointed(plausible(new, texts, num, den).join(tested, ["a", "b"], "left_anti"))
+        new = checkpointed(plausible(new, facts, num, den).join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(new)
-        more = checkpointed(verify(new, texts, width, num, den))
+        more = checkpointed(verify(new, base, width, num, den))
         if more.limit(1).count():
             linked = linked.union(more)
             comp = components(linked)
-        at *= 2
+        at *= 4
     of = reps.join(comp, reps["rep"] == comp["id"], "left").select("n", "c1", "c2", F.coalesce("comp", "rep").alias("comp"))
     out = ids.join(of, ["n", "c1", "c2"], "left").groupBy("id").agg(F.max("n").alias("n"), F.min("comp").alias("comp"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))
 
 
-def plausible(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+def plausible(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose sizes and bucketed counts allow a link."""
-    x = texts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ka"))
-    y = texts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("kb"))
+    x = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ka"))
+    y = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("kb"))
     sized = pairs.join(x, "a").join(y, "b").where((den * F.least("na", "nb")) >= (num * F.greatest("na", "nb")))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +267,11 @@ def plausible(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFra
     return sized.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(bound, f"a {kind}, b {kind}")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def verify(pairs: DataFrame, base: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose sets link, by the texts themselves."""
+    used = checkpointed(pairs.select(F.col("a").alias("used")).union(pairs.select(F.col("b"))).distinct())
+    few = used.count() <= FEW_TEXTS
+    texts = base.join(F.broadcast(used) if few else used, base["id"] == used["used"], "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     x, y = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

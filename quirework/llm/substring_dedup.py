@@ -85,8 +85,8 @@ def anchors(words: Words, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return b[(b - words.rows[:-1][rows[b]] >= REACH) & (words.rows[1:][rows[b]] - b >= REACH)]
 
 
-def shared_positions(sent: DataFrame, shards: int, kind: str) -> DataFrame:
-    """(id, at): positions whose key occurs twice; sent: (shard, ids, first, at, k0, k1)."""
+def shared_positions(sent: DataFrame, shards: int, kind: str, names: bool = False) -> DataFrame:
+    """(id, at): positions whose key occurs twice, and the keys' names if asked; sent: what ``packed`` makes."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -120,12 +120,16 @@ def shared_positions(sent: DataFrame, shards: int, kind: str) -> DataFrame:
                 continue
             row = np.searchsorted(first, hit, "right") - 1
             some, begin = np.unique(row, return_index=True)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(hit)).astype(np.int32)), pa.array((hit - first[row]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), lists], ["id", "at"])
+            ends = pa.array(np.append(begin, len(hit)).astype(np.int32))
+            columns = [ids.take(pa.array(some)), pa.ListArray.from_arrays(ends, pa.array((hit - first[row]).astype(np.int32)))]
+            if names:
+                name = mix(k0[done - n : done] ^ (k1[done - n : done] << U(48)))[twice[done - n : done]]
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(name.view(np.int64))))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "at", *["name"] * names])
         del rows, k0, k1, order, a, b
         release()
 
-    return sent.repartition(shards, "shard").mapInArrow(meet, f"id {kind}, at array<int>")
+    return sent.repartition(shards, "shard").mapInArrow(meet, f"id {kind}, at array<int>" + ", name array<long>" * names)
 
 
 def packed(ids: pa.Array, first: np.ndarray, at: np.ndarray, key: np.ndarray, second: np.ndarray | None, shards: int) -> pa.RecordBatch:
