@@ -1,12 +1,12 @@
 """Similarity join on word n-gram sets by token-combination prefixes.
 
 Two documents link when their sets' Jaccard similarity reaches num / den.  The tokens
-(hashes of shingles) have one order for all documents: of those in the lowest ``SPAN``
-of the hash range, first the ones that no other document has, then the others, by hash
-(frequent ones of a bounded sample last); then all tokens above, by hash.  The order
-decides speed only; any order gives the same links.  Which tokens of the span are in
-two documents is found by dealing them to shards, in one packed row a batch and shard.
-A document with enough tokens of its own needs no signature at all.
+(hashes of shingles) have one order for all documents: the more documents have one, the
+later it comes.  Counts come from dealing tokens to shards, in one packed row a batch
+and shard, in two passes.  The first counts the tokens in the lowest ``SPAN`` of the
+hash range over all documents.  A document whose prefix can be filled with tokens that
+no other document has can link with nothing and leaves; the second pass counts all
+tokens of the rest, one document of each class of equal sets, against each other.
 
 If two sets of n and m tokens link, their prefixes of n - ceil(t n) + l and
 m - ceil(t m) + l tokens share l tokens.  Prefixes are extended by l = B + 1, where B
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.llm._text import LOWER, U, Words, checkpointed, keep_fraction, mix, pieces, signed, window_hash
+from quirework.llm._text import LOWER, U, Words, checkpointed, mix, pieces, signed, window_hash
 from quirework.llm.components import components
 from quirework.llm.substring_dedup import packed, shared_positions
 
@@ -48,8 +48,8 @@ LIMIT = U(int(SPAN * (1 << 64)))
 FEW_TEXTS = 200_000
 #: Tokens of the span a shard at most, and shards at least.
 SHARD_TOKENS, LEAST_SHARDS = 2_000_000, 64
-#: Documents sampled to find frequent tokens; in how many of them a frequent token is at least; most frequent tokens kept; tokens a part.
-SAMPLE, FREQUENT, HEAD, PART = 4000, 6, 1 << 16, 6
+#: In how many documents a frequent token is at least, and tokens a part.
+FREQUENT, PART = 32, 6
 BUCKETS = 256
 
 
@@ -86,56 +86,40 @@ def label_of(n: int, num: int, den: int) -> int:
     return k
 
 
-def short(x: np.ndarray, shards: int) -> np.ndarray:
-    """The name of a token as the exchange has it: 48 bits and the shard."""
-    held = ((x >> U(16)) & U(0xFFFFFFFF)) << U(16) | x >> U(48)
-    return mix(held ^ ((x % U(shards)) << U(48)))
-
-
 def reach(n: int, num: int, den: int) -> tuple[int, int, list[int]]:
     """Slack n - ceil(t n), size class and parts under both classes of a set of n tokens."""
     label = label_of(n, num, den)
     return n - -(-num * n // den), label, [int(parts_of(k, num, den)) for k in (label, label + 1)]
 
 
-class Indexer:
-    """Signatures of sets."""
-
-    def __init__(self, frequent: np.ndarray, num: int, den: int):
-        # frequent: short names, the least frequent first
-        self.num, self.den = num, den
-        order = np.argsort(frequent)
-        self.keys, self.place = frequent[order], order.astype(np.int64)
-
-    def signatures(self, n: int, alone: int, x: np.ndarray) -> np.ndarray:
-        """n: tokens of the set; alone: tokens at its head that no other has; x: short names of the next ones."""
-        slack, label, parts = reach(n, self.num, self.den)
-        take = slack + 1 + max(parts) - alone
-        if take <= 0 or not len(x):
-            return np.zeros(0, U)
-        if len(self.keys):
-            i = np.searchsorted(self.keys, x)
-            i[i == len(self.keys)] = 0
-            often = self.keys[i] == x
-        else:
-            i, often = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        rare = x[~often]
-        out = [mix(rare[:take] + U(1))]
-        if take > len(rare) and often.any():
-            common = x[often][np.argsort(self.place[i[often]], kind="stable")]
-            for k, b in zip((label, label + 1), parts, strict=True):
-                held = common[: max(0, slack + 1 + b - alone - len(rare))]
-                part = (mix(held + U(7)) % U(b)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                held, part = held[order], part[order]
-                tag = U(1000003 * (k + 2))
-                for d in range(1, len(held)):
-                    same = part[d:] == part[:-d]
-                    if not same.any():
-                        break
-                    a, c = held[d:][same], held[:-d][same]
-                    out.append(mix(mix(np.minimum(a, c) + tag) + np.maximum(a, c)))
-        return np.unique(np.concatenate(out))
+def prefix(n: int, num: int, den: int) -> int:
+    """Tokens of the longest prefix of a set of n tokens."""
+    slack, _, parts = reach(n, num, den)
+    return slack + 1 + max(parts)
+
+
+def signatures(n: int, alone: int, x: np.ndarray, often: np.ndarray, num: int, den: int) -> np.ndarray:
+    """n: tokens of the set; alone: those that no other has; x: names of the others, the rarest first; often: are they frequent."""
+    slack, label, parts = reach(n, num, den)
+    take = slack + 1 + max(parts) - alone
+    if take <= 0 or not len(x):
+        return np.zeros(0, U)
+    rare, common = x[~often], x[often]
+    out = [mix(rare[:take] + U(1))]
+    if take > len(rare) and len(common):
+        for k, b in zip((label, label + 1), parts, strict=True):
+            held = common[: max(0, slack + 1 + b - alone - len(rare))]
+            part = (mix(held + U(7)) % U(b)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            held, part = held[order], part[order]
+            tag = U(1000003 * (k + 2))
+            for d in range(1, len(held)):
+                same = part[d:] == part[:-d]
+                if not same.any():
+                    break
+                a, c = held[d:][same], held[:-d][same]
+                out.append(mix(mix(np.minimum(a, c) + tag) + np.maximum(a, c)))
+    return np.unique(np.concatenate(out))
 
 
 def bucket_counts(x: np.ndarray) -> bytes:
@@ -146,72 +130,54 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     """(id, n_shingles, component) of every id."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
-    total = docs.count()
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, limit=1 << 20):
-            sets, _ = shingle_sets(batch.column(0), width)
-            key, n = np.unique(np.concatenate(sets), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(n)], ["token", "n"])
-
-    sample = base.where(keep_fraction(F.col("id"), min(1.0, SAMPLE / max(total, 1)), "frequent")).select("text")
-    often = sample.mapInArrow(sampled, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(HEAD).collect()
-    often = np.asarray([r.token for r in reversed(often)], np.int64).view(U)
-
     totals = base.agg(F.sum(F.length("text")).alias("n")).first()
     shards = max(LEAST_SHARDS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((totals.n or 0) / 6 * SPAN / SHARD_TOKENS))
 
-    frequent = docs.sparkSession.sparkContext.broadcast(short(often, shards))
-
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets, _ = shingle_sets(batch.column(1), width)
-            span = [int(np.searchsorted(x, LIMIT)) for x in sets]
-            # tokens above the span that a prefix may reach
-            rest = [x[k : max(k, sum((r := reach(len(x), num, den))[:1]) + 1 + max(r[2]))] if len(x) else x for x, k in zip(sets, span, strict=True)]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in rest])]).astype(np.int32)
+            size = np.asarray([len(x) for x in sets], np.int64)
             one = np.asarray([mix(x).sum(dtype=U) for x in sets], U)
             two = np.asarray([mix(x + U(0x51ED27)).sum(dtype=U) for x in sets], U)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(np.asarray([len(x) for x in sets], np.int64)), pa.array(signed(one)), pa.array(signed(two)), pa.array(span, pa.int32()),
-                pa.array([bucket_counts(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(short(np.concatenate(rest), shards)))),
-            ], ["id", "n", "c1", "c2", "span", "counts", "rest"])
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            sets, _ = shingle_sets(batch.column(1), width)
-            low = [x[: np.searchsorted(x, LIMIT)] for x in sets]
-            first = np.cumsum([len(x) for x in low]) - [len(x) for x in low]
-            key = np.concatenate(low)
-            if len(key):
-                yield packed(batch.column(0), first, np.arange(len(key)), key, None, shards)
-
-    described = checkpointed(base.mapInArrow(describe, f"id {kind}, n long, c1 long, c2 long, span int, counts binary, rest array<long>"))
+            span = pa.array([int(np.searchsorted(x, LIMIT)) for x in sets], pa.int32())
+            take = pa.array([prefix(int(n), num, den) if n else 0 for n in size], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(signed(one)), pa.array(signed(two)), span, take, pa.array([bucket_counts(x) for x in sets], pa.binary())], ["id", "n", "c1", "c2", "span", "take", "counts"])
+
+    def sender(whole: bool):
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches):
+                sets, _ = shingle_sets(batch.column(1), width)
+                low = sets if whole else [x[: np.searchsorted(x, LIMIT)] for x in sets]
+                first = np.cumsum([len(x) for x in low]) - [len(x) for x in low]
+                key = np.concatenate(low)
+                if len(key):
+                    yield packed(batch.column(0), first, np.arange(len(key)), key, None, shards)
+
+        return send
+
+    described = checkpointed(base.mapInArrow(describe, f"id {kind}, n long, c1 long, c2 long, span int, take int, counts binary"))
     ids = described.select("id", "n", "c1", "c2")
-    reps = ids.where("n > 0 and id is not null").groupBy("n", "c1", "c2").agg(F.min("id").alias("rep"))
-    members = reps.select("rep").distinct()
-    kept = described.join(members, described["id"] == members["rep"], "left_semi").dropDuplicates(["id"])
-    facts = kept.select("id", "n", "counts")
+    reps = ids.where("n > 0 and id is not null").groupBy("n", "c1", "c2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     blob = f"shard int, ids array<{kind}>, first binary, at binary, k0 binary, k1 binary, k2 binary"
-    known = shared_positions(base.mapInArrow(send, blob), shards, kind, names=True)
-    known = known.groupBy("id").agg(F.count(F.lit(1)).alias("parts"), F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("name")).alias("name")).drop("parts")
-    placed = kept.join(known, "id", "left").select("id", "n", "span", "rest", "at", "name")
+    met = shared_positions(base.mapInArrow(sender(False), blob), shards, kind).groupBy("id").agg(F.sum(F.size("at")).alias("met"))
+    # of a class with copies every token is met, so only its own counts can tell; such classes stay
+    members = reps.select(F.col("rep").alias("id")).distinct()
+    open_ = described.select("id", "n", "span", "take", "counts").join(members, "id", "left_semi").dropDuplicates(["id"]).join(met, "id", "left").where(F.col("span") - F.coalesce("met", F.lit(0)) < F.col("take"))
+    facts = checkpointed(open_.select("id", "n", "take", "counts"))
+    texts = of_ids(base, facts.select(F.col("id").alias("used")))
+    known = shared_positions(texts.mapInArrow(sender(True), blob), shards, kind, names=True)
+    known = known.groupBy("id").agg(F.flatten(F.collect_list("name")).alias("name"), F.flatten(F.collect_list("n")).alias("held"))
+    placed = facts.select("id", "n", "take").join(known, "id").where(F.col("n") - F.size("name") < F.col("take")).select("id", "n", "name", "held")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexer = Indexer(frequent.value, num, den)
         for batch in batches:
-            sigs = []
-            for n, span, rest, at, name in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), batch.column(5), strict=True):
-                x = rest.values.to_numpy().view(U)
-                alone = span
-                if at.is_valid:
-                    # an id that repeats may list a place twice
-                    spot, where = np.unique(at.values.to_numpy(), return_index=True)
-                    alone = span - len(spot)
-                    x = np.concatenate([name.values.to_numpy()[where].view(U), x])
-                sigs.append(indexer.signatures(n, alone, x))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate([np.zeros(0, U), *sigs]))))], ["id", "sigs"])
+            sigs = [np.zeros(0, U)]
+            for n, name, held in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                x, h = name.values.to_numpy().view(U), held.values.to_numpy()
+                order = np.lexsort((x, h))
+                sigs.append(signatures(n, n - len(x), x[order], h[order] >= FREQUENT, num, den))
+            ends = np.cumsum([len(x) for x in sigs]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(sigs))))], ["id", "sigs"])
 
     sigs = placed.mapInArrow(sign, f"id {kind}, sigs array<long>").select("id", F.explode("sigs").alias("sig"))
     sigs = checkpointed(sigs)
@@ -220,7 +186,6 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     groups = groups.groupBy("low", "high", "g", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", "low")
     shared = checkpointed(sigs.join(groups, "sig"))
     pairs = shared.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    facts = checkpointed(facts.join(shared.select("id").distinct(), "id", "left_semi"))
     tested = checkpointed(plausible(pairs, facts, num, den))
     linked = checkpointed(verify(tested, base, width, num, den))
     comp = components(linked)
@@ -247,6 +212,14 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))
 
 
+def of_ids(base: DataFrame, used: DataFrame) -> DataFrame:
+    """(id, text), one row an id, of the ids in ``used``; texts only move if there are too many ids to send."""
+    used = checkpointed(used)
+    few = used.count() <= FEW_TEXTS
+    hit = base.join(F.broadcast(used) if few else used, base["id"] == used["used"], "left_semi")
+    return hit.groupBy("id").agg(F.min("text").alias("text"))
+
+
 def plausible(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose sizes and bucketed counts allow a link."""
     x = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ka"))
@@ -269,9 +242,7 @@ def plausible(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFra
 
 def verify(pairs: DataFrame, base: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose sets link, by the texts themselves."""
-    used = checkpointed(pairs.select(F.col("a").alias("used")).union(pairs.select(F.col("b"))).distinct())
-    few = used.count() <= FEW_TEXTS
-    texts = base.join(F.broadcast(used) if few else used, base["id"] == used["used"], "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    texts = of_ids(base, pairs.select(F.col("a").alias("used")).union(pairs.select(F.col("b"))).distinct())
     x, y = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

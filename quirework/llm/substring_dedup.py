@@ -86,7 +86,7 @@ def anchors(words: Words, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def shared_positions(sent: DataFrame, shards: int, kind: str, names: bool = False) -> DataFrame:
-    """(id, at): positions whose key occurs twice, and the keys' names if asked; sent: what ``packed`` makes."""
+    """(id, at): positions whose key occurs twice, and the keys' names and counts if asked; sent: what ``packed`` makes."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -112,6 +112,10 @@ def shared_positions(sent: DataFrame, shards: int, kind: str, names: bool = Fals
         twice = np.zeros(len(order), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
+        if names:  # how often each key occurs
+            group = np.cumsum(np.append(True, ~same))
+            often = np.empty(len(order), np.int32)
+            often[order] = np.bincount(group)[group]
         done = 0
         for (_, ids, first, at, _, _), n in zip(rows, counts, strict=True):
             hit = at[twice[done : done + n]]
@@ -124,12 +128,12 @@ def shared_positions(sent: DataFrame, shards: int, kind: str, names: bool = Fals
             columns = [ids.take(pa.array(some)), pa.ListArray.from_arrays(ends, pa.array((hit - first[row]).astype(np.int32)))]
             if names:
                 name = mix(k0[done - n : done] ^ (k1[done - n : done] << U(48)))[twice[done - n : done]]
-                columns.append(pa.ListArray.from_arrays(ends, pa.array(name.view(np.int64))))
-            yield pa.RecordBatch.from_arrays(columns, ["id", "at", *["name"] * names])
+                columns += [pa.ListArray.from_arrays(ends, pa.array(name.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(often[done - n : done][twice[done - n : done]]))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "at", *["name", "n"] * names])
         del rows, k0, k1, order, a, b
         release()
 
-    return sent.repartition(shards, "shard").mapInArrow(meet, f"id {kind}, at array<int>" + ", name array<long>" * names)
+    return sent.repartition(shards, "shard").mapInArrow(meet, f"id {kind}, at array<int>" + ", name array<long>, n array<int>" * names)
 
 
 def packed(ids: pa.Array, first: np.ndarray, at: np.ndarray, key: np.ndarray, second: np.ndarray | None, shards: int) -> pa.RecordBatch:
