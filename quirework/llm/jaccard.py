@@ -17,11 +17,12 @@ size class; a document is indexed under its own and the next one, so any two tha
 link meet in one.
 
 Documents with equal sets form a class that is joined once.  Members of a signature
-are compared with its smallest member first; then, only where a signature still spans
-several components, at growing distances in id order, until every pair of members in
-different components has been compared.  So a group of thousands of near copies costs
-a few comparisons each, and no link between components is lost.  Candidates pass an
-exact bound (bucketed counts) before the texts themselves are compared.
+are compared with its smallest member first, which settles groups of copies.  Where a
+signature still spans several components, its members meet in blocks of bounded size,
+which yield only the pairs that an exact bound (bucketed counts) allows.  So a group of
+thousands of near copies costs a few comparisons each, no pairs of a group are written
+out, and no link between components is lost.  Candidates pass that
+bound before the texts themselves are compared.
 
 Defined cases: null and empty texts (or texts without words) have no set, link with
 nothing and are their own component; fewer words than n give one shingle; rows that
@@ -34,7 +35,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm._text import LOWER, U, Words, checkpointed, mix, pieces, signed, window_hash
@@ -50,7 +52,8 @@ FEW_TEXTS = 200_000
 SHARD_TOKENS, LEAST_SHARDS = 2_000_000, 64
 #: In how many documents a frequent token is at least, and tokens a part.
 FREQUENT, PART = 32, 6
-BUCKETS = 256
+#: Members of a signature in a block; buckets of the counts; sets so large that their counts are not used.
+BLOCK, BUCKETS, WIDE = 2048, 256, 65535
 
 
 def shingle_sets(array: pa.Array, width: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -123,7 +126,7 @@ def signatures(n: int, alone: int, x: np.ndarray, often: np.ndarray, num: int, d
 
 
 def bucket_counts(x: np.ndarray) -> bytes:
-    return np.bincount((x >> U(56)).astype(np.int64), minlength=BUCKETS).astype(np.uint32).tobytes()
+    return np.bincount((x >> U(56)).astype(np.int64), minlength=BUCKETS).clip(0, 65535).astype(np.uint16).tobytes()
 
 
 def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -189,29 +192,75 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     tested = checkpointed(plausible(pairs, facts, num, den))
     linked = checkpointed(verify(tested, base, width, num, den))
     comp = components(linked)
-    at = 1
-    while True:
-        placed = shared.select("sig", "id").join(comp, "id", "left").select("sig", "id", F.coalesce("comp", "id").alias("comp"))
-        mixed = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("g")).where("x < y").select("sig", "g")
-        mixed = mixed.where(F.col("g") > at)
-        open_ = checkpointed(placed.join(mixed, "sig").withColumn("i", F.row_number().over(Window.partitionBy("sig").orderBy("id"))))
-        if not open_.limit(1).count():
-            break
-        step = open_.select("sig", F.col("id").alias("a"), F.col("comp").alias("ca"), "i", "g").withColumn("j", F.explode(F.sequence(F.col("i") + at, F.col("i") + 4 * at - 1))).where("j <= g")
-        other = open_.select("sig", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("i").alias("j"))
-        new = step.join(other, ["sig", "j"]).where("ca <> cb").select("a", "b").distinct()
-        new = checkpointed(plausible(new, facts, num, den).join(tested, ["a", "b"], "left_anti"))
-        tested = tested.union(new)
-        more = checkpointed(verify(new, base, width, num, den))
-        if more.limit(1).count():
-            linked = linked.union(more)
-            comp = components(linked)
-        at *= 4
+    # only signatures that still span several components can hold another link between components
+    where = shared.select("sig", "id").join(comp, "id", "left").select("sig", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = where.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("g")).where("x < y").select("sig", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
+    dealt = where.join(mixed, "sig").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "id", "comp")
+    units = units.join(facts.select("id", "n", "counts"), "id").select("sig", "i", "j", "b", "id", "comp", "n", "counts")
+    # exactly the pairs of a unit whose counts allow a link; a pair within a block belongs to the unit of that block
+    new = units.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(meeting(num, den), f"a {kind}, b {kind}").distinct()
+    new = checkpointed(new.join(tested, ["a", "b"], "left_anti"))
+    more = checkpointed(verify(new, base, width, num, den))
+    if more.limit(1).count():
+        comp = components(linked.union(more))
     of = reps.join(comp, reps["rep"] == comp["id"], "left").select("n", "c1", "c2", F.coalesce("comp", "rep").alias("comp"))
     out = ids.join(of, ["n", "c1", "c2"], "left").groupBy("id").agg(F.max("n").alias("n"), F.min("comp").alias("comp"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))
 
 
+def allowed(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Do sizes and bucketed counts allow sets to link: shared tokens are at most the sum of the smaller counts."""
+    most = np.minimum(x, y).sum(-1, dtype=np.int64)
+    wide = np.minimum(n, m) >= WIDE
+    return wide | ((den * most >= num * (n + m - most)) & (den * np.minimum(n, m) >= num * np.maximum(n, m)))
+
+
+def counts_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BUCKETS)
+
+
+def meeting(num: int, den: int):
+    """For rows (sig, i, j, b, id, comp, n, counts) in order of units: pairs in different components that may link."""
+
+    def unit(rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        i, j, b = (rows.column(c).to_numpy() for c in (1, 2, 3))
+        comp, n = np.unique(np.asarray(rows.column(5).to_pylist(), object).astype(str), return_inverse=True)[1], rows.column(6).to_numpy()
+        counts = counts_of(rows.column(7))
+        for k in range(rows.num_rows - 1):
+            rest = np.arange(k + 1, rows.num_rows)
+            rest = rest[(comp[rest] != comp[k]) & ((i[0] == j[0]) | (b[rest] != b[k]))]
+            hit = rest[allowed(counts[k], counts[rest], n[k], n[rest], num, den)]
+            if len(hit):
+                yield np.full(len(hit), k), hit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def ends(batch: pa.RecordBatch) -> np.ndarray:
+            keys = np.stack([batch.column(c).to_numpy() for c in (0, 1, 2)], 1)
+            return np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+
+        def pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            ids = rows.column(4)
+            for k, hit in unit(rows):
+                a, b = ids.take(pa.array(k)), ids.take(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([pc.min_element_wise(a, b), pc.max_element_wise(a, b)], ["a", "b"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            whole = table.to_batches()[0] if table.num_rows else batch
+            at = 0
+            for end in ends(whole).tolist():
+                yield from pairs(whole.slice(at, end - at))
+                at = end
+            held = [whole.slice(at)] if whole.num_rows > at else []
+        for rows in held:
+            yield from pairs(rows)
+
+    return run
+
+
 def of_ids(base: DataFrame, used: DataFrame) -> DataFrame:
     """(id, text), one row an id, of the ids in ``used``; texts only move if there are too many ids to send."""
     used = checkpointed(used)
@@ -230,10 +279,8 @@ def plausible(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BUCKETS).astype(np.int64) for c in (4, 5)]
-            most = np.minimum(*k).sum(1)
-            whole = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            keep = pa.array(den * most >= num * (whole - most))
+            k = [counts_of(batch.column(c)) for c in (4, 5)]
+            keep = pa.array(allowed(*k, batch.column(2).to_numpy(), batch.column(3).to_numpy(), num, den))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
