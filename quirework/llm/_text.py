@@ -102,6 +102,16 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of at most ``rows``: buffers on both sides stay small.
+
+    The default of 10,000 rows is meant for narrow rows; whole documents are wide.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 class Words:
     """Words of a string array: byte spans, their row, and hashes."""
 

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import decontam, jaccard, langid, mixing, ngram_lm, pii, substring_dedup, topk, toxicity
-from quirework.llm._text import bucket
+from quirework.llm._text import bucket, small_batches
 from quirework.llm.token_counts import token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
