@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import decontam, jaccard, langid, mixing, pii
-from quirework.llm._text import checkpointed
+from quirework.llm._text import checkpointed, small_batches
 
 #: A document further than this from every profile is in no learned language.
 LEAST_SCORE = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     out = langid.identify(docs, langid.fit_profiles(docs), keep=docs.columns)
     return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
