@@ -128,8 +128,12 @@ class Trie:
         self.book = np.bincount(code, weights=logp, minlength=1) / np.maximum(size, 1)
         self.codes = mapped(code, self.file)
 
-    def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Log probability of each pair, nan where the trie lacks it."""
+    def lookup(self, context: np.ndarray, word: np.ndarray, at_once: int = 200_000) -> np.ndarray:
+        """Log probability of each pair, nan where the trie lacks it; in slices, to bound what a search holds."""
+        parts = [self._lookup(context[k : k + at_once], word[k : k + at_once]) for k in range(0, len(context), at_once)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         out = np.full(len(context), np.nan)
         if not self.contexts.n or not len(context):
             return out

@@ -187,12 +187,16 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
                 key = np.cumsum(thick(get(5)).astype(np.int64))
                 if what == 0:
                     key = np.frombuffer(get(4).as_buffer(), U)[key]
-                held[what].append((ids, key, row, n, thick(get(3))[row] > 0))
+                held[what].append((ids, key, row.astype(np.int32), n.astype(np.int32), thick(get(3))[row] > 0))
         for what, rows in held.items():
             if not rows:
                 continue
             key, n, train = (np.concatenate([r[j] for r in rows]) for j in (1, 3, 4))
+            rows = [(r[0], None, r[2]) for r in rows]
+            held[what] = []
             names, at = np.unique(key, return_inverse=True)
+            at = at.astype(np.int32)
+            del key
             count = np.bincount(at[train], weights=n[train], minlength=len(names))
             if what == 0:
                 log = np.log10(count + 0.5)
@@ -206,9 +210,10 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
                 log = trie.lookup(left, right)
                 trie.close()
                 log = np.where(np.isnan(log), np.log10(prior / (c[left] + strength)), log)
+                del left, right, prior, got, trie
                 one, two, known = np.zeros(len(at)), log[at] * n, np.zeros(len(at))
             done = 0
-            for ids, _, row, _, _ in rows:
+            for ids, _, row in rows:
                 part = slice(done, done + len(row))
                 done += len(row)
                 sums = [np.bincount(row, weights=x[part], minlength=len(ids)) for x in (one, two, known)]
