@@ -79,6 +79,25 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op3_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY 1),
+w AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INTEGER)] AS weight FROM g),
+c AS (SELECT *, CAST(2 * source_size AS DOUBLE) AS cap, 2 * source_size / CAST(weight AS DOUBLE) AS ratio FROM w),
+a AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(weight) OVER (ORDER BY ratio, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, sum(source_size) OVER () AS whole FROM c),
+l AS (SELECT *, (CAST(1.5 AS DOUBLE) * whole - capped) / open AS level FROM a),
+t AS (SELECT *, least(cap, coalesce((SELECT arg_min(level, ratio) FROM l WHERE level <= ratio), 0) * weight) AS target FROM l),
+p AS (SELECT source, source_size, n, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS sure FROM t),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN target - sure * source_size ELSE 0 END AS rest, CASE WHEN source_size > 0 THEN (target - sure * source_size) / source_size ELSE 0 END AS r, CAST(4 AS DOUBLE) * source_size / n AS long FROM p),
+u AS (SELECT d.doc_id, d.size, q.*, (CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE) AS u, least(greatest(r * least(CAST(1 AS DOUBLE), long / greatest(d.size, 1)), CAST(1e-9 AS DOUBLE)), CAST(1 AS DOUBLE) - CAST(1e-9 AS DOUBLE)) AS pi FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+k AS (SELECT *, (u / (1 - u)) / (pi / (1 - pi)) AS odds FROM u),
+s AS (SELECT *, least(floor(odds / (1 + odds) * CAST(16777216 AS DOUBLE)), 16777215) AS spot FROM k),
+b AS (SELECT source, spot, any_value(rest) AS rest, sum(size) AS words FROM s GROUP BY 1, 2),
+e AS (SELECT source, spot, rest, sum(words) OVER (PARTITION BY source ORDER BY spot) AS reach FROM b),
+f AS (SELECT source, coalesce(min(spot) FILTER (WHERE reach > rest), 16777216) AS stop, coalesce(max(reach) FILTER (WHERE reach <= rest), 0) AS fits FROM e GROUP BY 1),
+m AS (SELECT s.*, f.stop, s.rest - f.fits AS gap FROM s JOIN f ON s.source IS NOT DISTINCT FROM f.source),
+z AS (SELECT source, min(struct_pack(d := abs(size - gap), s := spot, i := doc_id)).i AS closing FROM m WHERE spot >= stop AND size > 0 AND size < 2 * gap GROUP BY 1)
+SELECT m.doc_id, m.size, m.source_size, m.target, CAST(least(m.sure + CASE WHEN m.r > 0 AND (m.spot < m.stop OR (m.size > 0 AND m.doc_id = z.closing)) THEN 1 ELSE 0 END, 2) * m.size AS BIGINT) AS taken FROM m LEFT JOIN z ON m.source IS NOT DISTINCT FROM z.source""",
     "op7_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 k AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS k FROM w WHERE len(ws) >= 35),
