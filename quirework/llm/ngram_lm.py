@@ -39,7 +39,7 @@ from quirework.llm._text import LOWER, U, Words, checkpointed, mix, pieces, rele
 from quirework.llm.elias_fano import Trie
 
 #: Frequent words with an entry of their own in pairs, strength of the prior, bytes of a batch, tokens a shard, shards at least.
-HEAD, STRENGTH, BATCH, SHARD_TOKENS, LEAST_SHARDS = 1 << 17, 300.0, 2_000_000, 2_000_000, 64
+HEAD, STRENGTH, BATCH, SHARD_TOKENS, LEAST_SHARDS = 1 << 17, 300.0, 2_000_000, 2_000_000, 128
 END = U(0x454E442D4F462121)
 SALT = 64
 
