@@ -34,11 +34,12 @@ def finite(vector: Column) -> Column:
 
 
 class Block:
-    """Queries of one block by length of vector, with the bounds of their k-th score."""
+    """Queries of one block by length of vector; the k-th score of each is at least low and under high."""
 
     def __init__(self, rows: list[tuple[int, list[int]]]):
         self.ids = np.asarray([r[0] for r in rows], np.int64)
         self.low = np.zeros(len(rows), np.int64)
+        self.high = np.zeros(len(rows), np.int64)
         self.width = np.zeros(len(rows), np.int64)
         self.groups = {}
         for d in {len(r[1]) for r in rows}:
@@ -101,6 +102,7 @@ def one_block(base: DataFrame, rows: list[tuple[int, list[int]]], norm: float, k
     block = Block(rows)
     reach = np.asarray([int(min(2**61, norm * math.sqrt(sum(float(x) * x for x in v)) + 2)) for _, v in rows], np.int64)
     block.low, block.width = -reach, np.maximum(1, -(-(2 * reach + 1) // bins))
+    block.high = block.low + bins * block.width
     above, open_ = np.zeros(n, np.int64), np.ones(n, bool)
     while open_.any():
         sent = spark.sparkContext.broadcast((block, open_))
@@ -112,7 +114,7 @@ def one_block(base: DataFrame, rows: list[tuple[int, list[int]]], norm: float, k
                 use = open_[at]
                 at, s = at[use], s[:, use]
                 spot = (s - block.low[at]) // block.width[at]
-                good = (s >= block.low[at]) & (spot < bins)
+                good = (s >= block.low[at]) & (s < block.high[at])
                 key = (np.broadcast_to(at, s.shape) * bins + spot)[good]
                 have += np.bincount(key, minlength=have.size).reshape(have.shape)
             # bins below a task's own k best can't hold the k-th score of all
@@ -132,6 +134,8 @@ def one_block(base: DataFrame, rows: list[tuple[int, list[int]]], norm: float, k
             bin_ = full[-1]
             above[q] = reached[q, bin_] - have[q, bin_]
             block.low[q] += bin_ * block.width[q]
+            # bins of the next round may reach beyond this one, whose upper neighbours are counted already
+            block.high[q] = min(block.high[q], block.low[q] + block.width[q])
             if block.width[q] == 1 or reached[q, bin_] <= 4 * k:
                 open_[q] = False
             else:

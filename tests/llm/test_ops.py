@@ -78,6 +78,21 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_among_hundreds_of_near_copies(spark):
+    r = np.random.default_rng(8)
+    base = r.normal(size=(4, 64))
+    near = np.repeat(base, 300, 0) + r.normal(size=(1200, 64)) * 0.02
+    near = (near / np.linalg.norm(near, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(near)], "vec_id long, embedding array<float>").repartition(4)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 100 == 0, k=10).collect()}
+    whole = np.floor(near.astype(float) * 1024).astype(np.int64)
+    want = {}
+    for q in range(0, 1200, 100):
+        s = whole @ whole[q]
+        want |= {(q, k + 1): (i, int(s[i])) for k, i in enumerate(sorted((i for i in range(1200) if i != q), key=lambda i: (-s[i], i))[:10])}
+    assert got == want
+
+
 def test_decontamination(spark, rows):
     r = random.Random(2)
     items = [(i, " ".join(f"w{r.randrange(500)}" for _ in range(r.randint(8, 50)))) for i in range(120)] + [(500, None), (501, "too short")]
