@@ -5,18 +5,20 @@ smoothing towards the smoothed unigram distribution (counts plus 0.5, one type u
 
     P(w | v) = (c(v w) + strength * P(w)) / (c(v) + strength)
 
-Words outside the ``head`` most frequent ones act in pairs as one class, within which a
-word has its exact unigram share; so the probabilities of a context sum to one, and
-every training word has its own count.
+Every word has its own count, its own contexts and its own pairs; the probabilities of
+a context, with one unseen type, sum to one.
 
 1. Training words are counted exactly: batches send each shard one packed row.
-2. Frequent words' counts (a table of bounded size) go to all tasks.  Batches then send
-   rare words to the shard of the word and pairs to the shard of (context, part of the
-   words), each entry with its row in the batch, so training counts and the texts to be
-   scored meet in one exchange, however frequent a word or a pair is.
-3. A shard builds its trie (``elias_fano.Trie``: monotone pointers, quantised smoothed
-   log probabilities, in levels mapped from a file), looks up all its pairs by successor
-   search within their context, and returns sums by document.
+2. Counts of the ``head`` most frequent words (a table of bounded size) go to all tasks;
+   that only spreads the work and changes no result.  Batches then send pairs that end
+   in a head word to the shard of (context, part of the words), and pairs that end in
+   another word to the shard of that word, where they add up to its count.  Each entry
+   carries its row in the batch, so training counts and the texts to be scored meet in
+   one exchange, however frequent a word or a pair is.
+3. A shard builds its trie (``elias_fano.Trie``: monotone pointers, quantised logs of
+   c(v w) + strength * P(w), in levels mapped from a file), looks up all its pairs by
+   successor search within their context, and returns sums by document.  Logs of
+   c(v) + strength are subtracted where v is counted, once for each time it is a context.
 
 Nothing of the model is gathered on the driver but the bounded head; shards grow in
 number with the corpus.
@@ -38,9 +40,10 @@ from pyspark.sql import functions as F
 from quirework.llm._text import LOWER, U, Words, checkpointed, mix, pieces, release, type_of
 from quirework.llm.elias_fano import Trie
 
-#: Frequent words with an entry of their own in pairs, strength of the prior, bytes of a batch, tokens a shard, shards at least.
+#: Frequent words whose counts all tasks hold, strength of the prior, bytes of a batch, tokens a shard, shards at least.
 HEAD, STRENGTH, BATCH, SHARD_TOKENS, LEAST_SHARDS = 1 << 17, 300.0, 2_000_000, 2_000_000, 128
 END = U(0x454E442D4F462121)
+START = U(0x53544152542D4F46)
 SALT = 64
 
 
@@ -110,6 +113,8 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
         top = np.argsort(-n, kind="stable")[: 2 * head // shards + 1000]
         yield pa.RecordBatch.from_arrays([pa.array(key[top].view(np.int64)), pa.array(n[top]), pa.nulls(len(top), pa.int64())], ["key", "n", "types"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([n.sum()], pa.int64()), pa.array([len(key)], pa.int64())], ["key", "n", "types"])
+        del keys, counts, key, at, n, top
+        release()
 
     words = base.where("train").select("text").mapInArrow(send_words, "shard int, k binary, n binary").repartition(shards, "shard").mapInArrow(count_words, "key long, n long, types long")
     words = checkpointed(words)
@@ -123,109 +128,122 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
     starts = int(size.rows)
 
     def shared():
-        """Head keys, unigram log10 by symbol, counts by symbol; symbol 0: any other word, the last: a text's start."""
+        """Head keys and the hash of a text's start, counts of the head by symbol; the last symbol is the start."""
         keys, counts = sent.value
-        p = (counts + 0.5) / scale
-        rest = max(1 - p.sum(), 0.5 / scale)
-        return keys, np.concatenate([[rest], p]), np.concatenate([[max(n_all - counts.sum(), 0)], counts, [starts]])
+        return np.append(keys, START), counts
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, p, c = shared()
-        start = len(keys) + 1
+        hashes, c = shared()
+        keys, start = hashes[:-1], len(hashes) - 1
         for batch in pieces(batches, limit=BATCH):
             n = batch.num_rows
             train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             h, rows, first = tokens(batch.column(1))
-            if len(keys):
-                sym = np.searchsorted(keys, h)
-                sym[sym == len(keys)] = 0
-                sym = np.where(keys[sym] == h, sym + 1, 0)
-            else:
-                sym = np.zeros(len(h), np.int64)
-            common = sym > 0
-            log = np.log10(c[:-1] + 0.5)
-            sums = np.bincount(rows, weights=np.where(common, log[sym], 0.0), minlength=n)
+            sym = np.searchsorted(keys, h)
+            common = hashes[sym] == h
+            common &= sym < start
+            # words outside the head are numbered behind the start
+            rare, at = np.unique(h[~common], return_inverse=True)
+            sym[~common] = start + 1 + at
+            names = np.concatenate([hashes, rare])
+            # a common word's own terms: its share, and what its count as a context divides by
+            share, context = np.zeros(len(names)), np.zeros(len(names))
+            share[:start] = np.log10(c + 0.5)
+            context[:start] = np.where(keys == END, 0.0, -np.log10(c + strength))
+            one = np.bincount(rows, weights=share[sym], minlength=n)
+            two = np.bincount(rows, weights=context[sym], minlength=n) - math.log10(starts + strength)
             known = np.bincount(rows[common], minlength=n)
             length = np.bincount(rows, minlength=n)
             out: list[tuple] = []
             flags = thin(train.astype(np.int64))
-            w, r, k = grouped(h[~common], rows[~common])
-            for s, o in shard_slices((w % U(shards)).astype(np.int64), shards):
-                name, at = np.unique(w[o], return_inverse=True)
-                out.append((s, 0, flags, name.tobytes(), thin(np.diff(at, prepend=0)), thin(r[o]), thin(k[o])))
             before = np.where(first, start, np.concatenate([[0], sym[:-1]]))
-            pair, r, k = grouped(before * (start + 1) + sym, rows)
-            left, right = pair // (start + 1), pair % (start + 1)
-            where = mix(left.astype(U) * U(SALT) + mix(right.astype(U)) % U(SALT)) % U(shards)
+            pair, r, k = grouped(before * len(names) + sym, rows)
+            left, right = pair // len(names), pair % len(names)
+            # all pairs that end in a rare word meet at its shard, which so has its count; frequent words are spread
+            where = np.where(right > start, names[right], mix(names[left] * U(SALT) + mix(names[right]) % U(SALT))) % U(shards)
             for s, o in shard_slices(where.astype(np.int64), shards):
-                out.append((s, 1, flags, b"", thin(np.diff(pair[o], prepend=0)), thin(r[o]), thin(k[o])))
+                x, y = left[o], right[o]
+                some = np.unique(np.concatenate([x[x > start], y[y > start]]))
+                x, y = (np.where(v > start, start + 1 + np.searchsorted(some, v), v) for v in (x, y))
+                key = x * (start + 1 + len(some)) + y
+                out.append((s, 1, flags, names[some].tobytes(), thin(np.diff(key, prepend=0)), thin(r[o]), thin(k[o])))
             m = len(out)
             ids = batch.column(0)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * n, pa.int32()), pa.concat_arrays([ids] * m))
             columns = [pa.array([x[0] for x in out], pa.int32()), lists, pa.array([x[1] for x in out], pa.int32()), *[pa.array([x[i] for x in out], pa.binary()) for i in (2, 3, 4, 5, 6)]]
-            columns += [pa.nulls(m, pa.list_(pa.float64())), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))]
-            names = ["shard", "ids", "kind", "train", "name", "key", "row", "n", "sums", "known", "length"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(x))
+            columns += [pa.nulls(m, pa.list_(pa.float64())), pa.nulls(m, pa.list_(pa.float64())), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))]
+            fields = ["shard", "ids", "kind", "train", "name", "key", "row", "n", "sums", "score", "known", "length"]
+            yield pa.RecordBatch.from_arrays(columns, fields)
+            lone = lambda x: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(x))
             spread = int(h[0] % U(shards)) if len(h) else 0
-            columns = [pa.array([spread], pa.int32()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids), pa.array([2], pa.int32()), *[pa.nulls(1, pa.binary())] * 5, one(sums), one(known.astype(np.int64)), one(length.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns = [pa.array([spread], pa.int32()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids), pa.array([2], pa.int32()), *[pa.nulls(1, pa.binary())] * 5, lone(one), lone(two), lone(known.astype(np.int64)), lone(length.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, fields)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, p, c = shared()
-        start = len(p)
-        held: dict[int, list] = {0: [], 1: []}
+        _, c = shared()
+        start = len(c)
+        held: list[tuple] = []
         for batch in batches:
             for i in range(batch.num_rows):
                 get = lambda j, i=i, batch=batch: batch.column(j)[i]
-                ids, what = get(1).values, get(2).as_py()
-                if what == 2:
-                    n = len(ids)
-                    yield result(ids, get(8).values.to_numpy(), np.zeros(n), get(9).values.to_numpy(), get(10).values.to_numpy())
+                ids = get(1).values
+                if get(2).as_py() == 2:
+                    yield result(ids, *[get(j).values.to_numpy() for j in (8, 9, 10, 11)])
                     continue
                 row, n = thick(get(6)), thick(get(7))
-                key = np.cumsum(thick(get(5)).astype(np.int64))
-                if what == 0:
-                    key = np.frombuffer(get(4).as_buffer(), U)[key]
-                held[what].append((ids, key, row.astype(np.int32), n.astype(np.int32), thick(get(3))[row] > 0))
-        for what, rows in held.items():
-            if not rows:
-                continue
-            key, n, train = (np.concatenate([r[j] for r in rows]) for j in (1, 3, 4))
-            rows = [(r[0], None, r[2]) for r in rows]
-            held[what] = []
-            names, at = np.unique(key, return_inverse=True)
-            at = at.astype(np.int32)
-            del key
-            count = np.bincount(at[train], weights=n[train], minlength=len(names))
-            if what == 0:
-                log = np.log10(count + 0.5)
-                one, two = (log * 1.0)[at] * n, (log - math.log10(scale) - math.log10(p[0]))[at] * n
-                known = (count > 0)[at] * n
-            else:
-                left, right = names // (start + 1), names % (start + 1)
-                prior = strength * p[right]
-                got = count > 0
-                trie = Trie(left[got], right[got], np.log10((count[got] + prior[got]) / (c[left[got]] + strength)), start + 1)
-                log = trie.lookup(left, right)
-                trie.close()
-                log = np.where(np.isnan(log), np.log10(prior / (c[left] + strength)), log)
-                del left, right, prior, got, trie
-                one, two, known = np.zeros(len(at)), log[at] * n, np.zeros(len(at))
-            done = 0
-            for ids, _, row in rows:
-                part = slice(done, done + len(row))
-                done += len(row)
-                sums = [np.bincount(row, weights=x[part], minlength=len(ids)) for x in (one, two, known)]
-                some = np.flatnonzero(np.bincount(row, minlength=len(ids)))
-                yield result(ids.take(pa.array(some)), sums[0][some], sums[1][some], sums[2][some].astype(np.int64), np.zeros(len(some), np.int64))
-        del held
+                name = np.frombuffer(get(4).as_buffer(), U)
+                left, right = np.divmod(np.cumsum(thick(get(5)).astype(np.int64)), start + 1 + len(name))
+                held.append((ids, name, left.astype(np.int32), right.astype(np.int32), row.astype(np.int32), n.astype(np.int32), thick(get(3))[row] > 0))
+        if held:
+            yield from met(held)
         release()
 
+    def met(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Sums of all pairs of a shard; empties the list, to hold less."""
+        hashes, c = shared()
+        start = len(c)
+        rare = np.unique(np.concatenate([x[1] for x in held]))
+        symbols, keys = start + 1 + len(rare), []
+        for _, name, left, right, *_ in held:
+            to = start + 1 + np.searchsorted(rare, name)
+            for side in (left, right):
+                late = side > start
+                side[late] = to[side[late] - start - 1]
+            keys.append(left.astype(np.int64) * symbols + right)
+        n, train = (np.concatenate([x[j] for x in held]) for j in (5, 6))
+        rows = [(x[0], x[4]) for x in held]
+        held.clear()
+        names, at = np.unique(np.concatenate(keys), return_inverse=True)
+        at = at.astype(np.int32)
+        del keys
+        count = np.bincount(at[train], weights=n[train], minlength=len(names))
+        left, right = names // symbols, names % symbols
+        lone = right > start
+        full = np.bincount(right[lone], weights=count[lone], minlength=symbols)
+        full[:start] = c
+        prior = strength * (full[right] + 0.5) / scale
+        got = count > 0
+        # the context's count divides elsewhere, where its word is counted
+        trie = Trie(left[got], right[got], np.log10(count[got] + prior[got]), symbols)
+        log = trie.lookup(left, right)
+        trie.close()
+        log = np.where(np.isnan(log), np.log10(prior), log)
+        end = np.append(hashes, rare)[right] == END
+        log -= np.where(lone & ~end, np.log10(full[right] + strength), 0.0)
+        share, seen = np.where(lone, np.log10(full[right] + 0.5), 0.0), lone & (full[right] > 0)
+        del left, right, prior, got, trie, names, count, train
+        done = 0
+        for ids, row in rows:
+            part = slice(done, done + len(row))
+            done += len(row)
+            sums = [np.bincount(row, weights=x[at[part]] * n[part], minlength=len(ids)) for x in (share, log, seen)]
+            some = np.flatnonzero(np.bincount(row, minlength=len(ids)))
+            yield result(ids.take(pa.array(some)), sums[0][some], sums[1][some], sums[2][some].astype(np.int64), np.zeros(len(some), np.int64))
+
     def result(ids: pa.Array, a: np.ndarray, b: np.ndarray, known: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([ids, pa.array(a), pa.array(b), pa.array(known, pa.int64()), pa.array(length, pa.int64())], ["id", "sums", "score", "known", "length"])
 
-    blob = f"shard int, ids array<{kind}>, kind int, train binary, name binary, key binary, row binary, n binary, sums array<double>, known array<long>, length array<long>"
+    blob = f"shard int, ids array<{kind}>, kind int, train binary, name binary, key binary, row binary, n binary, sums array<double>, score array<double>, known array<long>, length array<long>"
     parts = base.mapInArrow(send, blob).repartition(shards, "shard").mapInArrow(meet, f"id {kind}, sums double, score double, known long, length long")
     out = parts.groupBy("id").agg(F.sum("length").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("sums").alias("sums"), F.sum("score").alias("score"))
     return out.select(

@@ -196,6 +196,21 @@ def test_lm_scores(docs, rows):
         assert abs(r.score - s) < 0.002 * len(ws)
 
 
+@pytest.mark.parametrize("head", [0, 1, 7])
+def test_lm_scores_do_not_depend_on_the_head(docs, rows, head):
+    out = {r.doc_id: r for r in ngram_lm.score(docs, bucket(F.col("doc_id"), 5) != 1, strength=50.0, head=head).collect()}
+    toks = {i: ["<s>", *[w.translate(LOW) for w in words(t)], None] for i, t in rows}
+    train = [i for i in toks if zlib.crc32(str(i).encode()) % 5 != 1]
+    c, v = Counter(w for i in train for w in toks[i][1:]), Counter(w for i in train for w in toks[i][:-1])
+    pairs = Counter(p for i in train for p in zip(toks[i][:-1], toks[i][1:], strict=True))
+    n, scale = sum(c.values()), sum(c.values()) + 0.5 * (len(c) + 1)
+    for i, ws in toks.items():
+        s = sum(math.log10((pairs[a, b] + 50 * (c[b] + 0.5) / scale) / (v[a] + 50)) for a, b in zip(ws[:-1], ws[1:], strict=True))
+        base = sum(math.log10((c[w] + 0.5) / scale) for w in ws[1:])
+        assert (out[i].n_tokens, out[i].n_known, out[i].train_tokens) == (len(ws) - 1, sum(w in c for w in ws[1:]), n)
+        assert abs(out[i].score - s) < 0.002 * len(ws) and math.isclose(out[i].base_score, base, rel_tol=1e-9)
+
+
 def test_lm_with_a_small_head_still_sums_to_one(spark):
     d = spark.createDataFrame([(0, "a a b c a b"), (1, "a"), (2, "b"), (3, "c"), (4, "zz"), (5, "")], "doc_id long, text string")
     out = {r.doc_id: r.score for r in ngram_lm.score(d, F.col("doc_id") == 0, head=2, strength=1.0).collect()}
