@@ -5,14 +5,16 @@ blocks of at most ``BLOCK_ITEMS``, so what is sent to the tasks is bounded).  We
 are BM25 weights divided by the item's own score, so a passage that holds every term of
 an item scores 1 for it, and one threshold serves all items.
 
-Every document is cut into passages of twice the longest item, each starting one such
-length after the last, so every item-long stretch lies wholly in a passage.  A passage
+Every document is cut into passages of three times the longest item, each starting one
+such length after the last, so every stretch of two items' length lies wholly in a
+passage: what is found does not depend on the other items of the block.  A passage
 is searched only if an upper bound allows a hit: of each item, the least telling terms
 that together weigh at most half the threshold are left out; the others must reach the
 rest.  Searches are document-at-a-time with block-max WAND and return every item at or
-above the threshold.  A hit is then verified: the words of the item's question and of
-its answer (split after a question mark or before "answer:", else after two thirds of
-the words) must each be found in the passage to at least ``overlap``.
+above the threshold.  A hit is then verified in windows of twice the item's own length:
+one of them must score as much, and the words of the item's question and of its answer
+(split after a question mark or before "answer:", else after two thirds of the words)
+must each be found in it to at least ``overlap``.
 
 Words are runs of letters and digits, in lower case.
 
@@ -89,6 +91,11 @@ class Index:
         self.tops = [[float(w[k : k + POSTINGS].max()) for k in range(0, len(w), POSTINGS)] for w in self.weights]
         self.top = [max(t) for t in self.tops]
         self.names = names
+        self.own = [{number[t]: 0.0 for t in bag} for bag in self.bags]
+        for t, (own, weights) in enumerate(zip(self.items, self.weights, strict=True)):
+            for i, w in zip(own.tolist(), weights.tolist(), strict=True):
+                self.own[i][t] = w
+        self.numbered = [tuple({number[t]: n for t, n in q.items()} for q in parts) for parts in self.parts]
         hashes = Words(pa.array([n.decode("utf-8", "replace") for n in names], pa.string()), space=GAP).hashes() if names else np.zeros(0, U)
         order = np.argsort(hashes)
         self.hashes, self.term = hashes[order], order
@@ -154,39 +161,60 @@ class Index:
         return found
 
     def passages(self, array: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
-        """(row, item, score, question overlap, answer overlap) of every verified or rejected hit."""
+        """(row, item, score, question overlap, answer overlap) of every window that scores enough, verified or rejected."""
         words = Words(pc.utf8_lower(array), space=GAP)
         term = self.terms(words.hashes())
-        # passages start at every multiple of the longest item within a row
-        many = np.maximum(1, -(-words.counts // self.longest) - 1)
+        # passages start at every multiple of the longest item within a row; any window of two items lies wholly in one
+        many = np.maximum(1, -(-words.counts // self.longest) - 2)
         many[words.counts == 0] = 0
         row = np.repeat(np.arange(len(many)), many)
         k = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
         start = words.rows[row] + k * self.longest
-        end = np.minimum(start + 2 * self.longest, words.rows[row + 1])
-        # (passage, telling term) of every word; a word lies in its own passage and the one before
+        end = np.minimum(start + 3 * self.longest, words.rows[row + 1])
+        # (passage, telling term) of every word; a word lies in its own passage and the two before
         at = np.flatnonzero(term >= 0)
         at = at[np.diff(self.first)[term[at]] > 0]
         where = np.searchsorted(words.rows, at, "right") - 1
         own = (at - words.rows[where]) // self.longest
         base = (np.cumsum(many) - many)[where]
-        keys = [(base + k)[good] * len(self.names) + term[at][good] for k in (own, own - 1) for good in ((k >= 0) & (k < many[where]),)]
+        keys = [(base + k)[good] * len(self.names) + term[at][good] for k in (own, own - 1, own - 2) for good in ((k >= 0) & (k < many[where]),)]
         key = np.unique(np.concatenate(keys))
         passage, t = key // max(1, len(self.names)), key % max(1, len(self.names))
         n = self.first[t + 1] - self.first[t]
         post = np.repeat(self.first[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         pair, inverse = np.unique(np.repeat(passage, n) * len(self.ids) + self.telling[post], return_inverse=True)
         likely = np.unique(pair[np.bincount(inverse, weights=self.gain[post], minlength=len(pair)) >= self.threshold / 2 - 1e-9] // len(self.ids)) if len(pair) else []
-        raw = words.bytes
         for p in likely:
             a, b = int(start[p]), int(end[p])
             have = np.unique(term[a:b])
             have = have[have >= 0]
             hits = self.search(have.tolist())
             if hits:
-                bag = Counter(raw[x:y].tobytes() for x, y in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist(), strict=True))
-                for item, score in hits:
-                    yield int(row[p]), item, score, *(sum((q & bag).values()) / max(1, sum(q.values())) for q in self.parts[item])
+                held = np.flatnonzero(term[a:b] >= 0)
+                held = list(zip(held.tolist(), term[a:b][held].tolist(), strict=True))
+                for item, _ in hits:
+                    for hit in self.windows(item, held):
+                        yield int(row[p]), item, *hit
+
+    def windows(self, item: int, held: list[tuple[int, int]]) -> Iterator[tuple[float, float, float]]:
+        """(score, question overlap, answer overlap) of windows twice the item's length, one from each of its words."""
+        weight = self.own[item]
+        spots = [(at, t) for at, t in held if t in weight]
+        width, goal = 2 * sum(self.bags[item].values()), self.threshold - 1e-9
+        counts, found, last = Counter(), [0, 0], 0
+        for at, t in spots:
+            while last < len(spots) and spots[last][0] < at + width:
+                new = spots[last][1]
+                counts[new] += 1
+                for k in (0, 1):
+                    found[k] += counts[new] <= self.numbered[item][k].get(new, 0)
+                last += 1
+            score = sum(weight[x] for x, n in counts.items() if n)
+            if score >= goal:
+                yield score, *(n / max(1, sum(q.values())) for n, q in zip(found, self.numbered[item], strict=True))
+            for k in (0, 1):
+                found[k] -= counts[t] <= self.numbered[item][k].get(t, 0)
+            counts[t] -= 1
 
 
 def indexes(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", threshold: float = 0.6, least_words: int = 8, block_items: int = BLOCK_ITEMS) -> Iterator[Index]:

@@ -110,6 +110,19 @@ def test_decontamination(spark, rows):
     assert decontam.leaks(d, b.limit(0)).count() == 0 and decontam.leaks(d.limit(0), b).count() == 0
 
 
+def test_scattered_words_are_no_leak_beside_a_long_item(spark):
+    item = [f"w{k}" for k in range(12)]
+    filler = lambda n, k: [f"f{(7 * j + k) % 997}" for j in range(n)]
+    apart = " ".join(x for k, w in enumerate(item) for x in [w, *filler(40, k)])
+    texts = [apart, " ".join([*filler(90, 0), *item, *filler(3000, 1)]), " ".join([*filler(790, 2), *item]), " ".join(x for k, w in enumerate(item) for x in [w, *filler(1, k)])]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    short, long = (1, " ".join(item)), (2, " ".join(f"z{k}" for k in range(400)))
+    for items in ([short], [short, long]):
+        b = spark.createDataFrame(items, "item_id long, text string")
+        assert sorted((x.doc_id, x.item_id) for x in decontam.leaks(d, b).collect()) == [(1, 1), (2, 1), (3, 1)]
+        assert [x.doc_id for x in decontam.clean(d, b).collect()] == [0]
+
+
 def test_wand_equals_every_item_scored():
     r = random.Random(4)
     items = [(i, " ".join(f"t{int(r.paretovariate(0.7)) % 60}" for _ in range(r.randint(8, 20)))) for i in range(300)]
