@@ -16,11 +16,13 @@ one of them must score as much, and the words of the item's question and of its
 (split after a question mark or before "answer:", else after two thirds of the words)
 must each be found in it to at least ``overlap``.
 
-Words are runs of letters and digits, in lower case.
+Words are runs of letters and digits, in lower case; each character of a script that is
+written without spaces (``ALONE``) is a word.  Items with fewer than ``least_words``
+words are too short for shares of words: their exact sequence of words is a hit.
 
-Defined cases: null and empty texts hold nothing; items with fewer than ``least_words``
-words can't be told from chance and are never reported; equal items are each reported;
-rows that repeat a document id are pooled; other columns are ignored.
+Defined cases: null and empty texts hold nothing, items without a word are in nothing;
+equal items are each reported; rows that repeat a document id are pooled; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._text import U, Words, pieces, type_of
+from quirework.llm._text import U, Words, pieces, type_of, window_hash
 
 K1, B, POSTINGS = 1.2, 0.75, 32
 BLOCK_ITEMS = 20000
@@ -44,14 +46,30 @@ GAP = np.ones(256, bool)
 GAP[48:58] = GAP[65:91] = GAP[97:123] = False
 GAP[128:] = False
 
+#: Thai to Myanmar, Khmer, kana, Han and its extensions.
+ALONE = "([\\x{0E00}-\\x{0EFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{3FFFF}])"
+
+
+def words_of(array: pa.Array) -> Words:
+    array = pc.utf8_lower(array)
+    words = Words(array, space=GAP)
+    # all these characters have three bytes or more
+    if not (words.bytes >= 0xE0).any():
+        return words
+    return Words(pc.replace_substring_regex(array, ALONE, " \\1 "), space=GAP)
+
 
 def item_words(texts: list[str | None]) -> list[list[bytes]]:
-    w = Words(pc.utf8_lower(pa.array(texts, pa.string())), space=GAP)
+    w = words_of(pa.array(texts, pa.string()))
     raw = w.bytes.tobytes()
     spans = [raw[a:b] for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
     return [spans[w.rows[i] : w.rows[i + 1]] for i in range(len(texts))]
 
 
+def word_hashes(words) -> np.ndarray:
+    return Words(pa.array([w.decode("utf-8", "replace") for w in words], pa.string()), space=GAP).hashes() if len(words) else np.zeros(0, U)
+
+
 def question_length(text: str, words: list[bytes]) -> int:
     """How many of the words are the question's."""
     lower = text.lower()
@@ -63,7 +81,7 @@ def question_length(text: str, words: list[bytes]) -> int:
 class Index:
     """Inverted index with postings in blocks, each with its largest weight."""
 
-    def __init__(self, items: list[tuple], idf_of, mean_length: float, threshold: float):
+    def __init__(self, items: list[tuple], idf_of, mean_length: float, threshold: float, least_words: int = 1):
         self.ids = [i for i, _ in items]
         words = item_words([t for _, t in items])
         texts = [t or "" for _, t in items]
@@ -71,12 +89,19 @@ class Index:
         self.bags = [Counter(w) for w in words]
         self.split = [question_length(t, w) if len(w) > 1 else len(w) for t, w in zip(texts, words, strict=True)]
         self.parts = [(Counter(w[:k]), Counter(w[k:])) for w, k in zip(words, self.split, strict=True)]
-        self.longest = max([16, *map(len, words)])
-        names = sorted({t for b in self.bags for t in b})
+        self.longest = max([16, *(len(w) for w in words if len(w) >= least_words)])
+        names = sorted({t for b, w in zip(self.bags, words, strict=True) if len(w) >= least_words for t in b})
         number = {t: i for i, t in enumerate(names)}
         postings: list[list[tuple[int, float]]] = [[] for _ in names]
         needed: list[list[tuple[int, float]]] = [[] for _ in names]
+        #: short items by number of words: from the sequence of words to the items
+        self.short: dict[int, dict[tuple, list[int]]] = {}
+        self.long = False
         for i, bag in enumerate(self.bags):
+            if len(words[i]) < least_words:
+                self.short.setdefault(len(words[i]), {}).setdefault(tuple(words[i]), []).append(i)
+                continue
+            self.long = True
             raw = {t: idf_of(t) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words[i]) / mean_length)) for t, n in bag.items()}
             own = sum(raw.values()) or 1.0
             spare = threshold / 2
@@ -89,14 +114,14 @@ class Index:
         self.items = [np.asarray([p for p, _ in x], np.int64) for x in postings]
         self.weights = [np.asarray([w for _, w in x]) for x in postings]
         self.tops = [[float(w[k : k + POSTINGS].max()) for k in range(0, len(w), POSTINGS)] for w in self.weights]
-        self.top = [max(t) for t in self.tops]
+        self.top = [max(t, default=0.0) for t in self.tops]
         self.names = names
-        self.own = [{number[t]: 0.0 for t in bag} for bag in self.bags]
+        self.own: list[dict[int, float]] = [{} for _ in self.bags]
         for t, (own, weights) in enumerate(zip(self.items, self.weights, strict=True)):
             for i, w in zip(own.tolist(), weights.tolist(), strict=True):
                 self.own[i][t] = w
-        self.numbered = [tuple({number[t]: n for t, n in q.items()} for q in parts) for parts in self.parts]
-        hashes = Words(pa.array([n.decode("utf-8", "replace") for n in names], pa.string()), space=GAP).hashes() if names else np.zeros(0, U)
+        self.numbered = [tuple({number[t]: n for t, n in q.items() if t in number} for q in parts) for parts in self.parts]
+        hashes = word_hashes(names)
         order = np.argsort(hashes)
         self.hashes, self.term = hashes[order], order
         # postings of the telling terms of each item, one after the other
@@ -162,7 +187,10 @@ class Index:
 
     def passages(self, array: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
         """(row, item, score, question overlap, answer overlap) of every window that scores enough, verified or rejected."""
-        words = Words(pc.utf8_lower(array), space=GAP)
+        words = words_of(array)
+        yield from self.exact(words)
+        if not self.long:
+            return
         term = self.terms(words.hashes())
         # passages start at every multiple of the longest item within a row; any window of two items lies wholly in one
         many = np.maximum(1, -(-words.counts // self.longest) - 2)
@@ -196,6 +224,22 @@ class Index:
                     for hit in self.windows(item, held):
                         yield int(row[p]), item, *hit
 
+    def exact(self, words: Words) -> Iterator[tuple[int, int, float, float, float]]:
+        """Hits of short items: their words, one after the other."""
+        raw = words.bytes
+        h = words.hashes() if self.short else None
+        for n, items in self.short.items():
+            if len(h) < n:
+                continue
+            goals = np.unique(window_hash(np.concatenate([word_hashes(x) for x in items]), n)[::n])
+            at = np.flatnonzero(np.isin(window_hash(h, n), goals))
+            row = np.searchsorted(words.rows, at, "right") - 1
+            inside = at + n <= words.rows[row + 1]
+            for a, r in zip(at[inside].tolist(), row[inside].tolist(), strict=True):
+                have = tuple(raw[x:y].tobytes() for x, y in zip(words.starts[a : a + n].tolist(), words.ends[a : a + n].tolist(), strict=True))
+                for i in items.get(have, ()):
+                    yield r, i, 1.0, 1.0, 1.0
+
     def windows(self, item: int, held: list[tuple[int, int]]) -> Iterator[tuple[float, float, float]]:
         """(score, question overlap, answer overlap) of windows twice the item's length, one from each of its words."""
         weight = self.own[item]
@@ -223,19 +267,19 @@ def indexes(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text"
     total = rows.count()
     many = max(1, math.ceil(total / block_items))
     numbered = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(many)))
-    token = F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), "[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+", " ")), " ")))
+    token = F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), ALONE, " $1 "), "[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+", " ")), " ")))
     frequency = rows.select(token.alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    length = F.size(F.split(F.trim(F.regexp_replace("text", "[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+", " ")), " "))
+    length = F.size(F.split(F.trim(F.regexp_replace(F.regexp_replace("text", ALONE, " $1 "), "[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+", " ")), " "))
     mean = (rows.agg(F.avg(length)).first()[0]) or 1.0
     for b in range(many):
         block = numbered.where(F.col("block") == b)
         own = [(r.id, r.text) for r in block.select("id", "text").collect()]
-        own = [x for x, w in zip(own, item_words([t for _, t in own]), strict=True) if len(w) >= least_words] if own else []
+        own = [x for x, w in zip(own, item_words([t for _, t in own]), strict=True) if w] if own else []
         if not own:
             continue
         terms = block.select(token.alias("t")).distinct()
         df = {r.t.encode(): r.n for r in frequency.join(terms, "t", "left_semi").collect()}
-        yield Index(sorted(own, key=lambda x: (x[0] is None, x[0], x[1])), lambda t, df=df: math.log(1 + (total - df.get(t, 1) + 0.5) / (df.get(t, 1) + 0.5)), mean, threshold)
+        yield Index(sorted(own, key=lambda x: (x[0] is None, x[0], x[1])), lambda t, df=df: math.log(1 + (total - df.get(t, 1) + 0.5) / (df.get(t, 1) + 0.5)), mean, threshold, least_words)
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.6, overlap: float = 0.75, least_words: int = 8, block_items: int = BLOCK_ITEMS) -> DataFrame:

@@ -123,6 +123,18 @@ def test_scattered_words_are_no_leak_beside_a_long_item(spark):
         assert [x.doc_id for x in decontam.clean(d, b).collect()] == [0]
 
 
+def test_short_and_unspaced_items_are_found(spark):
+    han = "水的化学式是什么答案是氢二氧一"
+    items = [(1, "Who wrote Faust?"), (2, "yes"), (3, "水是什么"), (4, han), (5, "..."), (6, "who wrote  FAUST"), (7, "w1 w2 w3 w4 w5 w6 w7 w8 w9")]
+    texts = ["so, who wrote\nFaust today", "who wrote a Faust", "Yes!", "yesterday", "他问水是什么呢", f"我们知道{han}吧", "who wrote", "faust", None, "", "faust who wrote faust"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for some in (b, b.where("item_id <> 7 and item_id <> 4")):
+        want = {(0, 1), (0, 6), (2, 2), (4, 3), (5, 4), (10, 1), (10, 6)} & {(i, r.item_id) for i in range(11) for r in some.collect()}
+        assert {(x.doc_id, x.item_id) for x in decontam.leaks(d, some).collect()} == want
+        assert {x.doc_id for x in decontam.clean(d, some).collect()} == set(range(11)) - {i for i, _ in want}
+
+
 def test_wand_equals_every_item_scored():
     r = random.Random(4)
     items = [(i, " ".join(f"t{int(r.paretovariate(0.7)) % 60}" for _ in range(r.randint(8, 20)))) for i in range(300)]
