@@ -1,8 +1,8 @@
 """Vectorised text helpers shared by the operators that run in Arrow batches.
 
 A word, unless an operator says otherwise, is a maximal run of bytes outside
-``\\x20`` and ``\\x09-\\x0D``.  Word hashes are polynomial hashes over UTF-8 bytes,
-taken modulo 2**64 and finalised; two different bases give a 128-bit name.
+``\\x20`` and ``\\x09-\\x0D``.  Word hashes run over UTF-8 bytes and spread every bit; two
+seeds give a 128-bit name.
 """
 
 from __future__ import annotations
@@ -15,15 +15,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
-BASES = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Seeds of two independent names, and an odd multiplier.
+SEEDS, ODD = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)), U(0x9E3779B97F4A7C15)
+#: Bytes from which a word is hashed by itself, and masks of the bytes that count in a load of eight.
+LONG, MASKS = 128, np.asarray([(1 << 8 * k) - 1 for k in range(9)], U)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 SAME = np.arange(256, dtype=np.uint8)
+#: The column that ``numbered`` adds; keys that hold more than a HOT-th of all rows are fewer than HOT.
+NUM, HOT = "_num", 50_000
 LOWER = SAME.copy()
 LOWER[65:91] += 32
 
@@ -49,20 +54,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of a base and of its inverse modulo 2**64."""
-    have = _POWERS.get(which)
-    if have is None or len(have[0]) <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
-        base = BASES[which]
-        inverse = U(pow(int(base), -1, 1 << 64))
-        made = []
-        for b in (base, inverse):
-            a = np.full(size, b, U)
-            a[0] = 1
-            made.append(np.multiply.accumulate(a))
-        have = _POWERS[which] = (made[0], made[1])
-    return have
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of byte spans: eight bytes at a time go through the finaliser, so every bit spreads."""
+    size, seed = ends - starts, SEEDS[which]
+    h = size.astype(U) * ODD ^ seed
+    padded, lane = np.concatenate([data, np.zeros(8, np.uint8)]), np.arange(8)
+    todo, at = np.flatnonzero(size <= LONG), 0
+    while len(todo):
+        load = padded[starts[todo][:, None] + (lane + at)].view("<u8")[:, 0]
+        h[todo] = mix(h[todo] ^ (load & MASKS[np.minimum(size[todo] - at, 8)]))
+        at += 8
+        todo = todo[size[todo] > at]
+    for i in np.flatnonzero(size > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), int(seed))
+    return h
 
 
 def column_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -142,22 +147,36 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        n = len(self.bytes)
-        power, inverse = powers(n, which)
-        total = np.zeros(n + 1, U)
-        np.cumsum((self.bytes.astype(U) + U(1)) * power[:n], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * inverse[self.starts])
+        return span_hashes(self.bytes, self.starts, self.ends, which)
 
 
-def window_hash(h: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """Hash of each run of ``width`` neighbouring hashes, without regard to rows."""
-    n = len(h)
-    if n < width:
+def window_hash(h: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` neighbouring hashes, without regard to rows, put together from runs of powers of two."""
+    n = len(h) - width + 1
+    if n <= 0:
         return np.zeros(0, U)
-    power, inverse = powers(n, which)
-    total = np.zeros(n + 1, U)
-    np.cumsum(h * power[:n], out=total[1:])
-    return mix((total[width:] - total[:-width]) * inverse[: n - width + 1])
+    out, done, run, size, left = None, 0, h, 1, width
+    while left:
+        if left & 1:
+            part = run[done : done + n]
+            out = part if out is None else mix(out * ODD + part)
+            done += size
+        left >>= 1
+        if left:
+            run = mix(run[:-size] * ODD + run[size:])
+            size *= 2
+    return mix(out + U(width))
+
+
+def thin(x: np.ndarray) -> bytes:
+    """Integers in as few bytes each as the largest needs; the first byte says how many."""
+    most = int(x.max(initial=0))
+    kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64
+    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+
+
+def thick(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64 if data[0] < 8 else U)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -167,8 +186,8 @@ def signed(x: np.ndarray) -> np.ndarray:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage: write a table to the shared folder the session names and read it.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in tests on one machine, is a
-    folder of this machine taken.  The tables stay until that folder is emptied.
+    Only on one machine, as in tests, may ``spark.checkpoint.dir`` be unset; a folder of
+    that machine is taken then.  The tables stay until the folder is emptied.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/quirework-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -182,6 +201,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return have.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         import tempfile
 
         named = tempfile.mkdtemp(prefix="quirework-checkpoint-")
@@ -191,3 +212,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows in a written table, each with a number of its own, ``NUM``: ids may repeat or be null."""
+    return checkpointed(docs.select(F.monotonically_increasing_id().alias(NUM), "*"))
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int, row_id: str, where: Column | None = None) -> DataFrame:
+    """Left join of rows with facts, one a key, whatever share of the rows a key holds.
+
+    ``count``: rows of each key.  Keys with more than a ``HOT``-th of all rows are fewer
+    than ``HOT`` and go to every task; the others are dealt by key.  Rows outside
+    ``where`` meet nothing and are dealt by their own number.
+    """
+    least = max(1000, total // HOT)
+    values = [c for c in facts.columns if c not in (*keys, count)]
+    hot = facts.where(F.col(count) > least).select(*[F.col(k).alias(f"_h_{k}") for k in keys], *[F.col(v).alias(f"_hv_{v}") for v in values], F.lit(True).alias("_hot"))
+    cold = facts.where(F.col(count) <= least).select(*[F.col(k).alias(f"_c_{k}") for k in keys], *[F.col(v).alias(f"_cv_{v}") for v in values], F.lit(0).cast("long").alias("_c_salt"))
+    on = [F.col(k) == F.col(f"_h_{k}") for k in keys]
+    out = rows.join(F.broadcast(hot), on if where is None else [*on, where], "left")
+    settled = F.col("_hot").isNotNull() if where is None else F.col("_hot").isNotNull() | ~F.coalesce(where, F.lit(False))
+    out = out.withColumn("_salt", F.when(settled, F.xxhash64(row_id)).otherwise(F.lit(0)).cast("long"))
+    out = out.join(cold, [*[F.col(k) == F.col(f"_c_{k}") for k in keys], F.col("_salt") == F.col("_c_salt")], "left")
+    return out.select(*rows.columns, *[F.coalesce(f"_hv_{v}", f"_cv_{v}").alias(v) for v in values])

@@ -2,11 +2,11 @@
 
 Two documents link when their sets' Jaccard similarity reaches num / den.  The tokens
 (hashes of shingles) have one order for all documents: the more documents have one, the
-later it comes.  Counts come from dealing tokens to shards, in one packed row a batch
-and shard, in two passes.  The first counts the tokens in the lowest ``SPAN`` of the
-hash range over all documents.  A document whose prefix can be filled with tokens that
-no other document has can link with nothing and leaves; the second pass counts all
-tokens of the rest, one document of each class of equal sets, against each other.
+later it comes.  Counts come from ``exchange.shared``, in two passes.  The first counts
+the tokens in the lowest ``SPAN`` of the hash range over all documents.  A document whose
+prefix can be filled with tokens that no other document has can link with nothing and
+leaves; the second pass counts all tokens of the rest, one document of each class of
+equal sets, against each other.
 
 If two sets of n and m tokens link, their prefixes of n - ceil(t n) + l and
 m - ceil(t m) + l tokens share l tokens.  Prefixes are extended by l = B + 1, where B
@@ -18,15 +18,17 @@ link meet in one.
 
 Documents with equal sets form a class that is joined once.  Members of a signature
 are compared with its smallest member first, which settles groups of copies.  Where a
-signature still spans several components, its members meet in blocks of bounded size,
-which yield only the pairs that an exact bound (bucketed counts) allows.  So a group of
-thousands of near copies costs a few comparisons each, no pairs of a group are written
-out, and no link between components is lost.  Candidates pass that
-bound before the texts themselves are compared.
+signature still spans several components, its members outside the largest of them meet
+all its members.  Both comparisons run in units of bounded rows and bytes, which hold the
+texts, check every pair of different components (first an exact bound by bucketed counts,
+then the sets) and merge components as they go: a unit yields fewer links than it has
+members, no pairs of a group are written out, and no link between components is lost.
 
 Defined cases: null and empty texts (or texts without words) have no set, link with
-nothing and are their own component; fewer words than n give one shingle; rows that
-repeat an id are pooled under it; null ids form no link; other columns are ignored.
+nothing and are their own component; fewer words than n give one shingle; every row is a
+document of its own, and of rows that repeat an id each gets a row; a null id counts as
+larger than any other, so it is a component only where no id is reachable; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -35,25 +37,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._text import LOWER, U, Words, checkpointed, mix, pieces, signed, window_hash
+from quirework.llm import exchange
+from quirework.llm._text import LOWER, NUM, U, Words, checkpointed, join_counted, mix, numbered, pieces, release, signed, window_hash
 from quirework.llm.components import components
-from quirework.llm.substring_dedup import packed, shared_positions
 
 #: Part of the hash range for which it is found out whether a token is shared.
 SPAN = 0.3
 LIMIT = U(int(SPAN * (1 << 64)))
-#: Ids of texts to compare that every task may hold (8 bytes each); more are joined by a shuffle.
+#: Numbers of texts to compare that every task may hold (8 bytes each); more are joined by a shuffle.
 FEW_TEXTS = 200_000
 #: Tokens of the span a shard at most, and shards at least.
 SHARD_TOKENS, LEAST_SHARDS = 2_000_000, 64
 #: In how many documents a frequent token is at least, and tokens a part.
 FREQUENT, PART = 32, 6
-#: Members of a signature in a block; buckets of the counts; sets so large that their counts are not used.
-BLOCK, BUCKETS, WIDE = 2048, 256, 65535
+#: Members and shingles in a block of a unit; buckets of the counts; sets so large that their counts are not used.
+BLOCK, BLOCK_TOKENS, BUCKETS, WIDE = 1024, 400_000, 256, 65535
 
 
 def shingle_sets(array: pa.Array, width: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -125,16 +126,15 @@ def signatures(n: int, alone: int, x: np.ndarray, often: np.ndarray, num: int, d
     return np.unique(np.concatenate(out))
 
 
-def bucket_counts(x: np.ndarray) -> bytes:
-    return np.bincount((x >> U(56)).astype(np.int64), minlength=BUCKETS).clip(0, 65535).astype(np.uint16).tobytes()
+def grouped(base: DataFrame, text_col: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, int]:
+    """Documents (num, n, c1, c2), classes of equal sets (n, c1, c2, rep, copies) with their component (rep where it is alone), rows.
 
-
-def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """(id, n_shingles, component) of every id."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = base.schema["id"].dataType.simpleString()
-    totals = base.agg(F.sum(F.length("text")).alias("n")).first()
-    shards = max(LEAST_SHARDS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((totals.n or 0) / 6 * SPAN / SHARD_TOKENS))
+    ``base``: numbered rows.
+    """
+    spark = base.sparkSession
+    texts = base.select(F.col(NUM).alias("num"), F.col(text_col).alias("text"))
+    totals = texts.agg(F.sum(F.length("text")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    shards = max(LEAST_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")), int((totals.n or 0) / 6 * SPAN / SHARD_TOKENS))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -144,33 +144,29 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
             two = np.asarray([mix(x + U(0x51ED27)).sum(dtype=U) for x in sets], U)
             span = pa.array([int(np.searchsorted(x, LIMIT)) for x in sets], pa.int32())
             take = pa.array([prefix(int(n), num, den) if n else 0 for n in size], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(signed(one)), pa.array(signed(two)), span, take, pa.array([bucket_counts(x) for x in sets], pa.binary())], ["id", "n", "c1", "c2", "span", "take", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(signed(one)), pa.array(signed(two)), span, take], ["num", "n", "c1", "c2", "span", "take"])
 
     def sender(whole: bool):
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches):
                 sets, _ = shingle_sets(batch.column(1), width)
                 low = sets if whole else [x[: np.searchsorted(x, LIMIT)] for x in sets]
-                first = np.cumsum([len(x) for x in low]) - [len(x) for x in low]
                 key = np.concatenate(low)
                 if len(key):
-                    yield packed(batch.column(0), first, np.arange(len(key)), key, None, shards)
+                    yield exchange.packed(batch.column(0).to_numpy(), np.repeat(np.arange(len(low)), [len(x) for x in low]), key, shards, exact=whole)
 
         return send
 
-    described = checkpointed(base.mapInArrow(describe, f"id {kind}, n long, c1 long, c2 long, span int, take int, counts binary"))
-    ids = described.select("id", "n", "c1", "c2")
-    reps = ids.where("n > 0 and id is not null").groupBy("n", "c1", "c2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    blob = f"shard int, ids array<{kind}>, first binary, at binary, k0 binary, k1 binary, k2 binary"
-    met = shared_positions(base.mapInArrow(sender(False), blob), shards, kind).groupBy("id").agg(F.sum(F.size("at")).alias("met"))
+    described = checkpointed(texts.mapInArrow(describe, "num long, n long, c1 long, c2 long, span int, take int"))
+    documents = described.select("num", "n", "c1", "c2")
+    reps = checkpointed(documents.where("n > 0").groupBy("n", "c1", "c2").agg(F.min("num").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    met = exchange.shared(texts.mapInArrow(sender(False), exchange.WRITTEN), shards)
     # of a class with copies every token is met, so only its own counts can tell; such classes stay
-    members = reps.select(F.col("rep").alias("id")).distinct()
-    open_ = described.select("id", "n", "span", "take", "counts").join(members, "id", "left_semi").dropDuplicates(["id"]).join(met, "id", "left").where(F.col("span") - F.coalesce("met", F.lit(0)) < F.col("take"))
-    facts = checkpointed(open_.select("id", "n", "take", "counts"))
-    texts = of_ids(base, facts.select(F.col("id").alias("used")))
-    known = shared_positions(texts.mapInArrow(sender(True), blob), shards, kind, names=True)
-    known = known.groupBy("id").agg(F.flatten(F.collect_list("name")).alias("name"), F.flatten(F.collect_list("n")).alias("held"))
-    placed = facts.select("id", "n", "take").join(known, "id").where(F.col("n") - F.size("name") < F.col("take")).select("id", "n", "name", "held")
+    members = reps.select(F.col("rep").alias("num"))
+    open_ = described.select("num", "n", "span", "take").join(members, "num", "left_semi").join(met, "num", "left").where(F.col("span") - F.coalesce("hits", F.lit(0)) < F.col("take"))
+    facts = checkpointed(open_.select("num", "n", "take"))
+    known = exchange.shared(of_nums(texts, facts.select("num")).mapInArrow(sender(True), exchange.WRITTEN), shards, names=True)
+    placed = known.withColumnRenamed("n", "held").join(facts, "num").where(F.col("n") - F.col("hits") < F.col("take")).select("num", "n", "name", "held")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,33 +176,77 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
                 order = np.lexsort((x, h))
                 sigs.append(signatures(n, n - len(x), x[order], h[order] >= FREQUENT, num, den))
             ends = np.cumsum([len(x) for x in sigs]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(sigs))))], ["id", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(sigs))))], ["num", "sigs"])
 
-    sigs = placed.mapInArrow(sign, f"id {kind}, sigs array<long>").select("id", F.explode("sigs").alias("sig"))
-    sigs = checkpointed(sigs)
+    sigs = checkpointed(placed.mapInArrow(sign, "num long, sigs array<long>").select("num", F.explode("sigs").alias("sig")))
     # signatures with the very same members (by two 64-bit hashes of the set) say the same: one of them stays
-    groups = sigs.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("g"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("x2")).where("low < high")
+    groups = sigs.groupBy("sig").agg(F.min("num").alias("low"), F.max("num").alias("high"), F.count(F.lit(1)).alias("g"), F.bit_xor(F.xxhash64("num")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "num")).alias("x2")).where("low < high")
     groups = groups.groupBy("low", "high", "g", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", "low")
     shared = checkpointed(sigs.join(groups, "sig"))
-    pairs = shared.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    tested = checkpointed(plausible(pairs, facts, num, den))
-    linked = checkpointed(verify(tested, base, width, num, den))
+    # the smallest member of each signature against the others
+    stars = shared.where("num > low").select(F.col("low").alias("unit"), "num").distinct().join(facts.select("num", "n"), "num")
+    hubs = stars.groupBy("unit").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("tokens")).join(facts.select(F.col("num").alias("unit"), F.col("n").alias("hub")), "unit")
+    # a member whose size allows no link with the hub needs no comparison with it
+    dealt = stars.join(hubs, "unit").where((den * F.least("n", "hub")) >= (num * F.greatest("n", "hub"))).select("unit", F.lit(0).alias("i"), block(blocks(F.col("g"), F.col("tokens"))).alias("j"), F.lit(False).alias("o"), "num", F.col("num").alias("comp"))
+    heads = dealt.select("unit", "i", "j").distinct().select("unit", "i", "j", F.lit(True).alias("o"), F.col("unit").alias("num"), F.col("unit").alias("comp"))
+    linked = checkpointed(settle(dealt.unionByName(heads), texts, width, num, den))
     comp = components(linked)
-    # only signatures that still span several components can hold another link between components
-    where = shared.select("sig", "id").join(comp, "id", "left").select("sig", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = where.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("g")).where("x < y").select("sig", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
-    dealt = where.join(mixed, "sig").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "id", "comp")
-    units = units.join(facts.select("id", "n", "counts"), "id").select("sig", "i", "j", "b", "id", "comp", "n", "counts")
-    # exactly the pairs of a unit whose counts allow a link; a pair within a block belongs to the unit of that block
-    new = units.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(meeting(num, den), f"a {kind}, b {kind}").distinct()
-    new = checkpointed(new.join(tested, ["a", "b"], "left_anti"))
-    more = checkpointed(verify(new, base, width, num, den))
+    # signatures that still span several components: members outside the largest one meet all members
+    where = checkpointed(shared.select("sig", "num").join(comp.withColumnRenamed("id", "num"), "num", "left").join(facts.select("num", "n"), "num").select("sig", "num", "n", F.coalesce("comp", "num").alias("comp")))
+    per = where.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("tokens"))
+    mixed = per.groupBy("sig").agg(F.max(F.struct("g", "tokens", "comp")).alias("top"), F.sum("g").alias("g"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    mixed = mixed.select("sig", F.col("top.comp").alias("most"), blocks(F.col("g") - F.col("top.g"), F.col("tokens") - F.col("top.tokens")).alias("many_o"), blocks(F.col("g"), F.col("tokens")).alias("many"))
+    rows = where.join(mixed, "sig")
+    few = rows.where("comp <> most").select(F.col("sig").alias("unit"), block(F.col("many_o")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("j"), F.lit(True).alias("o"), "num", "comp")
+    all_ = rows.select(F.col("sig").alias("unit"), F.explode(F.sequence(F.lit(0), F.col("many_o") - 1)).alias("i"), block(F.col("many")).alias("j"), F.lit(False).alias("o"), "num", "comp")
+    more = checkpointed(settle(few.unionByName(all_), texts, width, num, den))
     if more.limit(1).count():
-        comp = components(linked.union(more))
-    of = reps.join(comp, reps["rep"] == comp["id"], "left").select("n", "c1", "c2", F.coalesce("comp", "rep").alias("comp"))
-    out = ids.join(of, ["n", "c1", "c2"], "left").groupBy("id").agg(F.max("n").alias("n"), F.min("comp").alias("comp"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))
+        comp = components(linked.unionByName(more))
+    classes = checkpointed(reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("n", "c1", "c2", "rep", "copies", F.coalesce("comp", "rep").alias("comp")))
+    return documents, classes, totals.rows
+
+
+def blocks(members: Column, tokens: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(members / BLOCK), F.ceil(tokens / BLOCK_TOKENS)).cast("int")
+
+
+def block(many: Column) -> Column:
+    return F.pmod(F.xxhash64("num"), many).cast("int")
+
+
+def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """(id, n_shingles, component) of every row."""
+    base = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    documents, classes, rows = grouped(base, "text", width, num, den)
+    owned = checkpointed(owners(documents.join(base.select(F.col(NUM).alias("num"), "id"), "num"), classes, rows))
+    least = owned.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("many"))
+    out = join_counted(owned, least, ["comp"], "many", rows, "num", F.col("comp").isNotNull())
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+
+
+def owners(documents: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
+    """The documents with their component, null where it has no other document."""
+    sizes = classes.groupBy("comp").agg(F.sum("copies").alias("size"), F.count(F.lit(1)).alias("many")).where("size > 1")
+    open_ = join_counted(classes, sizes, ["comp"], "many", rows, "rep").where("size is not null").select("n", "c1", "c2", "copies", "comp")
+    return join_counted(documents, checkpointed(open_), ["n", "c1", "c2"], "copies", rows, "num", F.col("n") > 0)
+
+
+def distinct(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, one of each component: that of the smallest id (null last, then the first row)."""
+    base = numbered(docs)
+    documents, classes, rows = grouped(base, text_col, width, num, den)
+    owned = checkpointed(owners(documents, classes, rows))
+    members = owned.where("comp is not null").join(base.select(F.col(NUM).alias("num"), F.col(id_col).alias("id")), "num")
+    best = members.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "num")).alias("b")).select(F.col("b.num").alias("num"))
+    kept = checkpointed(owned.where("comp is null").select("num").unionByName(best))
+    return base.join(kept, base[NUM] == kept["num"], "left_semi").select(*docs.columns)
+
+
+def of_nums(texts: DataFrame, used: DataFrame) -> DataFrame:
+    """(num, text) of the numbers in ``used``; texts only move if there are too many numbers to send."""
+    used = checkpointed(used.select(F.col("num").alias("used")).distinct())
+    few = used.count() <= FEW_TEXTS
+    return texts.join(F.broadcast(used) if few else used, texts["num"] == used["used"], "left_semi")
 
 
 def allowed(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -216,91 +256,80 @@ def allowed(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, num: int
     return wide | ((den * most >= num * (n + m - most)) & (den * np.minimum(n, m) >= num * np.maximum(n, m)))
 
 
-def counts_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BUCKETS)
-
+def bucket_counts(x: np.ndarray) -> np.ndarray:
+    return np.bincount((x >> U(56)).astype(np.int64), minlength=BUCKETS).clip(0, 65535).astype(np.uint16)
 
-def meeting(num: int, den: int):
-    """For rows (sig, i, j, b, id, comp, n, counts) in order of units: pairs in different components that may link."""
 
-    def unit(rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        i, j, b = (rows.column(c).to_numpy() for c in (1, 2, 3))
-        comp, n = np.unique(np.asarray(rows.column(5).to_pylist(), object).astype(str), return_inverse=True)[1], rows.column(6).to_numpy()
-        counts = counts_of(rows.column(7))
-        for k in range(rows.num_rows - 1):
-            rest = np.arange(k + 1, rows.num_rows)
-            rest = rest[(comp[rest] != comp[k]) & ((i[0] == j[0]) | (b[rest] != b[k]))]
-            hit = rest[allowed(counts[k], counts[rest], n[k], n[rest], num, den)]
-            if len(hit):
-                yield np.full(len(hit), k), hit
+class Unit:
+    """Members of a unit that arrive one after the other; pairs of different components are checked once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def ends(batch: pa.RecordBatch) -> np.ndarray:
-            keys = np.stack([batch.column(c).to_numpy() for c in (0, 1, 2)], 1)
-            return np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+    def __init__(self, num: int, den: int):
+        self.num, self.den, self.up = num, den, {}
 
-        def pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            ids = rows.column(4)
-            for k, hit in unit(rows):
-                a, b = ids.take(pa.array(k)), ids.take(pa.array(hit))
-                yield pa.RecordBatch.from_arrays([pc.min_element_wise(a, b), pc.max_element_wise(a, b)], ["a", "b"])
-
-        for batch in batches:
-            table = pa.Table.from_batches([*held, batch]).combine_chunks()
-            whole = table.to_batches()[0] if table.num_rows else batch
-            at = 0
-            for end in ends(whole).tolist():
-                yield from pairs(whole.slice(at, end - at))
-                at = end
-            held = [whole.slice(at)] if whole.num_rows > at else []
-        for rows in held:
-            yield from pairs(rows)
-
-    return run
-
-
-def of_ids(base: DataFrame, used: DataFrame) -> DataFrame:
-    """(id, text), one row an id, of the ids in ``used``; texts only move if there are too many ids to send."""
-    used = checkpointed(used)
-    few = used.count() <= FEW_TEXTS
-    hit = base.join(F.broadcast(used) if few else used, base["id"] == used["used"], "left_semi")
-    return hit.groupBy("id").agg(F.min("text").alias("text"))
+    def find(self, x: int) -> int:
+        while self.up.setdefault(x, x) != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
 
+    def links(self, outer: np.ndarray, nums: np.ndarray, comps: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """(a, b) of members that link and whose components were still apart."""
+        num, den = self.num, self.den
+        sizes = np.asarray([len(x) for x in sets])
+        counts = np.stack([bucket_counts(x) for x in sets])
+        inner = np.flatnonzero(~outer)
+        for a in np.flatnonzero(outer):
+            own = self.find(comps[a])
+            apart = np.asarray([self.find(comps[b]) != own for b in inner], bool)
+            some = inner[apart]
+            some = some[(den * np.minimum(sizes[some], sizes[a]) >= num * np.maximum(sizes[some], sizes[a]))]
+            if not len(some):
+                continue
+            for b in some[allowed(counts[a], counts[some], sizes[a], sizes[some], num, den)]:
+                x, y = self.find(comps[a]), self.find(comps[b])
+                if x == y:
+                    continue
+                at = np.searchsorted(sets[a], sets[b])
+                at[at == len(sets[a])] = 0
+                both = int((sets[a][at] == sets[b]).sum())
+                if den * both >= num * (sizes[a] + sizes[b] - both):
+                    self.up[max(x, y)] = min(x, y)
+                    yield int(nums[a]), int(nums[b])
+
+
+def settle(units: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) found in units (unit, i, j, o, num, comp): rows marked o are held against the others, fewer links than rows."""
+    units = checkpointed(units)
+    held = of_nums(texts, units.select("num"))
+    rows = units.join(held, "num").select("unit", "i", "j", "o", "num", "comp", "text")
 
-def plausible(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and bucketed counts allow a link."""
-    x = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ka"))
-    y = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("kb"))
-    sized = pairs.join(x, "a").join(y, "b").where((den * F.least("na", "nb")) >= (num * F.greatest("na", "nb")))
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unit(part: pa.RecordBatch) -> pa.RecordBatch | None:
+            outer = part.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            if outer.all() or not outer.any():
+                return None
+            sets, _ = shingle_sets(part.column(6), width)
+            found = list(Unit(num, den).links(outer, part.column(4).to_numpy(), part.column(5).to_pylist(), sets))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"]) if found else None
+
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            k = [counts_of(batch.column(c)) for c in (4, 5)]
-            keep = pa.array(allowed(*k, batch.column(2).to_numpy(), batch.column(3).to_numpy(), num, den))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    return sized.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(bound, f"a {kind}, b {kind}")
-
-
-def verify(pairs: DataFrame, base: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose sets link, by the texts themselves."""
-    texts = of_ids(base, pairs.select(F.col("a").alias("used")).union(pairs.select(F.col("b"))).distinct())
-    x, y = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "ta"):
-            (xs, _), (ys, _) = (shingle_sets(batch.column(c), width) for c in (2, 3))
-            good = []
-            for u, v in zip(xs, ys, strict=True):
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                good.append(den * both >= num * (len(u) + len(v) - both))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(test, f"a {kind}, b {kind}")
+            keys = np.stack([batch.column(c).to_numpy() for c in (0, 1, 2)], 1)
+            cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                part = batch.slice(x, y - x)
+                if waiting and any(waiting[0].column(c)[0] != part.column(c)[0] for c in (0, 1, 2)):
+                    if (out := unit(joined(waiting))) is not None:
+                        yield out
+                    waiting = []
+                if y > x:
+                    waiting.append(part)
+        if waiting and (out := unit(joined(waiting))) is not None:
+            yield out
+        release()
+
+    return rows.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]

@@ -1,17 +1,20 @@
 """Removal of repeated passages, found by recompression.
 
-Words are named by their content.  In each round a name falls on one of two sides by a
-bit of its hash, and every pair (left-side name, right-side name) that stays short
-enough becomes one name, the hash of the two: equal strings get equal names wherever
-they are, on any machine, without an exchange.  (Two equal neighbours are on one side,
-so runs of a name are never paired and keep their boundaries.)  Whether a boundary
-survives all rounds depends on at most ``REACH`` words on each side, and no name grows
-beyond ``CAPS[-1]`` words.  So every window of ``width`` words contains a boundary that
-survives in each of its occurrences, with ``REACH`` words of the window on both sides.
-
-1. Boundaries are named by the words around them; names that occur twice anywhere are
-   found by dealing names to shards.  A batch of documents sends a shard one packed
-   row, so a passage that a third of all documents share loads no shard by itself.
+Words are named by their content.  Each round first names runs: neighbours with one name
+become one symbol, named by the name and the length of the run, as long as the run stays
+within the round's cap.  Then a symbol falls on one of two sides by a bit of its name,
+and every pair (left-side symbol, right-side symbol) within the cap becomes one symbol.
+Names are hashes of what they stand for, so a string gets its name wherever it is, on any
+machine: the names are global without an exchange.  Whether a boundary between symbols
+survives all rounds depends on at most ``REACH`` words on each side, and no symbol has
+more than ``CAPS[-1]`` words (a longer run keeps the boundaries inside it).  So every
+window of ``width`` words holds a boundary that survives in each of its occurrences, with
+``REACH`` words of the window on both sides.
+
+1. Surviving boundaries are named by the ``REACH`` words before and after them, which
+   settle the symbols that meet there.  Names that occur twice anywhere are found by
+   ``exchange.shared``: a passage that a third of all documents share costs a shard one
+   entry a pack.
 2. A window can only repeat if all its surviving boundaries are shared.  Such windows,
    of documents with a shared boundary, get a 128-bit hash of their words, and the
    same exchange finds the hashes that occur at two starts.
@@ -21,8 +24,8 @@ Documents with the very same words are one class: with ``width`` words or more a
 words repeat, and only the class's first document takes part in step 2.
 
 Defined cases: null and empty texts have no words, and the hash of the empty string;
-documents shorter than the window keep everything; an id should occur once: of rows
-that repeat one, one is kept; a null id is an id; other columns are ignored.
+documents shorter than the window keep everything; every row is a document of its own,
+whether its id repeats or is null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,12 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._text import U, Words, checkpointed, mix, pieces, powers, release, type_of
+from quirework.llm import exchange
+from quirework.llm._text import NUM, ODD, U, Words, checkpointed, join_counted, mix, numbered, pieces, window_hash
 
-#: Longest name after each round; words on which a boundary's survival depends: 1 + 2 + 4 + 6.
-CAPS = (2, 4, 6, 10)
-REACH = 1 + sum(CAPS[:-1])
-#: Words a shard at most, and shards at least: a document's positions come back in one row a shard.
+#: Most words of a symbol made in each round.
+CAPS = (2, 4)
+#: Words on which a boundary's fate depends: in a round, a run up to the cap and the symbol that ends it.
+REACH = sum(CAPS) + sum((1, *CAPS[:-1]))
+#: Entries a shard at most, and shards at least.
 SHARD_WORDS, LEAST_SHARDS = 6_000_000, 64
 
 
@@ -56,10 +61,20 @@ def boundaries(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
     for k, cap in enumerate(CAPS):
         if len(names) < 2:
             break
+        # runs of one name
+        fresh = np.append(True, (names[1:] != names[:-1]) | (rows[start[1:]] != rows[start[:-1]]))
+        first = np.flatnonzero(fresh)
+        many = np.diff(np.append(first, len(names)))
+        whole = (many > 1) & (size[first] * many <= cap)
+        names[first[whole]] = mix(names[first[whole]] + U(0x52554E) + many[whole].astype(U) * ODD)
+        size[first[whole]] *= many[whole]
+        keep = fresh | ~np.repeat(whole, many)
+        names, start, size = names[keep], start[keep], size[keep]
+        # pairs of a symbol of the left side and one of the right side
         side = (mix(names + U(0xA5A5 + 7919 * k)) & U(1)).astype(bool)
         pair = ~side[:-1] & side[1:] & (rows[start[:-1]] == rows[start[1:]]) & (size[:-1] + size[1:] <= cap)
         at = np.flatnonzero(pair)
-        names[at] = mix(names[at] * U(0x9E3779B97F4A7C15) + names[at + 1] + U(k + 1))
+        names[at] = mix(names[at] * ODD + names[at + 1] + U(k + 1))
         size[at] += size[at + 1]
         keep = np.ones(len(names), bool)
         keep[at + 1] = False
@@ -67,120 +82,28 @@ def boundaries(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return start
 
 
-class Spans:
-    """Hashes of any spans of words, by prefix sums."""
-
-    def __init__(self, h: np.ndarray, which: int):
-        self.power, self.inverse = powers(len(h) + 1, which)
-        self.total = np.zeros(len(h) + 1, U)
-        np.cumsum(h * self.power[: len(h)], out=self.total[1:])
-
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.total[end] - self.total[start]) * self.inverse[start])
-
-
 def anchors(words: Words, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Surviving boundaries with REACH words of their document on both sides."""
     b = boundaries(h, rows)
     return b[(b - words.rows[:-1][rows[b]] >= REACH) & (words.rows[1:][rows[b]] - b >= REACH)]
 
 
-def shared_positions(sent: DataFrame, shards: int, kind: str, names: bool = False) -> DataFrame:
-    """(id, at): positions whose key occurs twice, and the keys' names and counts if asked; sent: what ``packed`` makes."""
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for batch in batches:
-            ids = batch.column(1)
-            for i in range(batch.num_rows):
-                first = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint32)
-                at = np.cumsum(np.frombuffer(batch.column(3)[i].as_buffer(), np.uint32), dtype=np.int64)
-                k0 = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64 if batch.column(5)[i].is_valid else np.uint32)
-                k1 = np.frombuffer(batch.column(5)[i].as_buffer(), np.uint64) if batch.column(5)[i].is_valid else np.frombuffer(batch.column(6)[i].as_buffer(), np.uint16)
-                rows.append((batch.column(0)[i].as_py(), ids[i].values, first, at, k0, k1))
-        if not rows:
-            return
-        counts = [len(r[3]) for r in rows]
-        shard = np.repeat(np.asarray([r[0] for r in rows], np.uint64), counts)
-        k0 = np.concatenate([r[4] for r in rows]).astype(U)
-        k1 = np.concatenate([r[5] for r in rows]).astype(U)
-        if rows[0][4].dtype == np.uint32:
-            k0, k1 = (k0 << U(16)) | k1, shard
-        order = np.lexsort((k1, k0))
-        a, b = k0[order], k1[order]
-        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-        twice = np.zeros(len(order), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        if names:  # how often each key occurs
-            group = np.cumsum(np.append(True, ~same))
-            often = np.empty(len(order), np.int32)
-            often[order] = np.bincount(group)[group]
-        done = 0
-        for (_, ids, first, at, _, _), n in zip(rows, counts, strict=True):
-            hit = at[twice[done : done + n]]
-            done += n
-            if not len(hit):
-                continue
-            row = np.searchsorted(first, hit, "right") - 1
-            some, begin = np.unique(row, return_index=True)
-            ends = pa.array(np.append(begin, len(hit)).astype(np.int32))
-            columns = [ids.take(pa.array(some)), pa.ListArray.from_arrays(ends, pa.array((hit - first[row]).astype(np.int32)))]
-            if names:
-                name = mix(k0[done - n : done] ^ (k1[done - n : done] << U(48)))[twice[done - n : done]]
-                columns += [pa.ListArray.from_arrays(ends, pa.array(name.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(often[done - n : done][twice[done - n : done]]))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "at", *["name", "n"] * names])
-        del rows, k0, k1, order, a, b
-        release()
-
-    return sent.repartition(shards, "shard").mapInArrow(meet, f"id {kind}, at array<int>" + ", name array<long>, n array<int>" * names)
-
-
-def packed(ids: pa.Array, first: np.ndarray, at: np.ndarray, key: np.ndarray, second: np.ndarray | None, shards: int) -> pa.RecordBatch:
-    """One row a shard with all that a batch sends to it."""
-    shard = (key % U(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    ends = np.searchsorted(shard[order], np.arange(shards + 1))
-    out: dict[str, list] = {c: [] for c in ("shard", "at", "k0", "k1", "k2")}
-    for s in np.flatnonzero(np.diff(ends)):
-        o = order[ends[s] : ends[s + 1]]
-        out["shard"].append(s)
-        out["at"].append(np.diff(at[o], prepend=0).astype(np.uint32).tobytes())
-        k = key[o]
-        if second is None:  # 48 bits beside the shard: more would only make collisions rarer, which cost a check
-            out["k0"].append((k >> U(16)).astype(np.uint32).tobytes())
-            out["k1"].append(None)
-            out["k2"].append((k >> U(48)).astype(np.uint16).tobytes())
-        else:
-            out["k0"].append(k.tobytes())
-            out["k1"].append(second[o].tobytes())
-            out["k2"].append(None)
-    n = len(out["shard"])
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(ids), pa.int32()), pa.concat_arrays([ids] * n) if n else ids.slice(0, 0))
-    start = pa.array([first.astype(np.uint32).tobytes()] * n, pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int32()), lists, start, *[pa.array(out[c], pa.binary()) for c in ("at", "k0", "k1", "k2")]], ["shard", "ids", "first", "at", "k0", "k1", "k2"])
-
-
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 35) -> DataFrame:
     """(id, n_words, n_removed, kept) of every document; kept: the words left, joined by a space."""
     if width < least_width():
         raise ValueError(f"windows must have {least_width()} words or more")
-    spark, kind = docs.sparkSession, type_of(docs, id_col)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
+    base = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            words = Words(batch.column(1))
-            spans = [Spans(words.hashes(k), k) for k in (0, 1)]
-            one, two = (s.hash(words.rows[:-1], words.rows[1:]) for s in spans)
-            shas = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words.counts.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(shas)], ["id", "n", "c1", "c2", "sha"])
+            words = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words], pa.binary())], ["num", "n", "sha"])
 
-    facts = base.mapInArrow(summary, f"id {kind}, n long, c1 long, c2 long, sha string")
-    facts = checkpointed(facts.groupBy("id").agg(F.min(F.struct("n", "c1", "c2", "sha")).alias("f")).select("id", "f.*"))
-    classes = facts.where(F.col("n") >= width).groupBy("n", "c1", "c2").agg(F.min(F.struct("id")).alias("rep"), F.count(F.lit(1)).alias("copies"))
-    total = facts.agg(F.sum("n")).first()[0] or 0
-    shards = max(LEAST_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / SHARD_WORDS))
+    facts = checkpointed(base.select(NUM, "text").mapInArrow(summary, "num long, n long, sha binary"))
+    classes = checkpointed(facts.where(F.col("n") >= width).groupBy("sha").agg(F.min("num").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    size = facts.agg(F.sum("n").alias("words"), F.count(F.lit(1)).alias("rows")).first()
+    shards = max(LEAST_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size.words or 0) / SHARD_WORDS))
 
     def name_boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -188,23 +111,18 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
             h, rows = words.hashes(), words.row_of()
             at = anchors(words, h, rows)
             if len(at):
-                yield packed(batch.column(0), words.rows[:-1], at, Spans(h, 0).hash(at - REACH, at + REACH), None, shards)
+                yield exchange.packed(batch.column(0).to_numpy(), rows[at], window_hash(h, 2 * REACH)[at - REACH], shards, at - words.rows[rows[at]])
 
-    blob = f"shard int, ids array<{kind}>, first binary, at binary, k0 binary, k1 binary, k2 binary"
-    shared = shared_positions(base.mapInArrow(name_boundaries, blob), shards, kind)
-    shared = shared.groupBy("id").agg(F.flatten(F.collect_list("at")).alias("at"))
-    reps = classes.select(F.col("rep.id").alias("rep"))
-    shared = shared.join(reps, F.col("id").eqNullSafe(F.col("rep")), "left_semi")
-    texts = base.join(shared.withColumnRenamed("id", "sid"), F.col("id").eqNullSafe(F.col("sid"))).select("id", "text", "at")
-    texts = checkpointed(texts)
+    shared = exchange.shared(base.select(NUM, "text").mapInArrow(name_boundaries, exchange.WRITTEN), shards, places=True)
+    shared = shared.join(classes.select(F.col("rep").alias("num")), "num", "left_semi")
+    texts = checkpointed(base.join(shared, base[NUM] == shared["num"]).select("num", "text", "at"))
 
     def name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             words = Words(batch.column(1))
             h, rows = words.hashes(), words.row_of()
             n = len(h)
-            at = anchors(words, h, rows)
-            lists = batch.column(2)
+            at, lists = anchors(words, h, rows), batch.column(2)
             known = np.zeros(n + 1, bool)
             known[np.repeat(words.rows[:-1], np.asarray(lists.value_lengths())) + lists.flatten().to_numpy()] = True
             lone = np.zeros(n + 1, np.int64)
@@ -215,34 +133,36 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
             # boundaries between REACH and width - REACH words into the window must all be shared
             start = start[lone[start + width - REACH + 1] == lone[start + REACH]]
             if len(start):
-                one, two = Spans(h, 0).hash(start, start + width), Spans(words.hashes(1), 1).hash(start, start + width)
-                yield packed(batch.column(0), words.rows[:-1], start, one, two, shards)
+                one, two = window_hash(h, width)[start], window_hash(words.hashes(1), width)[start]
+                yield exchange.packed(batch.column(0).to_numpy(), rows[start], one, shards, start - words.rows[rows[start]], two)
 
-    windows = shared_positions(texts.mapInArrow(name_windows, blob), shards, kind)
-    windows = windows.groupBy("id").agg(F.flatten(F.collect_list("at")).alias("starts"))
+    windows = exchange.shared(texts.mapInArrow(name_windows, exchange.WRITTEN), shards, places=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             removed, kept = [], []
             for text, starts in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = (text or "").encode().split()
+                step = np.zeros(len(words) + width + 1, np.int64)
                 begin = starts.values.to_numpy()
-                step = np.bincount(begin, minlength=len(words) + 1)
-                step[: len(words) + 1] -= np.bincount(np.minimum(begin + width, len(words)), minlength=len(words) + 1)
+                step[begin] += 1
+                step[begin + width] -= 1
                 under = np.cumsum(step)[: len(words)] > 0
                 removed.append(int(under.sum()))
                 kept.append(b" ".join([w for w, u in zip(words, under.tolist(), strict=True) if not u]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode() for k in kept], pa.string())], ["cid", "removed", "csha", "ckept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string())], ["num", "removed", "kept"])
 
-    hit = texts.select("id", "text").join(windows.withColumnRenamed("id", "wid"), F.col("id").eqNullSafe(F.col("wid"))).select("id", "text", "starts")
-    changed = hit.mapInArrow(cut, f"cid {kind}, removed long, csha string, ckept string").dropDuplicates(["cid"])
-    copied = classes.where("copies > 1").select("n", "c1", "c2", F.lit(True).alias("copied"))
-    out = facts.join(copied, ["n", "c1", "c2"], "left").join(changed, F.col("id").eqNullSafe(F.col("cid")), "left")
+    hit = texts.select("num", "text").join(windows.select("num", F.col("at").alias("starts")), "num")
+    changed = hit.mapInArrow(cut, "num long, removed long, kept string")
+    copied = classes.where("copies > 1").select("sha", "copies", F.lit(True).alias("copied"))
+    out = join_counted(facts, copied, ["sha"], "copies", size.rows, "num", F.col("n") >= width)
+    out = out.join(base.select(F.col(NUM).alias("num"), "id"), "num").join(changed, "num", "left")
     gone = F.coalesce("copied", F.lit(False))
+    kept = F.when(gone, F.lit("")).otherwise(F.col("kept"))
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_words"),
         F.when(gone, F.col("n")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("csha", "sha")).alias("kept_sha256"),
-        F.when(gone, F.lit("")).otherwise(F.col("ckept")).alias("kept_text"),
+        F.when(kept.isNotNull(), F.sha2(kept, 256)).otherwise(F.lower(F.hex("sha"))).alias("kept_sha256"),
+        kept.alias("kept_text"),
     )

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.llm import decontam, jaccard, langid, mixing, ngram_lm, pii, substring_dedup, token_counts, topk, toxicity
+from quirework.llm import _text, decontam, exchange, jaccard, langid, mixing, ngram_lm, pii, substring_dedup, token_counts, topk, toxicity
 from quirework.llm._text import bucket
 from quirework.llm.elias_fano import EliasFano, Trie
 
@@ -45,7 +46,7 @@ def rows():
 
 
 def frame(spark, rows, langs=("en", "fr", None), sources=("a", "a", "b", None)):
-    return spark.createDataFrame([(i, t, langs[i % len(langs)], sources[i % len(sources)], len(t or ""), "clash", 1, "w", 2) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, langs[(i or 0) % len(langs)], sources[(i or 0) % len(sources)], len(t or ""), "clash", 1, "w", 2) for i, t in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -330,11 +331,11 @@ def test_substring_dedup(spark, docs, rows, none):
 
 def test_boundaries_depend_on_what_is_near():
     r = np.random.default_rng(5)
-    for _ in range(40):
-        core = r.integers(0, 6, 60).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for letters in [2, 3, 6] * 200:
+        core = r.integers(0, letters, 60).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         cuts = []
         for _ in range(2):
-            left, right = (r.integers(0, 6, r.integers(0, 30)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
+            left, right = (r.integers(0, letters, r.integers(0, 30)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
             h = np.concatenate([left, core, right])
             b = substring_dedup.boundaries(h, np.zeros(len(h), np.int64)) - len(left)
             cuts.append({int(x) for x in b if substring_dedup.REACH <= x <= 60 - substring_dedup.REACH})
@@ -402,6 +403,7 @@ def test_jaccard(docs, rows, width, num):
 
 def test_jaccard_in_small_blocks(spark, rows, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 300)
     monkeypatch.setattr(jaccard, "FREQUENT", 3)
     monkeypatch.setattr(jaccard, "FEW_TEXTS", 0)
     some = rows[:4] + rows[50:75]
@@ -411,3 +413,76 @@ def test_jaccard_in_small_blocks(spark, rows, monkeypatch):
 
 def test_jaccard_of_nothing(none):
     assert jaccard.links(none).count() == 0
+
+
+def removals(rows, width=35):
+    """Rows in order as (n_words, n_removed, digest), by plain loops over rows, whatever their ids."""
+    toks, starts = [words(t) for _, t in rows], Counter()
+    for w in toks:
+        starts.update(tuple(w[k : k + width]) for k in range(len(w) - width + 1))
+    out = []
+    for w in toks:
+        under = [False] * len(w)
+        for k in range(len(w) - width + 1):
+            if starts[tuple(w[k : k + width])] > 1:
+                under[k : k + width] = [True] * width
+        out.append((len(w), sum(under), hashlib.sha256(b" ".join(x for x, u in zip(w, under, strict=True) if not u)).hexdigest()))
+    return out
+
+
+def twins():
+    """Two different words of 1,024 characters, a Thue-Morse word and its complement, and the same of 1,024 words."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    return ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)], [" ".join(("left", "right")[b ^ flip] for b in bits) for flip in (0, 1)]
+
+
+def repeated():
+    """Rows whose ids repeat or are null, with different and with equal texts."""
+    r = random.Random(11)
+    make = lambda n: [f"v{r.randrange(4000)}" for _ in range(n)]
+    shared, near = make(63), make(80)
+    other = [*near]
+    other[40] = "changed"
+    (one, two), (left, right) = twins()
+    rows = [(1, " ".join(make(150) + shared + make(107))), (1, " ".join(shared)), (2, " ".join(make(9) + shared)), (1, " ".join(near)), (5, " ".join(near)), (9, " ".join(other))]
+    rows += [(None, " ".join(other)), (None, " ".join(make(50))), (None, None), (7, ""), (7, None), (8, left), (8, right), (3, " ".join(near)), (3, " ".join(near))]
+    return rows + [(20 + k, " ".join([*(f"q{j}" for j in range(39)), w])) for k, w in enumerate((one, two))]
+
+
+def test_substring_dedup_of_repeated_ids(spark):
+    rows = repeated()
+    out = substring_dedup.dedup(frame(spark, rows).repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in out) == sorted((str(i), *x) for (i, _), x in zip(rows, removals(rows), strict=True))
+
+
+def test_jaccard_of_repeated_ids(spark):
+    rows = repeated()
+    plain = jaccard_components(list(enumerate(t for _, t in rows)), 4, 85, 100)
+    least = {}
+    for k, (n, c) in plain.items():
+        least.setdefault(c, []).extend([rows[k][0]] if rows[k][0] is not None else [])
+    want = sorted((str(rows[k][0]), n, str(min(least[c], default=None))) for k, (n, c) in plain.items())
+    got = jaccard.links(frame(spark, rows).repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+    kept = jaccard.distinct(frame(spark, rows).repartition(3), width=4, num=85)
+    assert kept.count() == len({c for _, c in plain.values()}) and len(kept.columns) == 9
+
+
+def test_hashes_of_thue_morse_words_differ():
+    (one, two), (left, right) = twins()
+    for which in (0, 1):
+        h = _text.Words(pa.array([one, two, left, right])).hashes(which)
+        assert h[0] != h[1] and len(np.unique(h)) == 4
+        assert _text.window_hash(h[2:1026], 1024) != _text.window_hash(h[1026:], 1024)
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab") for _ in range(r.randint(0, 300))) for _ in range(3000)]
+    assert len(np.unique(_text.Words(pa.array(texts)).hashes())) == len(set(texts) - {""})
+
+
+def test_one_key_in_every_pack(spark):
+    """A key of all documents costs a shard one entry a pack."""
+    nums = np.arange(5000)
+    sent = exchange.packed(nums, nums, np.full(5000, 12345, np.uint64), 64)
+    assert sent.num_rows == 2 and len(sent.column("k0")[1].as_py()) == 4
+    df = spark.createDataFrame([tuple(x) for x in zip(*[c.to_pylist() for c in sent.columns], strict=True)], exchange.WRITTEN)
+    assert sorted((r.num, r.hits) for r in exchange.shared(df, 64).collect()) == [(k, 1) for k in range(5000)]
