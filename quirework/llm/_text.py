@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,10 @@ LONG, MASKS = 128, np.asarray([(1 << 8 * k) - 1 for k in range(9)], U)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 SAME = np.arange(256, dtype=np.uint8)
-#: The column that ``numbered`` adds; keys that hold more than a HOT-th of all rows are fewer than HOT.
-NUM, HOT = "_num", 50_000
+#: The column that ``numbered`` adds; keys that hold more than a HOT-th of all rows are fewer than HOT; files listed for all tasks.
+NUM, HOT, FILES = "_num", 50_000, 20_000
+#: Numbers of rows that every task may hold (8 bytes each); more are joined by a shuffle.
+FEW_TEXTS = 200_000
 LOWER = SAME.copy()
 LOWER[65:91] += 32
 
@@ -191,7 +194,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/quirework-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``checkpointed`` wrote; only once all that is made of it is written, too."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -215,8 +227,28 @@ def type_of(df: DataFrame, name: str) -> str:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The rows in a written table, each with a number of its own, ``NUM``: ids may repeat or be null."""
-    return checkpointed(docs.select(F.monotonically_increasing_id().alias(NUM), "*"))
+    """The rows, each with a number of its own, ``NUM``: ids may repeat or be null.
+
+    Rows of files are numbered by file and place, the same in every pass; other rows are
+    written first.  So are those of more than ``FILES`` files, whose list every task would hold.
+    """
+    try:
+        paths = sorted(r[0] for r in docs.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.row_index")).select("p").distinct().limit(FILES + 1).collect())
+    except AnalysisException:
+        paths = None
+    if paths is None or len(paths) > FILES:
+        return numbered(checkpointed(docs)) if paths is None else checkpointed(docs.select(F.monotonically_increasing_id().alias(NUM), "*"))
+    files = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), "_file string, _order long")
+    rows = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_place"))
+    rows = rows.join(F.broadcast(files), F.col("_path") == F.col("_file"))
+    return rows.select((F.shiftleft("_order", 40) + F.col("_place")).alias(NUM), *docs.columns)
+
+
+def of_nums(texts: DataFrame, used: DataFrame) -> DataFrame:
+    """(num, text) of the numbers in ``used``; texts only move if there are too many numbers to send."""
+    used = checkpointed(used.select(F.col("num").alias("used")).distinct())
+    few = used.count() <= FEW_TEXTS
+    return texts.join(F.broadcast(used) if few else used, texts["num"] == used["used"], "left_semi")
 
 
 def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int, row_id: str, where: Column | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._text import U, checkpointed, mix, release, thick, thin
+from quirework.llm._text import U, checkpointed, discard, mix, release, thick, thin
 
 WRITTEN = "pack long, shard int, k0 binary, k1 binary, n binary, size binary, row binary, at binary"
 FIELDS = [f.split()[0] for f in WRITTEN.split(", ")]
@@ -37,7 +37,8 @@ def starts(shards: int) -> np.ndarray:
 def packed(nums: np.ndarray, row: np.ndarray, key: np.ndarray, shards: int, at: np.ndarray | None = None, second: np.ndarray | None = None, exact: bool = False) -> pa.RecordBatch:
     """What a pack writes: entries (row in the pack, key, place); counts above 2 only if ``exact``.
 
-    Without ``second``, keys are cut to 48 bits behind those that tell the shard.
+    Without ``second``, keys are cut to 48 bits behind those that tell the shard; with it,
+    a key has 64 bits and 32 of the second.
     """
     order = np.argsort(key, kind="stable") if second is None else np.lexsort((second, key))
     k = key[order]
@@ -62,20 +63,23 @@ def packed(nums: np.ndarray, row: np.ndarray, key: np.ndarray, shards: int, at:
             short = (names[a:b] - least[s]) >> shift
             k0, k1 = short.astype(np.uint32).tobytes(), (short >> U(32)).astype(np.uint16).tobytes()
         else:
-            k0, k1 = names[a:b].tobytes(), s2[first[a:b]].tobytes()
+            k0, k1 = names[a:b].tobytes(), s2[first[a:b]].astype(np.uint32).tobytes()
         out.append((pack, s, k0, k1, thin(count[a:b]), thin(size[a:b]), thin(row[x:y]), None if at is None else thin(at[x:y])))
     kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], FIELDS)
 
 
-def keys_of(k0: bytes, k1: bytes) -> tuple[np.ndarray, np.ndarray | None]:
-    if len(k0) == len(k1):
-        return np.frombuffer(k0, U), np.frombuffer(k1, U)
+def keys_of(k0: bytes, k1: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    if wide:
+        return np.frombuffer(k0, U), np.frombuffer(k1, np.uint32)
     return np.frombuffer(k0, np.uint32).astype(U) | (np.frombuffer(k1, np.uint16).astype(U) << U(32)), None
 
 
-def shared(sent: DataFrame, shards: int, *, places: bool = False, names: bool = False) -> DataFrame:
-    """(num, hits) of every document with keys that occur twice or more, with their places (at) or names and counts (name, n)."""
+def shared(sent: DataFrame, shards: int, *, places: bool = False, names: bool = False, wide: bool = False) -> DataFrame:
+    """(num, hits) of every document with keys that occur twice or more, with their places (at) or names and counts (name, n).
+
+    ``wide``: packed with second keys.
+    """
     sent = checkpointed(sent)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,14 +87,14 @@ def shared(sent: DataFrame, shards: int, *, places: bool = False, names: bool =
         for batch in batches:
             for pack, shard, k0, k1, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 who.append((pack, shard))
-                parts.append(keys_of(k0, k1))
+                parts.append(keys_of(k0, k1, wide))
                 counts.append(thick(n))
         if not who:
             return
         length = np.asarray([len(c) for c in counts])
         shard = np.repeat(np.asarray([s for _, s in who]), length)
         key, weight = np.concatenate([p[0] for p in parts]), np.concatenate(counts).astype(np.int64)
-        by = (key, shard) if parts[0][1] is None else (np.concatenate([p[1] for p in parts]), key)
+        by = (key, shard) if not wide else (np.concatenate([p[1] for p in parts]), key)
         del parts, counts
         order = np.lexsort(by)
         fresh = np.ones(len(order), bool)
@@ -156,4 +160,6 @@ def shared(sent: DataFrame, shards: int, *, places: bool = False, names: bool =
         lists = [pa.ListArray.from_arrays(ends, pa.array(x[order].astype(np.int64 if names and k == 0 else np.int32))) for k, x in enumerate(columns[1:])]
         return pa.RecordBatch.from_arrays([pa.array(nums[row]), pa.array(many.astype(np.int32)), *lists], ["num", "hits", *["at"] * places, *["name", "n"] * names])
 
-    return back.mapInArrow(expand, schema)
+    out = checkpointed(back.mapInArrow(expand, schema))
+    discard(sent)
+    return out

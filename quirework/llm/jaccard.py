@@ -16,10 +16,10 @@ are indexed one by one and frequent tokens by pairs within a part.  B depends on
 size class; a document is indexed under its own and the next one, so any two that can
 link meet in one.
 
-Documents with equal sets form a class that is joined once.  Members of a signature
-are compared with its smallest member first, which settles groups of copies.  Where a
-signature still spans several components, its members outside the largest of them meet
-all its members.  Both comparisons run in units of bounded rows and bytes, which hold the
+Documents with equal sets form a class that is joined once.  Signatures with the same
+smallest member form one group.  Its members are compared with the smallest one first,
+which settles groups of copies.  Where a group still spans several components, its
+members outside the largest of them meet all its members.  Both comparisons run in units of bounded rows and bytes, which hold the
 texts, check every pair of different components (first an exact bound by bucketed counts,
 then the sets) and merge components as they go: a unit yields fewer links than it has
 members, no pairs of a group are written out, and no link between components is lost.
@@ -37,18 +37,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm import exchange
-from quirework.llm._text import LOWER, NUM, U, Words, checkpointed, join_counted, mix, numbered, pieces, release, signed, window_hash
+from quirework.llm._text import LOWER, NUM, U, Words, checkpointed, join_counted, mix, numbered, of_nums, pieces, release, signed, window_hash
 from quirework.llm.components import components
 
 #: Part of the hash range for which it is found out whether a token is shared.
 SPAN = 0.3
 LIMIT = U(int(SPAN * (1 << 64)))
-#: Numbers of texts to compare that every task may hold (8 bytes each); more are joined by a shuffle.
-FEW_TEXTS = 200_000
 #: Tokens of the span a shard at most, and shards at least.
 SHARD_TOKENS, LEAST_SHARDS = 2_000_000, 64
 #: In how many documents a frequent token is at least, and tokens a part.
@@ -183,35 +181,40 @@ def grouped(base: DataFrame, text_col: str, width: int, num: int, den: int) -> t
     groups = sigs.groupBy("sig").agg(F.min("num").alias("low"), F.max("num").alias("high"), F.count(F.lit(1)).alias("g"), F.bit_xor(F.xxhash64("num")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "num")).alias("x2")).where("low < high")
     groups = groups.groupBy("low", "high", "g", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", "low")
     shared = checkpointed(sigs.join(groups, "sig"))
-    # the smallest member of each signature against the others
+    # a unit: the smallest member of a signature, and the members of all signatures in which it is the smallest
     stars = shared.where("num > low").select(F.col("low").alias("unit"), "num").distinct().join(facts.select("num", "n"), "num")
-    hubs = stars.groupBy("unit").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("tokens")).join(facts.select(F.col("num").alias("unit"), F.col("n").alias("hub")), "unit")
-    # a member whose size allows no link with the hub needs no comparison with it
-    dealt = stars.join(hubs, "unit").where((den * F.least("n", "hub")) >= (num * F.greatest("n", "hub"))).select("unit", F.lit(0).alias("i"), block(blocks(F.col("g"), F.col("tokens"))).alias("j"), F.lit(False).alias("o"), "num", F.col("num").alias("comp"))
-    heads = dealt.select("unit", "i", "j").distinct().select("unit", "i", "j", F.lit(True).alias("o"), F.col("unit").alias("num"), F.col("unit").alias("comp"))
-    linked = checkpointed(settle(dealt.unionByName(heads), texts, width, num, den))
+    hubs = stars.select("unit").distinct().join(facts.select(F.col("num").alias("unit"), "n"), "unit")
+    members = checkpointed(stars.select("unit", "num", "n").unionByName(hubs.select("unit", F.col("unit").alias("num"), "n")))
+    # first the smallest one is held against the others; sizes may rule a link out
+    hub = hubs.withColumnRenamed("n", "hub")
+    near = members.where("num <> unit").join(hub, "unit").where((den * F.least("n", "hub")) >= (num * F.greatest("n", "hub")))
+    dealt = dealt_in_blocks(near.withColumn("comp", F.col("num")), near.groupBy("unit").agg(F.lit(1).alias("outer"), F.lit(0).cast("long").alias("outer_tokens"), F.count(F.lit(1)).alias("all"), F.sum("n").alias("tokens"), F.lit(-1).cast("long").alias("most")))
+    heads = dealt.where("not o").select("unit", "i", "j").distinct().select("unit", "i", "j", F.lit(True).alias("o"), F.col("unit").alias("num"), F.col("unit").alias("comp"))
+    linked = checkpointed(settle(dealt.where("not o").unionByName(heads), texts, width, num, den))
     comp = components(linked)
-    # signatures that still span several components: members outside the largest one meet all members
-    where = checkpointed(shared.select("sig", "num").join(comp.withColumnRenamed("id", "num"), "num", "left").join(facts.select("num", "n"), "num").select("sig", "num", "n", F.coalesce("comp", "num").alias("comp")))
-    per = where.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("tokens"))
-    mixed = per.groupBy("sig").agg(F.max(F.struct("g", "tokens", "comp")).alias("top"), F.sum("g").alias("g"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    mixed = mixed.select("sig", F.col("top.comp").alias("most"), blocks(F.col("g") - F.col("top.g"), F.col("tokens") - F.col("top.tokens")).alias("many_o"), blocks(F.col("g"), F.col("tokens")).alias("many"))
-    rows = where.join(mixed, "sig")
-    few = rows.where("comp <> most").select(F.col("sig").alias("unit"), block(F.col("many_o")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("j"), F.lit(True).alias("o"), "num", "comp")
-    all_ = rows.select(F.col("sig").alias("unit"), F.explode(F.sequence(F.lit(0), F.col("many_o") - 1)).alias("i"), block(F.col("many")).alias("j"), F.lit(False).alias("o"), "num", "comp")
-    more = checkpointed(settle(few.unionByName(all_), texts, width, num, den))
+    # units that still span several components: members outside the largest one meet all members
+    where = checkpointed(members.join(comp.withColumnRenamed("id", "num"), "num", "left").select("unit", "num", "n", F.coalesce("comp", "num").alias("comp")))
+    per = where.groupBy("unit", "comp").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("tokens"))
+    mixed = per.groupBy("unit").agg(F.max(F.struct("g", "tokens", "comp")).alias("top"), F.sum("g").alias("all"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    mixed = mixed.select("unit", F.col("top.comp").alias("most"), (F.col("all") - F.col("top.g")).alias("outer"), (F.col("tokens") - F.col("top.tokens")).alias("outer_tokens"), "all", "tokens")
+    more = checkpointed(settle(dealt_in_blocks(where, mixed), texts, width, num, den))
     if more.limit(1).count():
         comp = components(linked.unionByName(more))
     classes = checkpointed(reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("n", "c1", "c2", "rep", "copies", F.coalesce("comp", "rep").alias("comp")))
     return documents, classes, totals.rows
 
 
-def blocks(members: Column, tokens: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(members / BLOCK), F.ceil(tokens / BLOCK_TOKENS)).cast("int")
+def dealt_in_blocks(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """(unit, i, j, o, num, comp): rows outside the component ``most`` in blocks i (o), all rows in blocks j.
 
-
-def block(many: Column) -> Column:
-    return F.pmod(F.xxhash64("num"), many).cast("int")
+    ``rows``: unit, num, n, comp; ``units``: unit, most, and members and tokens of either kind.
+    """
+    blocks = lambda members, tokens: F.greatest(F.lit(1), F.ceil(F.col(members) / BLOCK), F.ceil(F.col(tokens) / BLOCK_TOKENS)).cast("int")
+    own = lambda many: F.pmod(F.xxhash64("num"), F.col(many)).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    sized = rows.join(units.select("unit", "most", blocks("outer", "outer_tokens").alias("many_o"), blocks("all", "tokens").alias("many")), "unit")
+    few = sized.where("comp <> most").select("unit", own("many_o").alias("i"), every("many").alias("j"), F.lit(True).alias("o"), "num", "comp")
+    return few.unionByName(sized.select("unit", every("many_o").alias("i"), own("many").alias("j"), F.lit(False).alias("o"), "num", "comp"))
 
 
 def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -242,13 +245,6 @@ def distinct(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return base.join(kept, base[NUM] == kept["num"], "left_semi").select(*docs.columns)
 
 
-def of_nums(texts: DataFrame, used: DataFrame) -> DataFrame:
-    """(num, text) of the numbers in ``used``; texts only move if there are too many numbers to send."""
-    used = checkpointed(used.select(F.col("num").alias("used")).distinct())
-    few = used.count() <= FEW_TEXTS
-    return texts.join(F.broadcast(used) if few else used, texts["num"] == used["used"], "left_semi")
-
-
 def allowed(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
     """Do sizes and bucketed counts allow sets to link: shared tokens are at most the sum of the smaller counts."""
     most = np.minimum(x, y).sum(-1, dtype=np.int64)

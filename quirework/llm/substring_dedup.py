@@ -12,12 +12,12 @@ window of ``width`` words holds a boundary that survives in each of its occurren
 ``REACH`` words of the window on both sides.
 
 1. Surviving boundaries are named by the ``REACH`` words before and after them, which
-   settle the symbols that meet there.  Names that occur twice anywhere are found by
-   ``exchange.shared``: a passage that a third of all documents share costs a shard one
-   entry a pack.
-2. A window can only repeat if all its surviving boundaries are shared.  Such windows,
-   of documents with a shared boundary, get a 128-bit hash of their words, and the
-   same exchange finds the hashes that occur at two starts.
+   settle the symbols that meet there.  A window's anchor is its boundary with the least
+   name, the same one in each of its occurrences.  Anchors that occur twice anywhere are
+   found by ``exchange.shared``: a passage that a third of all documents share costs a
+   shard one entry a pack.
+2. A window can only repeat if its anchor is shared.  Such windows get a 96-bit hash of
+   their words, and the same exchange finds the hashes that occur at two starts.
 3. Every word under such a window goes.
 
 Documents with the very same words are one class: with ``width`` words or more all their
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm import exchange
-from quirework.llm._text import NUM, ODD, U, Words, checkpointed, join_counted, mix, numbered, pieces, window_hash
+from quirework.llm._text import NUM, ODD, U, Words, checkpointed, join_counted, mix, numbered, of_nums, pieces, window_hash
 
 #: Most words of a symbol made in each round.
 CAPS = (2, 4)
@@ -82,10 +82,20 @@ def boundaries(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return start
 
 
-def anchors(words: Words, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Surviving boundaries with REACH words of their document on both sides."""
+def anchors(words: Words, h: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows, the anchor of each (a word's index), and the names of the boundary before every word."""
+    n = len(h)
+    name = np.full(n + 1, ~U(0), U)
     b = boundaries(h, rows)
-    return b[(b - words.rows[:-1][rows[b]] >= REACH) & (words.rows[1:][rows[b]] - b >= REACH)]
+    b = b[(b >= REACH) & (b + REACH <= n)]
+    name[b] = np.minimum(window_hash(h, 2 * REACH)[b - REACH], ~U(1))
+    start = np.arange(max(0, n - width + 1))
+    start = start[rows[start] == rows[start + width - 1]]
+    if not len(start):
+        return start, start, name
+    least = np.lib.stride_tricks.sliding_window_view(name[REACH : n + 1], width - 2 * REACH + 1)
+    anchor = np.concatenate([least[part].argmin(1) for part in np.array_split(start, len(start) // 65536 + 1)])
+    return start, start + REACH + anchor, name
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 35) -> DataFrame:
@@ -109,34 +119,30 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
         for batch in pieces(batches):
             words = Words(batch.column(1))
             h, rows = words.hashes(), words.row_of()
-            at = anchors(words, h, rows)
+            _, at, name = anchors(words, h, rows, width)
+            at = np.unique(at)
             if len(at):
-                yield exchange.packed(batch.column(0).to_numpy(), rows[at], window_hash(h, 2 * REACH)[at - REACH], shards, at - words.rows[rows[at]])
+                yield exchange.packed(batch.column(0).to_numpy(), rows[at], name[at], shards, at - words.rows[rows[at]])
 
     shared = exchange.shared(base.select(NUM, "text").mapInArrow(name_boundaries, exchange.WRITTEN), shards, places=True)
     shared = shared.join(classes.select(F.col("rep").alias("num")), "num", "left_semi")
-    texts = checkpointed(base.join(shared, base[NUM] == shared["num"]).select("num", "text", "at"))
+    shared = checkpointed(shared)
+    texts = checkpointed(of_nums(base.select(F.col(NUM).alias("num"), "text"), shared).join(shared, "num").select("num", "text", "at"))
 
     def name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             words = Words(batch.column(1))
             h, rows = words.hashes(), words.row_of()
-            n = len(h)
-            at, lists = anchors(words, h, rows), batch.column(2)
-            known = np.zeros(n + 1, bool)
+            start, at, _ = anchors(words, h, rows, width)
+            lists = batch.column(2)
+            known = np.zeros(len(h) + 1, bool)
             known[np.repeat(words.rows[:-1], np.asarray(lists.value_lengths())) + lists.flatten().to_numpy()] = True
-            lone = np.zeros(n + 1, np.int64)
-            lone[at[~known[at]]] = 1
-            lone = np.concatenate([[0], np.cumsum(lone)])
-            start = np.arange(max(0, n - width + 1))
-            start = start[rows[start] == rows[start + width - 1]]
-            # boundaries between REACH and width - REACH words into the window must all be shared
-            start = start[lone[start + width - REACH + 1] == lone[start + REACH]]
+            start = start[known[at]]
             if len(start):
                 one, two = window_hash(h, width)[start], window_hash(words.hashes(1), width)[start]
                 yield exchange.packed(batch.column(0).to_numpy(), rows[start], one, shards, start - words.rows[rows[start]], two)
 
-    windows = exchange.shared(texts.mapInArrow(name_windows, exchange.WRITTEN), shards, places=True)
+    windows = exchange.shared(texts.mapInArrow(name_windows, exchange.WRITTEN), shards, places=True, wide=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -152,7 +158,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
                 kept.append(b" ".join([w for w, u in zip(words, under.tolist(), strict=True) if not u]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string())], ["num", "removed", "kept"])
 
-    hit = texts.select("num", "text").join(windows.select("num", F.col("at").alias("starts")), "num")
+    hit = of_nums(texts.select("num", "text"), windows).join(windows.select("num", F.col("at").alias("starts")), "num")
     changed = hit.mapInArrow(cut, "num long, removed long, kept string")
     copied = classes.where("copies > 1").select("sha", "copies", F.lit(True).alias("copied"))
     out = join_counted(facts, copied, ["sha"], "copies", size.rows, "num", F.col("n") >= width)

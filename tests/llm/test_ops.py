@@ -405,7 +405,7 @@ def test_jaccard_in_small_blocks(spark, rows, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 3)
     monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 300)
     monkeypatch.setattr(jaccard, "FREQUENT", 3)
-    monkeypatch.setattr(jaccard, "FEW_TEXTS", 0)
+    monkeypatch.setattr(_text, "FEW_TEXTS", 0)
     some = rows[:4] + rows[50:75]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.links(frame(spark, some)).collect()}
     assert got == jaccard_components(some, 4, 85, 100)
