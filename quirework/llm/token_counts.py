@@ -3,9 +3,11 @@
 Pieces are counted once per distinct pre-token and joined to the per-document
 pre-token frequencies.  The most frequent pre-tokens of a small sample (a bounded
 table, which only decides where a pre-token is counted, never the result) are
-counted up front and sent to the tasks; every other pre-token goes through a
-shuffle join.  So a word that fills the corpus never lands in one task, and the
-shuffle carries the rare pre-tokens only.
+counted up front and sent to the tasks; every other pre-token is dealt by its text.
+There, rows of one pre-token lie side by side, its pieces are counted once, and the count
+is joined to the frequencies of the documents on the spot, so texts are split only once.
+A word that fills the corpus never lands in one task, and the shuffle carries the rare
+pre-tokens only.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); rows that repeat an
 id are pooled into one row whose counts add up; an empty table gives no rows; other
@@ -19,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,14 +106,21 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([of.take(pa.array(ids, pa.int32())), pa.array(keys, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["id", "word", "n", "n_bytes"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(vocabulary)
+        tokenizer, last = load(vocabulary), (None, 0)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count_pieces(tokenizer, batch.column(0).to_pylist()), pa.int64())], ["word", "k"])
+            words = batch.column(1).dictionary_encode()
+            names = words.dictionary.to_pylist()
+            # rows come in order, so only a batch's first pre-token can be known from the one before
+            known = [last[1]] if names and names[0] == last[0] else []
+            k = np.asarray(known + count_pieces(tokenizer, names[len(known) :]) + [1], np.int64)
+            if names:
+                last = names[-1], int(k[len(names) - 1])
+            at = words.indices.fill_null(len(names)).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch.column(2).to_numpy() * k[at]), batch.column(3)], ["id", "n", "n_bytes"])
 
     # A row without a word holds what is already summed; its key spreads such rows evenly.
     seen = docs.mapInArrow(frequencies, f"id {kind}, word string, n long, n_bytes long").withColumn("key", F.coalesce("word", F.concat(F.lit("\0"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
-    dealt = seen.repartition("key")
-    once = dealt.where("word is not null").groupBy("key").agg(F.count(F.lit(1)).alias("uses")).select("key").mapInArrow(counted, "word string, k long").withColumnRenamed("word", "key")
-    joined = dealt.join(once.hint("merge"), "key", "left")
-    out = joined.groupBy("id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("n") * F.coalesce("k", F.lit(1))).alias("n_tokens"))
+    dealt = seen.repartition("key").sortWithinPartitions("key").select("id", "word", "n", "n_bytes")
+    joined = dealt.mapInArrow(counted, f"id {kind}, n long, n_bytes long")
+    out = joined.groupBy("id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
