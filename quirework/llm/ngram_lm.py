@@ -13,7 +13,7 @@ a context, with one unseen type, sum to one.
    that only spreads the work and changes no result.  Batches then send pairs that end
    in a head word to the shard of (context, part of the words), and pairs that end in
    another word to the shard of that word, where they add up to its count.  Each entry
-   carries its row in the batch, so training counts and the texts to be scored meet in
+   carries its row so training counts and the texts to be scored meet in
    one exchange, however frequent a word or a pair is.
 3. A shard builds its trie (``elias_fano.Trie``: monotone pointers, quantised logs of
    c(v w) + strength * P(w), in levels mapped from a file), looks up all its pairs by
@@ -23,8 +23,8 @@ a context, with one unseen type, sum to one.
 Nothing of the model is gathered on the driver but the bounded head; shards grow in
 number with the corpus.
 
-Defined cases: a null text counts as empty (one end token); rows that repeat an id are
-pooled; an empty training part scores by the unseen type alone; other columns are ignored.
+Defined cases: a null text counts as empty (one end token); every row is a document of
+its own, whether its id repeats or is null; an empty training part scores by the unseen type alone; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm._text import LOWER, U, Words, checkpointed, mix, pieces, release, type_of
+from quirework.llm._text import LOWER, NUM, U, Words, checkpointed, mix, numbered, pieces, release, thick, thin
 from quirework.llm.elias_fano import Trie
 
 #: Frequent words whose counts all tasks hold, strength of the prior, bytes of a batch, tokens a shard, shards at least.
@@ -65,16 +65,13 @@ def shard_slices(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarr
         yield int(s), order[ends[s] : ends[s + 1]]
 
 
-def thin(x: np.ndarray) -> bytes:
-    """Integers in as few bytes each as the largest needs; the first byte says how many."""
-    most = int(x.max(initial=0))
-    kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64
-    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
-
-
-def thick(data: pa.Scalar) -> np.ndarray:
-    raw = np.frombuffer(data.as_buffer(), np.uint8)
-    return np.frombuffer(raw[1:].tobytes(), f"u{raw[0]}").astype(np.int64 if raw[0] < 8 else U)
+def packs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Pieces whose first column, the number of the row, grows by little from row to row."""
+    for batch in pieces(batches, limit=limit):
+        step = np.diff(batch.column(0).to_numpy())
+        cut = [0, *(np.flatnonzero((step <= 0) | (step > 1 << 16)) + 1).tolist(), batch.num_rows]
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            yield batch.slice(x, y - x)
 
 
 def grouped(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,8 +84,8 @@ def grouped(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, strength: float = STRENGTH) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every document; training marks the rows to learn from."""
-    spark, kind = docs.sparkSession, type_of(docs, id_col)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
+    spark = docs.sparkSession
+    base = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("train")))
     size = base.where("train").agg(F.sum(F.length("text")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
     shards = max(LEAST_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size.n or 0) / 6 / SHARD_TOKENS))
 
@@ -106,7 +103,7 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
         for batch in batches:
             for i in range(batch.num_rows):
                 keys.append(np.frombuffer(batch.column(1)[i].as_buffer(), U))
-                counts.append(thick(batch.column(2)[i]))
+                counts.append(thick(batch.column(2)[i].as_py()))
         key, at = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
         # each shard has its share of the head; more than enough of its own most frequent words
@@ -135,8 +132,10 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, c = shared()
         keys, start = hashes[:-1], len(hashes) - 1
-        for batch in pieces(batches, limit=BATCH):
-            n = batch.num_rows
+        for batch in packs(batches, BATCH):
+            n, nums = batch.num_rows, batch.column(0).to_numpy()
+            # a row is told by how far its number is from the pack's first, and whether it is learned from
+            pack, off = int(nums[0]), nums - nums[0]
             train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             h, rows, first = tokens(batch.column(1))
             sym = np.searchsorted(keys, h)
@@ -155,7 +154,7 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
             known = np.bincount(rows[common], minlength=n)
             length = np.bincount(rows, minlength=n)
             out: list[tuple] = []
-            flags = thin(train.astype(np.int64))
+            code = 2 * off + train
             before = np.where(first, start, np.concatenate([[0], sym[:-1]]))
             pair, r, k = grouped(before * len(names) + sym, rows)
             left, right = pair // len(names), pair % len(names)
@@ -166,17 +165,15 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
                 some = np.unique(np.concatenate([x[x > start], y[y > start]]))
                 x, y = (np.where(v > start, start + 1 + np.searchsorted(some, v), v) for v in (x, y))
                 key = x * (start + 1 + len(some)) + y
-                out.append((s, 1, flags, names[some].tobytes(), thin(np.diff(key, prepend=0)), thin(r[o]), thin(k[o])))
-            m = len(out)
-            ids = batch.column(0)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * n, pa.int32()), pa.concat_arrays([ids] * m))
-            columns = [pa.array([x[0] for x in out], pa.int32()), lists, pa.array([x[1] for x in out], pa.int32()), *[pa.array([x[i] for x in out], pa.binary()) for i in (2, 3, 4, 5, 6)]]
-            columns += [pa.nulls(m, pa.list_(pa.float64())), pa.nulls(m, pa.list_(pa.float64())), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))]
-            fields = ["shard", "ids", "kind", "train", "name", "key", "row", "n", "sums", "score", "known", "length"]
+                out.append((s, names[some].tobytes(), thin(np.diff(key, prepend=0)), thin(code[r[o]]), thin(k[o])))
+            m, none = len(out), pa.list_(pa.float64())
+            columns = [pa.array([x[0] for x in out], pa.int32()), pa.array([pack] * m, pa.int64()), *[pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3, 4)]]
+            columns += [pa.nulls(m, none), pa.nulls(m, none), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))]
+            fields = ["shard", "pack", "name", "key", "row", "n", "sums", "score", "known", "length"]
             yield pa.RecordBatch.from_arrays(columns, fields)
             lone = lambda x: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(x))
             spread = int(h[0] % U(shards)) if len(h) else 0
-            columns = [pa.array([spread], pa.int32()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids), pa.array([2], pa.int32()), *[pa.nulls(1, pa.binary())] * 5, lone(one), lone(two), lone(known.astype(np.int64)), lone(length.astype(np.int64))]
+            columns = [pa.array([spread], pa.int32()), pa.array([pack], pa.int64()), *[pa.nulls(1, pa.binary())] * 2, pa.array([thin(code)], pa.binary()), pa.nulls(1, pa.binary()), lone(one), lone(two), lone(known.astype(np.int64)), lone(length.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, fields)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,14 +183,13 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
         for batch in batches:
             for i in range(batch.num_rows):
                 get = lambda j, i=i, batch=batch: batch.column(j)[i]
-                ids = get(1).values
-                if get(2).as_py() == 2:
-                    yield result(ids, *[get(j).values.to_numpy() for j in (8, 9, 10, 11)])
+                pack, code = get(1).as_py(), thick(get(4).as_py())
+                if not get(2).is_valid:
+                    yield result(pack + (code >> 1), *[get(j).values.to_numpy() for j in (6, 7, 8, 9)])
                     continue
-                row, n = thick(get(6)), thick(get(7))
-                name = np.frombuffer(get(4).as_buffer(), U)
-                left, right = np.divmod(np.cumsum(thick(get(5)).astype(np.int64)), start + 1 + len(name))
-                held.append((ids, name, left.astype(np.int32), right.astype(np.int32), row.astype(np.int32), n.astype(np.int32), thick(get(3))[row] > 0))
+                name = np.frombuffer(get(2).as_buffer(), U)
+                left, right = np.divmod(np.cumsum(thick(get(3).as_py()).astype(np.int64)), start + 1 + len(name))
+                held.append((pack, name, left.astype(np.int32), right.astype(np.int32), (code >> 1).astype(np.int32), thick(get(5).as_py()).astype(np.int32), (code & 1) > 0))
         if held:
             yield from met(held)
         release()
@@ -233,19 +229,20 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
         share, seen = np.where(lone, np.log10(full[right] + 0.5), 0.0), lone & (full[right] > 0)
         del left, right, prior, got, trie, names, count, train
         done = 0
-        for ids, row in rows:
+        for pack, row in rows:
             part = slice(done, done + len(row))
             done += len(row)
-            sums = [np.bincount(row, weights=x[at[part]] * n[part], minlength=len(ids)) for x in (share, log, seen)]
-            some = np.flatnonzero(np.bincount(row, minlength=len(ids)))
-            yield result(ids.take(pa.array(some)), sums[0][some], sums[1][some], sums[2][some].astype(np.int64), np.zeros(len(some), np.int64))
+            some, place = np.unique(row, return_inverse=True)
+            sums = [np.bincount(place, weights=x[at[part]] * n[part]) for x in (share, log, seen)]
+            yield result(pack + some.astype(np.int64), sums[0], sums[1], sums[2].astype(np.int64), np.zeros(len(some), np.int64))
 
-    def result(ids: pa.Array, a: np.ndarray, b: np.ndarray, known: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids, pa.array(a), pa.array(b), pa.array(known, pa.int64()), pa.array(length, pa.int64())], ["id", "sums", "score", "known", "length"])
+    def result(nums: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(nums, pa.int64()), pa.array(a), pa.array(b), pa.array(known, pa.int64()), pa.array(length, pa.int64())], ["num", "sums", "score", "known", "length"])
 
-    blob = f"shard int, ids array<{kind}>, kind int, train binary, name binary, key binary, row binary, n binary, sums array<double>, score array<double>, known array<long>, length array<long>"
-    parts = base.mapInArrow(send, blob).repartition(shards, "shard").mapInArrow(meet, f"id {kind}, sums double, score double, known long, length long")
-    out = parts.groupBy("id").agg(F.sum("length").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("sums").alias("sums"), F.sum("score").alias("score"))
+    blob = "shard int, pack long, name binary, key binary, row binary, n binary, sums array<double>, score array<double>, known array<long>, length array<long>"
+    parts = base.select(NUM, "text", "train").mapInArrow(send, blob).repartition(shards, "shard").mapInArrow(meet, "num long, sums double, score double, known long, length long")
+    parts = parts.groupBy("num").agg(F.sum("length").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("sums").alias("sums"), F.sum("score").alias("score"))
+    out = parts.join(base.select(F.col(NUM).alias("num"), "id"), "num")
     return out.select(
         F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("sums") - F.col("n_tokens") * math.log10(scale)).alias("base_score"), "score",

@@ -237,11 +237,29 @@ def test_lm_scores_do_not_depend_on_the_head(docs, rows, head):
         assert abs(out[i].score - s) < 0.002 * len(ws) and math.isclose(out[i].base_score, base, rel_tol=1e-9)
 
 
-def test_lm_with_a_small_head_still_sums_to_one(spark):
-    d = spark.createDataFrame([(0, "a a b c a b"), (1, "a"), (2, "b"), (3, "c"), (4, "zz"), (5, "")], "doc_id long, text string")
-    out = {r.doc_id: r.score for r in ngram_lm.score(d, F.col("doc_id") == 0, head=2, strength=1.0).collect()}
-    # after the start: a, b, c, the unseen type, or the end (one token texts end after their word)
-    assert out[1] < 0 and out[1] > out[4]
+def test_lm_sums_to_one(spark):
+    """Over every text of one word and the unseen type, and on to the end: the chances behind a start, and behind each word, sum to one."""
+    learned, types = [(0, "a a b c a b"), (0, "b a")], ["a", "b", "c"]
+    asked = [(1, w) for w in [*types, "new", ""]] + [(2, f"{v} {w}") for v in types for w in [*types, "new"]]
+    d = spark.createDataFrame(learned + asked, "doc_id long, text string")
+    n, c = 10, {"a": 4, "b": 3, "c": 1, "</s>": 2}
+    pairs = Counter({("<s>", "a"): 1, ("<s>", "b"): 1, ("a", "a"): 1, ("a", "b"): 2, ("b", "c"): 1, ("c", "a"): 1, ("b", "</s>"): 1, ("b", "a"): 1, ("a", "</s>"): 1})
+    p1 = lambda w: (c.get(w, 0) + 0.5) / (n + 0.5 * 5)
+    p2 = lambda v, w: (pairs[v, w] + p1(w)) / (({"<s>": 2} | c).get(v, 0) + 1)
+    for v in ("<s>", *types):
+        assert math.isclose(sum(p2(v, w) for w in [*c, "new"]), 1)
+    for head in (0, 2, 1 << 17):
+        out = ngram_lm.score(d, F.col("doc_id") == 0, head=head, strength=1.0).where("doc_id > 0").collect()
+        want = sorted(sum(math.log10(p2(v, w)) for v, w in zip(["<s>", *t.split()], [*t.split(), "</s>"], strict=True)) for _, t in asked)
+        assert np.allclose(sorted(r.score for r in out), want, atol=0.005)
+
+
+def test_lm_of_repeated_ids(spark):
+    rows = repeated()
+    out = ngram_lm.score(frame(spark, rows).repartition(3), F.col("doc_id") == 1).collect()
+    c = Counter(w for i, t in rows if i == 1 for w in [*words(t), None])
+    want = sorted((str(i), len(words(t)) + 1, sum(w in c for w in [*words(t), None])) for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known) for r in out) == want
 
 
 def test_lm_of_nothing(none, docs):
