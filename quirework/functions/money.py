@@ -11,7 +11,9 @@ def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Col
 
 
 def price_cents(cost_usd: Column, markup: float = 3.0, least: int = 50) -> Column:
-    return F.greatest(F.lit(least).cast("long"), F.ceil(cost_usd * F.lit(float(markup)) * F.lit(100.0)).cast("long"))
+    """What a customer pays; work without a price is an error, never the minimum."""
+    cents = F.greatest(F.lit(least).cast("long"), F.ceil(cost_usd * F.lit(float(markup)) * F.lit(100.0)).cast("long"))
+    return F.when(cost_usd.isNull(), F.raise_error(F.lit("PRICING_NOT_CONFIGURED")).cast("long")).otherwise(cents)
 
 
 def output_estimate(tokens_in: Column) -> Column:

@@ -24,8 +24,9 @@ def _normalizer(form: str):
 
 
 def normal_form(text: Column, form: str = "NFC") -> Column:
-    """The normal form; a text of ASCII only is its own and stays in the JVM."""
-    return F.when(text.rlike("^[\\x00-\\x7F]*$"), text).otherwise(_normalizer(form)(text))
+    """The normal form; a text of ASCII only is its own, and Python gets a null in its place."""
+    wide = F.octet_length(text) != F.char_length(text)
+    return F.coalesce(_normalizer(form)(F.when(wide, text)), text)
 
 
 def trimmed(text: Column) -> Column:

@@ -2,42 +2,80 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from quirework.config import Budget
-from quirework.functions.money import effective_limit
+from quirework.functions.money import cost, effective_limit
 
 
-def decision(config: Budget, tokens_in: Column, tokens_out: Column, used: dict[str, Column], cost: Column | None = None) -> Column:
+def decision(config: Budget, tokens_in: Column, tokens_out: Column, used: dict[str, Column], spent: Column | None = None) -> Column:
     """The scope of the first limit that a batch would break, or null if it may go.
 
     ``used``: requests, run_in, run_out, day_in, day_out, month_in, month_out, and
-    cost_run, cost_day, cost_month where a cost is given.  Reaching a limit is allowed.
+    cost_run, cost_day, cost_month where ``spent``, the batch's cost, is given.  Reaching a limit is allowed.
     """
     m = config.margin_percent
     out = F.when((tokens_in > config.max_source_tokens_per_request) | (tokens_out > config.max_output_tokens_per_request), "REQUEST")
     out = out.when(used["requests"] + 1 > config.max_requests_per_run, "RUN")
     for scope, most_in, most_out in (("run", config.max_input_per_run, config.max_output_per_run), ("day", config.max_input_per_day, config.max_output_per_day), ("month", config.max_input_per_month, config.max_output_per_month)):
         out = out.when((used[f"{scope}_in"] + tokens_in > effective_limit(most_in, m)) | (used[f"{scope}_out"] + tokens_out > effective_limit(most_out, m)), scope.upper())
-    if cost is not None:
+    if spent is not None:
         for scope, most in (("run", config.max_cost_per_run), ("day", config.max_cost_per_day), ("month", config.max_cost_per_month)):
             if most is not None:
-                out = out.when(F.coalesce(used.get(f"cost_{scope}", F.lit(0.0)), F.lit(0.0)) + cost > most, "COST")
+                out = out.when(F.coalesce(used.get(f"cost_{scope}", F.lit(0.0)), F.lit(0.0)) + spent > most, "COST")
     return out
 
 
-def admitted(batches: DataFrame, run: str, order: str, tokens_in: str, tokens_out: str, config: Budget) -> DataFrame:
-    """Adds ``scope`` (the first broken limit) and ``admitted``: batches ahead of a run's first denial go.
+def admitted(batches: DataFrame, run: str | list[str], order: str, tokens_in: str, tokens_out: str, config: Budget, *, prices: tuple[float, float] | None = None) -> DataFrame:
+    """Adds ``scope`` (the first broken limit, or NOT_REACHED behind a run's first denial) and ``admitted``.
 
-    A batch beyond the request limits is resolved on its own and neither counts nor stops the run.
+    What the ledger held before a run comes in the columns ``day_in``, ``day_out``,
+    ``month_in`` and ``month_out`` (0 where a column is absent), with ``prices`` also in
+    ``cost_day`` and ``cost_month``; the run's own usage is added to it.  A batch beyond
+    the request limits is resolved on its own (``request_parts``) and neither counts nor
+    stops the run.
     """
+    run = [run] if isinstance(run, str) else run
     own = (F.col(tokens_in) > config.max_source_tokens_per_request) | (F.col(tokens_out) > config.max_output_tokens_per_request)
     rows = batches.withColumn("_in", F.when(own, 0).otherwise(F.col(tokens_in))).withColumn("_out", F.when(own, 0).otherwise(F.col(tokens_out))).withColumn("_one", F.when(own, 0).otherwise(1))
-    before = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    have = {n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in (("requests", "_one"), ("in", "_in"), ("out", "_out"))}
-    used = {"requests": have["requests"]} | {f"{s}_{d}": have[d] for s in ("run", "day", "month") for d in ("in", "out")}
-    rows = rows.withColumn("scope", decision(config, F.col(tokens_in), F.col(tokens_out), used))
-    stop = F.min(F.when(F.col("scope").isNotNull() & (F.col("scope") != "REQUEST"), F.col(order))).over(Window.partitionBy(run))
+    ahead = Window.partitionBy(*run).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    have = {n: F.coalesce(F.sum(c).over(ahead), F.lit(0)) for n, c in (("requests", "_one"), ("in", "_in"), ("out", "_out"))}
+    old = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in batches.columns else F.lit(0)
+    used = {"requests": have["requests"]} | {f"{s}_{d}": have[d] + (old(f"{s}_{d}") if s != "run" else 0) for s in ("run", "day", "month") for d in ("in", "out")}
+    spent = None
+    if prices:
+        of = lambda a, b: cost(a, b, *map(F.lit, prices))
+        used |= {f"cost_{s}": of(have["in"], have["out"]) + (old(f"cost_{s}") if s != "run" else 0) for s in ("run", "day", "month")}
+        spent = of(F.col(tokens_in), F.col(tokens_out))
+    rows = rows.withColumn("scope", decision(config, F.col(tokens_in), F.col(tokens_out), used, spent))
+    stop = F.min(F.when(F.col("scope").isNotNull() & (F.col("scope") != "REQUEST"), F.col(order))).over(Window.partitionBy(*run))
     rows = rows.withColumn("_stop", stop)
-    return rows.withColumn("admitted", F.col("scope").isNull() & (F.col("_stop").isNull() | (F.col(order) < F.col("_stop")))).drop("_in", "_out", "_one", "_stop")
+    late = F.col("_stop").isNotNull() & (F.col(order) > F.col("_stop"))
+    return rows.withColumn("scope", F.when(late, "NOT_REACHED").otherwise(F.col("scope"))).withColumn("admitted", F.col("scope").isNull()).drop("_in", "_out", "_one", "_stop")
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def request_parts(tokens: pd.Series, most_in: pd.Series, most_out: pd.Series) -> pd.Series:
+    """The request that each segment of a batch goes in: a batch over a request limit is halved, the first half the larger, until
+    the parts fit; a single segment that does not fit fails and has -1.  A batch's output is estimated from its input."""
+
+    def parts(sizes, limit_in: int, limit_out: int) -> list[int]:
+        out, number = [-1] * len(sizes), 0
+        waiting = [(0, len(sizes))] if len(sizes) else []
+        while waiting:
+            a, b = waiting.pop()
+            total = int(sum(sizes[a:b]))
+            if total <= limit_in and math.ceil(total * 1.2) <= limit_out:
+                out[a:b] = [number] * (b - a)
+                number += 1
+            elif b - a > 1:
+                middle = a + (b - a + 1) // 2
+                waiting += [(middle, b), (a, middle)]
+        return out
+
+    return pd.Series([parts(list(t), i, o) if t is not None else None for t, i, o in zip(tokens, most_in, most_out, strict=True)])

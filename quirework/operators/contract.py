@@ -16,10 +16,10 @@ def rule(source: Column, translated: Column, protected: Column | None = None) ->
 
 
 def outcome(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """(id, verdict, reason): requests (id, text), responses (id, ord, translated); the first response of an id counts."""
+    """(id, verdict, reason): requests (id, text), responses (id, ord, translated); the first response of an id counts, each later one is a duplicate."""
     first = Window.partitionBy("id").orderBy("ord")
     ranked = responses.withColumn("_r", F.row_number().over(first))
-    kept, again = ranked.where("_r = 1").drop("_r"), ranked.where("_r = 2").select("id").withColumns({"verdict": F.lit("duplicate"), "reason": F.lit(None).cast("string")})
+    kept, again = ranked.where("_r = 1").drop("_r"), ranked.where("_r > 1").select("id").withColumns({"verdict": F.lit("duplicate"), "reason": F.lit(None).cast("string")})
     both = requests.select("id", "text", F.lit(True).alias("asked")).join(kept, "id", "full_outer")
     broken = rule(F.col("text"), F.col("translated"))
     verdict = F.when(F.col("asked").isNull(), "unexpected").when(F.col("translated").isNull(), "missing").when(broken.isNotNull(), "rejected").otherwise("valid")

@@ -33,9 +33,11 @@ def with_offsets(rows: DataFrame, group: str, order: str, size: str, out: str) -
 
 def segments(docs: DataFrame) -> DataFrame:
     """(book, chapter, order_index, chapter_index, text, tokens): a book is a source, a chapter a document."""
-    arrays = docs.select(F.coalesce("source", F.lit("")).alias("book"), F.col("doc_id").alias("chapter"), F.filter(F.transform(F.split("text", "\n"), t.trimmed), lambda x: x != "").alias("blocks"))
-    placed = with_offsets(arrays.withColumn("n", F.size("blocks").cast("long")), "book", "chapter", "n", "first")
-    rows = placed.select("book", "chapter", "first", F.posexplode("blocks").alias("at", "text"))
+    blocks = F.filter(F.transform(F.split("text", "\n"), t.trimmed), lambda x: x != "")
+    own = docs.select(F.coalesce("source", F.lit("")).alias("book"), F.col("doc_id").alias("chapter"), blocks.alias("blocks"))
+    # offsets come from counts alone; texts are read once more, and never sorted
+    first = with_offsets(own.select("book", "chapter", F.size("blocks").cast("long").alias("n")), "book", "chapter", "n", "first").select("chapter", "first")
+    rows = own.join(first, "chapter").select("book", "chapter", "first", F.posexplode("blocks").alias("at", "text"))
     path = F.concat(F.lit("ch"), F.col("chapter").cast("string"))
     return rows.select("book", "chapter", (F.col("first") + F.col("at")).alias("order_index"), (F.col("at") + 1).cast("long").alias("chapter_index"), "text", t.estimated_tokens(F.col("text"), path).alias("tokens"))
 
@@ -47,16 +49,18 @@ def target(limit: int, margin: float) -> int:
 def packs(tokens: Column, most: int) -> Column:
     """Pack number of each element of an ordered token array: a new pack when the next would exceed ``most``.
 
-    A fold, since where a pack starts depends on where the one before ended.
+    A fold, since where a pack starts depends on where the one before ended; it keeps the
+    lengths of finished packs only, so an array is not copied at every element.
     """
-    zero = F.struct(F.lit(0).cast("long").alias("no"), F.lit(0).cast("long").alias("have"), F.array().cast("array<long>").alias("out"))
+    zero = F.struct(F.lit(0).cast("long").alias("have"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         new = (acc["have"] > 0) & (acc["have"] + x > most)
-        no = acc["no"] + F.when(new, 1).otherwise(0)
-        return F.struct(no.cast("long").alias("no"), F.when(new, x).otherwise(acc["have"] + x).cast("long").alias("have"), F.concat(acc["out"], F.array(no.cast("long"))).alias("out"))
+        have, n = F.when(new, x).otherwise(acc["have"] + x), F.when(new, F.lit(1)).otherwise(acc["n"] + 1)
+        return F.struct(have.cast("long").alias("have"), n.alias("n"), F.when(new, F.concat(acc["out"], F.array(acc["n"]))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(tokens, zero, step)["out"]
+    lengths = F.aggregate(tokens, zero, step, lambda acc: F.when(acc["n"] > 0, F.concat(acc["out"], F.array(acc["n"]))).otherwise(acc["out"]))
+    return F.flatten(F.transform(lengths, lambda n, k: F.array_repeat(k.cast("long"), n)))
 
 
 def batches(docs: DataFrame, limit: int = 400, margin: float = 20.0) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +22,69 @@ def latest(events: DataFrame, key: str, value: Column, order: Column) -> DataFra
     return events.groupBy(key).agg(F.max_by(value, order).alias("value"), F.count(F.lit(1)).alias("events"))
 
 
-def leases(attempts: DataFrame, key: str, holder: str, at: str, minutes: int = 30) -> DataFrame:
-    """Adds ``free``: no earlier attempt of another holder is still live."""
-    w = Window.partitionBy(key).orderBy(at)
-    last, who = F.lag(at).over(w), F.lag(holder).over(w)
-    live = (last + F.make_interval(mins=F.lit(minutes))) > F.col(at)
-    return attempts.withColumn("free", ~F.coalesce(live & (who != F.col(holder)), F.lit(False)))
+def leases(attempts: DataFrame, key: str, holder: str, at: str, order: str, minutes: int = 30) -> DataFrame:
+    """(order, key, holder, at, granted, held_by): who gets a key's lock, attempt by attempt.
+
+    A lock goes to whoever asks when it is free, run out, or their own; a refused attempt
+    changes nothing.  So every attempt depends on all before it: a fold over the sorted
+    attempts of a key, of which a task holds one state at a time.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in attempts.schema}
+    rows = attempts.select(key, F.col(at), F.col(order), holder).repartition(key).sortWithinPartitions(key, at, order)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, who, until, lease = object(), None, None, pd.Timedelta(minutes=minutes)
+        for frame in frames:
+            granted, held = [], []
+            for k, t, _, h in frame.itertuples(index=False, name=None):
+                if k != now:
+                    now, who, until = k, None, None
+                good = until is None or until <= t or who == h
+                if good:
+                    who, until = h, t + lease
+                granted.append(good)
+                held.append(who)
+            yield frame.assign(granted=granted, held_by=held)
+
+    return rows.mapInPandas(fold, f"`{key}` {kinds[key]}, `{at}` {kinds[at]}, `{order}` {kinds[order]}, `{holder}` {kinds[holder]}, granted boolean, held_by {kinds[holder]}")
+
+
+def applied(moves: DataFrame, key: str, order: str, to: str) -> DataFrame:
+    """Adds ``before`` and ``error``: a move that the state machine does not list is INVALID_JOB_TRANSITION."""
+    before = F.lag(to).over(Window.partitionBy(key).orderBy(order))
+    rows = moves.withColumn("before", before)
+    return rows.withColumn("error", F.when(F.col("before").isNotNull() & ~allowed(F.col("before"), F.col(to)), "INVALID_JOB_TRANSITION"))
+
+
+def segment_states(log: DataFrame, key: str, order: Column, status: Column, error: Column) -> DataFrame:
+    """(key, status, retry_count, error_message) from a log of marks: the last one counts, every failure is a retry."""
+    last = F.max_by(F.struct(status.alias("s"), F.when(status == "FAILED", error).alias("e")), order)
+    return log.groupBy(key).agg(last.alias("l"), F.count_if(status == "FAILED").alias("retry_count")).select(key, F.col("l.s").alias("status"), "retry_count", F.col("l.e").alias("error_message"))
+
+
+def stalled(cycles: DataFrame, key: str, order: str, pending: str, repeats: int = 3, most: int = 200) -> DataFrame:
+    """(key, cycle, stalled): where a run gives up: its pending count stays for ``repeats`` cycles in a row, or the cycles end."""
+    w = Window.partitionBy(key).orderBy(order)
+    rows = cycles.withColumn("_c", F.row_number().over(w)).where(F.col("_c") <= most)
+    rows = rows.withColumn("_new", F.when(F.lag(pending).over(w).eqNullSafe(F.col(pending)), 0).otherwise(1))
+    rows = rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_same", F.row_number().over(Window.partitionBy(key, "_run").orderBy(order)) - 1)
+    stop = F.min(F.when(F.col("_same") >= repeats, F.col("_c")))
+    return rows.groupBy(key).agg(F.coalesce(stop, F.max("_c")).cast("long").alias("cycle"), stop.isNotNull().alias("stalled"))
+
+
+def settled(sessions: DataFrame, orders: DataFrame) -> DataFrame:
+    """(order_id, session_id, payment): orders that sessions (session_id, reference, paid, payment) turn into paid ones.
+
+    A session names its order, or else is known by the order's stored session; only an
+    order (order_id, session_id, status) that awaits payment settles, and it does so once.
+    """
+    by_name = orders.select(F.col("order_id").alias("_o"), F.col("status").alias("_s"))
+    by_session = orders.where("session_id is not null").select(F.col("order_id").alias("_o2"), F.col("status").alias("_s2"), F.col("session_id").alias("_session"))
+    found = sessions.where("paid").join(by_name, F.col("reference") == F.col("_o"), "left")
+    found = found.join(by_session, F.col("reference").isNull() & (F.col("session_id") == F.col("_session")), "left")
+    found = found.select(F.coalesce("_o", "_o2").alias("order_id"), F.coalesce("_s", "_s2").alias("status"), "session_id", "payment").where("status = 'AWAITING_PAYMENT'")
+    return found.groupBy("order_id").agg(F.min(F.struct("session_id", "payment")).alias("x")).select("order_id", "x.session_id", "x.payment")
 
 
 def retryable(error: Column, flag: Column) -> Column:

@@ -18,7 +18,7 @@ from quirework.functions import calendar as cal
 from quirework.functions import money
 from quirework.functions import text as t
 from quirework.operators import budget, contract, segments, state
-from quirework.plans import markup_queries
+from quirework.plans import markup_queries, relations
 from quirework.schemas import RUNNABLE, TRANSITIONS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +27,8 @@ SQL: dict[str, str] = {}
 #: DuckDB's spelling of the white-space class.
 WS = t.SPACE
 LIMIT, MARGIN = 400, 20.0
-GATE = Budget(max_source_tokens_per_request=95, max_output_tokens_per_request=110, max_requests_per_run=40, max_input_per_run=1500, max_output_per_run=1800, max_input_per_day=10**9, max_output_per_day=10**9, max_input_per_month=10**9, max_output_per_month=10**9)
+GATE = Budget(max_source_tokens_per_request=200, max_output_tokens_per_request=230, max_requests_per_run=20, max_input_per_run=1300, max_output_per_run=1500, max_input_per_day=11500, max_output_per_day=14000, max_input_per_month=320_000, max_output_per_month=400_000, max_cost_per_run=0.013)
+PRICES = (3.0, 15.0)
 
 
 def fill(template: str, x: str) -> str:
@@ -184,7 +185,7 @@ RULE = f"CASE WHEN {fill(TRIM, 'b')} = '' THEN 'blank' WHEN {fill(TRIM, 'a')} =
 r AS (SELECT * FROM r0 WHERE k = 1)
 SELECT coalesce(q.conv_id, r.conv_id) || ':' || coalesce(q.turn, r.turn) AS id, CASE WHEN q.turn IS NULL THEN 'unexpected' WHEN r.b IS NULL THEN 'missing' WHEN {RULE} IS NOT NULL THEN 'rejected' ELSE 'valid' END AS verdict, CASE WHEN q.turn IS NOT NULL AND r.b IS NOT NULL THEN {RULE} END AS reason
 FROM q FULL JOIN r ON q.conv_id = r.conv_id AND q.turn = r.turn
-UNION ALL SELECT conv_id || ':' || turn, 'duplicate', NULL FROM r0 WHERE k = 2"""
+UNION ALL SELECT conv_id || ':' || turn, 'duplicate', NULL FROM r0 WHERE k > 1"""
 )
 def contract_outcome(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
@@ -235,23 +236,56 @@ def budget_running(spark, sf_dir):
 
 
 GATED = (
-    LEDGER
-    + """, o AS (SELECT *, (tin > 95 OR tout > 110) AS own FROM l),
-u AS (SELECT *, coalesce(sum(CASE WHEN own THEN 0 ELSE 1 END) OVER w, 0) AS n, coalesce(sum(CASE WHEN own THEN 0 ELSE tin END) OVER w, 0) AS ui, coalesce(sum(CASE WHEN own THEN 0 ELSE tout END) OVER w, 0) AS uo FROM o WINDOW w AS (PARTITION BY job_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-g AS (SELECT *, CASE WHEN own THEN 'REQUEST' WHEN n + 1 > 40 OR ui + tin > 1200 OR uo + tout > 1440 THEN 'RUN' END AS scope FROM u),
-s AS (SELECT *, min(CASE WHEN scope = 'RUN' THEN event_id END) OVER (PARTITION BY job_id) AS stop FROM g)"""
+    LEDGER.replace("WITH l", "WITH RECURSIVE l")
+    + """, d AS (SELECT CAST(ts AS DATE) AS day, CAST(sum(tin) AS BIGINT) AS di, CAST(sum(tout) AS BIGINT) AS do_ FROM l WHERE event_id % 2 = 1 GROUP BY 1),
+m AS (SELECT strftime(ts, '%Y-%m') AS month, CAST(sum(tin) AS BIGINT) AS mi, CAST(sum(tout) AS BIGINT) AS mo FROM l WHERE event_id % 2 = 1 GROUP BY 1),
+b AS (SELECT event_id, job_id % 10 AS run, CAST(ts AS DATE) AS day, tin, tout, row_number() OVER (PARTITION BY job_id % 10, CAST(ts AS DATE) ORDER BY event_id) AS k, coalesce(di, 0) AS di, coalesce(do_, 0) AS do_, coalesce(mi, 0) AS mi, coalesce(mo, 0) AS mo
+      FROM l LEFT JOIN d ON d.day = CAST(l.ts AS DATE) LEFT JOIN m ON m.month = strftime(l.ts, '%Y-%m') WHERE event_id % 2 = 0),
+w AS (SELECT run, day, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ui, CAST(0 AS BIGINT) AS uo, CAST(NULL AS VARCHAR) AS scope, false AS stopped FROM b WHERE k = 1
+      UNION ALL
+      SELECT run, day, k, event_id, n + CASE WHEN scope IS NULL THEN 1 ELSE 0 END, ui + CASE WHEN scope IS NULL THEN tin ELSE 0 END, uo + CASE WHEN scope IS NULL THEN tout ELSE 0 END, scope, stopped OR coalesce(scope NOT IN ('REQUEST', 'NOT_REACHED'), false)
+      FROM (SELECT b.*, w.n, w.ui, w.uo, w.stopped, CASE WHEN w.stopped THEN 'NOT_REACHED' WHEN b.tin > 200 OR b.tout > 230 THEN 'REQUEST' WHEN w.n + 1 > 20 OR w.ui + b.tin > 1040 OR w.uo + b.tout > 1200 THEN 'RUN' WHEN b.di + w.ui + b.tin > 9200 OR b.do_ + w.uo + b.tout > 11200 THEN 'DAY' WHEN b.mi + w.ui + b.tin > 256000 OR b.mo + w.uo + b.tout > 320000 THEN 'MONTH' WHEN CAST(w.ui AS DOUBLE) / 1e6 * 3e0 + CAST(w.uo AS DOUBLE) / 1e6 * 15e0 + (CAST(b.tin AS DOUBLE) / 1e6 * 3e0 + CAST(b.tout AS DOUBLE) / 1e6 * 15e0) > 0.013e0 THEN 'COST' END AS scope
+            FROM w JOIN b ON b.run = w.run AND b.day = w.day AND b.k = w.k + 1))"""
 )
 
 
-@query(GATED + " SELECT event_id, scope FROM g")
+def gated(spark, sf_dir):
+    """Runs of a day (even events, a job group a run) against what the ledger (odd events) holds of the day and the month."""
+    l = ledger(spark, sf_dir).withColumn("day", F.to_date("ts")).withColumn("month", cal.month_key(F.col("ts")))
+    old = l.where("event_id % 2 = 1")
+    sums = lambda key: old.groupBy(key).agg(F.sum("tin").alias(f"{key}_in"), F.sum("tout").alias(f"{key}_out"))
+    b = l.where("event_id % 2 = 0").withColumn("run", F.col("job_id") % 10).join(sums("day"), "day", "left").join(sums("month"), "month", "left")
+    return budget.admitted(b, ["run", "day"], "event_id", "tin", "tout", GATE, prices=PRICES)
+
+
+@query(GATED + " SELECT event_id, scope FROM w WHERE k > 0")
 def budget_decision(spark, sf_dir):
-    return budget.admitted(ledger(spark, sf_dir), "job_id", "event_id", "tin", "tout", GATE).select("event_id", "scope")
+    return gated(spark, sf_dir).select("event_id", "scope")
 
 
-@query(GATED + " SELECT job_id, CAST(count(*) FILTER (WHERE scope IS NULL AND (stop IS NULL OR event_id < stop)) AS BIGINT) AS admitted, min(stop) AS stop FROM s GROUP BY 1")
+@query(GATED + " SELECT run, strftime(day, '%Y-%m-%d') AS day, CAST(count(*) FILTER (WHERE scope IS NULL) AS BIGINT) AS admitted, min(event_id) FILTER (WHERE scope NOT IN ('REQUEST', 'NOT_REACHED')) AS stop, min(scope) FILTER (WHERE scope NOT IN ('REQUEST', 'NOT_REACHED')) AS scope FROM w WHERE k > 0 GROUP BY 1, 2")
 def budget_stop(spark, sf_dir):
-    a = budget.admitted(ledger(spark, sf_dir), "job_id", "event_id", "tin", "tout", GATE)
-    return a.groupBy("job_id").agg(F.count_if("admitted").alias("admitted"), F.min(F.when(F.col("scope") == "RUN", F.col("event_id"))).alias("stop"))
+    denied = ~F.col("scope").isin("REQUEST", "NOT_REACHED")
+    out = gated(spark, sf_dir).groupBy("run", F.date_format("day", "yyyy-MM-dd").alias("day"))
+    return out.agg(F.count_if("admitted").alias("admitted"), F.min(F.when(denied, F.col("event_id"))).alias("stop"), F.min(F.when(denied, F.col("scope"))).alias("scope"))
+
+
+SPLIT = PACKED + """, b AS (SELECT chapter, batch, list(tokens ORDER BY chapter_index) AS t, list(chapter_index ORDER BY chapter_index) AS c FROM walk GROUP BY 1, 2),
+cut AS (SELECT chapter, batch, t, 0 AS a, len(t) AS z FROM b
+        UNION ALL
+        SELECT chapter, batch, t, CASE side WHEN 0 THEN a ELSE a + CAST(ceil((z - a) / 2.0) AS INTEGER) END, CASE side WHEN 0 THEN a + CAST(ceil((z - a) / 2.0) AS INTEGER) ELSE z END
+        FROM cut, (VALUES (0), (1)) AS s(side) WHERE z - a > 1 AND (list_sum(t[a + 1:z]) > 150 OR ceil(list_sum(t[a + 1:z]) * CAST(1.2 AS DOUBLE)) > 170)),
+fit AS (SELECT *, NOT (list_sum(t[a + 1:z]) > 150 OR ceil(list_sum(t[a + 1:z]) * CAST(1.2 AS DOUBLE)) > 170) AS good FROM cut),
+last AS (SELECT *, CASE WHEN good THEN row_number() OVER (PARTITION BY chapter, batch, good ORDER BY a) - 1 ELSE -1 END AS part FROM fit WHERE good OR z - a = 1)"""
+
+
+@query(SPLIT + " SELECT b.chapter, b.batch, b.c[x.k] AS chapter_index, CAST(part AS INTEGER) AS part FROM last JOIN b USING (chapter, batch), LATERAL (SELECT unnest(range(last.a + 1, last.z + 1)) AS k) x")
+def batch_split(spark, sf_dir):
+    """Batches over a request limit, halved until they fit; a segment that does not fit alone has no part."""
+    b = segments.batches(table(spark, sf_dir, "documents"), LIMIT, MARGIN)
+    whole = b.groupBy("chapter", "batch").agg(F.array_sort(F.collect_list(F.struct("chapter_index", "tokens"))).alias("s"))
+    whole = whole.withColumn("part", budget.request_parts(F.col("s.tokens"), F.lit(150), F.lit(170)))
+    return whole.select("chapter", "batch", F.explode(F.arrays_zip(F.col("s.chapter_index").alias("chapter_index"), "part")).alias("x")).select("chapter", "batch", F.col("x.chapter_index").alias("chapter_index"), F.col("x.part").alias("part"))
 
 
 STATUS = "CASE WHEN l_returnflag = 'R' THEN 'FAILED' WHEN l_linestatus = 'O' THEN 'PENDING' ELSE 'TRANSLATED' END"
@@ -321,12 +355,15 @@ def latest_state(spark, sf_dir):
     return state.latest(table(spark, sf_dir, "events"), "user_id", F.col("event_type"), F.col("event_id")).select("user_id", F.col("value").alias("status"), "events")
 
 
-@query("WITH p AS (SELECT event_id, ts, user_id, lag(ts) OVER w AS last, lag(user_id) OVER w AS who FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) SELECT event_id, NOT coalesce(last + INTERVAL 30 MINUTE > ts AND who <> user_id, false) AS free FROM p")
+@query("""WITH RECURSIVE n AS (SELECT event_id, event_type, user_id, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT event_type, k, event_id, user_id AS holder, ts + INTERVAL 30 MINUTE AS until, true AS granted FROM n WHERE k = 1
+      UNION ALL
+      SELECT event_type, k, event_id, CASE WHEN refused THEN holder ELSE user_id END, CASE WHEN refused THEN until ELSE ts + INTERVAL 30 MINUTE END, NOT refused
+      FROM (SELECT n.*, w.holder, w.until, w.until > n.ts AND w.holder <> n.user_id AS refused FROM w JOIN n ON n.event_type = w.event_type AND n.k = w.k + 1))
+SELECT event_id, granted, holder AS held_by FROM w""")
 def lease_holder(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    live = (F.lag("ts").over(w) + F.make_interval(mins=F.lit(30))) > F.col("ts")
-    return e.select("event_id", (~F.coalesce(live & (F.lag("user_id").over(w) != F.col("user_id")), F.lit(False))).alias("free"))
+    """Event types as locks, users as holders: who is granted the lock, and who has it after each attempt."""
+    return state.leases(table(spark, sf_dir, "events"), "event_type", "user_id", "ts", "event_id").select("event_id", "granted", "held_by")
 
 
 @query("SELECT o_orderkey, CAST(greatest(50, ceil(o_totalprice / 1e5 * 3e0 * 100e0)) AS BIGINT) AS cents FROM orders")
@@ -421,12 +458,20 @@ def validate_refs(spark, sf_dir):
     return one.unionByName(two)
 
 
-@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END, o_custkey) AS c_custkey, c_name FROM orders JOIN customer ON c_custkey = coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END, o_custkey) WHERE o_orderstatus = 'O'")
+@query("""WITH o AS (SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 4 <> 0 THEN 'cs_' || (o_orderkey * 7 % 100003) END AS session_id, CASE WHEN o_orderstatus = 'O' THEN 'AWAITING_PAYMENT' ELSE 'PAID' END AS status FROM orders),
+s AS (SELECT 'cs_' || (o_orderkey * 7 % 100003) AS session_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS reference, o_orderkey % 5 <> 0 AS paid, 'pi_' || o_orderkey AS payment FROM orders),
+twice AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE payment LIKE '%1'),
+hit AS (SELECT o.order_id, t.session_id, t.payment FROM twice t JOIN o ON o.order_id = t.reference WHERE t.paid AND o.status = 'AWAITING_PAYMENT'
+        UNION ALL SELECT o.order_id, t.session_id, t.payment FROM twice t JOIN o ON o.session_id = t.session_id WHERE t.reference IS NULL AND t.paid AND o.status = 'AWAITING_PAYMENT'),
+one AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY session_id, payment) AS k FROM hit)
+SELECT order_id, session_id, payment FROM one WHERE k = 1""")
 def settle_sessions(spark, sf_dir):
-    """A session's order by its own reference, else by the stored one; only open orders settle."""
-    o, c = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'"), table(spark, sf_dir, "customer")
-    key = F.coalesce(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")), F.col("o_custkey"))
-    return o.withColumn("key", key).join(c, F.col("key") == F.col("c_custkey")).select("o_orderkey", "c_custkey", "c_name")
+    """Sessions delivered once or twice, half of them known only by the order's stored session; only open orders settle, once."""
+    o = table(spark, sf_dir, "orders")
+    name = F.concat(F.lit("cs_"), (F.col("o_orderkey") * 7 % 100003).cast("string"))
+    known = o.select(F.col("o_orderkey").alias("order_id"), F.when(F.col("o_orderkey") % 4 != 0, name).alias("session_id"), F.when(F.col("o_orderstatus") == "O", "AWAITING_PAYMENT").otherwise("PAID").alias("status"))
+    sent = o.select(name.alias("session_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).alias("reference"), (F.col("o_orderkey") % 5 != 0).alias("paid"), F.concat(F.lit("pi_"), F.col("o_orderkey").cast("string")).alias("payment"))
+    return state.settled(sent.unionByName(sent.where(F.col("payment").endswith("1"))), known)
 
 
 @query()
@@ -436,8 +481,8 @@ def report_json(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return QUERIES | markup_queries.queries()
+    return QUERIES | relations.QUERIES | markup_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | relations.SQL
