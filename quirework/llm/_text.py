@@ -244,11 +244,15 @@ def numbered(docs: DataFrame) -> DataFrame:
     return rows.select((F.shiftleft("_order", 40) + F.col("_place")).alias(NUM), *docs.columns)
 
 
-def of_nums(texts: DataFrame, used: DataFrame) -> DataFrame:
-    """(num, text) of the numbers in ``used``; texts only move if there are too many numbers to send."""
+def of_nums(texts: DataFrame, used: DataFrame, few: bool | None = None) -> DataFrame:
+    """(num, text) of the numbers in ``used``; texts only move if there are too many numbers to send.
+
+    ``few``: False where the numbers are a good part of all rows, and so never sent.
+    """
     used = checkpointed(used.select(F.col("num").alias("used")).distinct())
-    few = used.count() <= FEW_TEXTS
-    return texts.join(F.broadcast(used) if few else used, texts["num"] == used["used"], "left_semi")
+    if few is None:
+        few = used.count() <= FEW_TEXTS
+    return texts.join(F.broadcast(used) if few else used.hint("shuffle_hash"), texts["num"] == used["used"], "left_semi")
 
 
 def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int, row_id: str, where: Column | None = None) -> DataFrame:

@@ -166,7 +166,7 @@ def grouped(base: DataFrame, text_col: str, width: int, num: int, den: int) -> t
     members = reps.select(F.col("rep").alias("num"))
     open_ = described.select("num", "n", "span", "take").join(members, "num", "left_semi").join(met, "num", "left").where(F.col("span") - F.coalesce("hits", F.lit(0)) < F.col("take"))
     facts = checkpointed(open_.select("num", "n", "take"))
-    known = exchange.shared(of_nums(texts, facts.select("num")).mapInArrow(sender(True), exchange.WRITTEN), shards, names=True)
+    known = exchange.shared(of_nums(texts, facts.select("num"), False).mapInArrow(sender(True), exchange.WRITTEN), shards, names=True)
     placed = known.withColumnRenamed("n", "held").join(facts, "num").where(F.col("n") - F.col("hits") < F.col("take")).select("num", "n", "name", "held")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
