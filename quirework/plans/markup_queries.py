@@ -69,10 +69,28 @@ def book_issues(spark, sf_dir):
     return epub.issues(bound(spark, sf_dir))
 
 
+def book_verdicts(spark, sf_dir):
+    return epub.verdicts(bound(spark, sf_dir))
+
+
 def book_reading_order(spark, sf_dir):
     return epub.reading_order(bound(spark, sf_dir)).select("book", "ord", "path", F.length("content").alias("chars"))
 
 
+def chapter_drafts(spark, sf_dir):
+    """Segments of book chapters, from their blocks: ids, checksums and placeholder texts."""
+    return epub.drafts(epub.blocks(epub.reading_order(bound(spark, sf_dir)))).select("book", "id", "order_index", "path", "tag", "locator", "checksum", "placeholder_text")
+
+
+def book_render(spark, sf_dir):
+    """Bilingual books, every third block without a translation: digests of all entries."""
+    entries = bound(spark, sf_dir)
+    blocks = epub.blocks(epub.reading_order(entries))
+    done = blocks.select("book", "path", "at", F.when(F.col("at") % 3 != 2, F.concat(F.lit("[FR] "), "html")).alias("html"))
+    made = epub.translated(entries, done, "en", "fr")
+    return made.select("book", "ord", "path", F.sha2("data", 256).alias("digest"))
+
+
 def bound(spark, sf_dir):
     """Entries of books made of 25 pages each, after a round trip through archives."""
 
@@ -89,4 +107,4 @@ def bound(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (page_blocks, page_blocks_html, page_placeholders, page_wellformed, page_links, page_render, book_issues, book_reading_order)}
+    return {f.__name__: f for f in (page_blocks, page_blocks_html, page_placeholders, page_wellformed, page_links, page_render, book_issues, book_verdicts, book_reading_order, chapter_drafts, book_render)}

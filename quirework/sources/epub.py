@@ -15,11 +15,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quirework.operators import markup
+from quirework.functions.text import EXTERNAL, SAFE_PATH, checksum, normalized, segment_id, trimmed
+from quirework.operators import lookups, markup, segments
 
 MIMETYPE = "application/epub+zip"
 ENTRIES = "book string, ord int, path string, data binary, stored boolean, error string"
@@ -95,43 +96,122 @@ def unpacked(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
                     rows = [(book, k, p, d, s, None) for k, (p, d, s) in enumerate(unpack(bytes(data), limits))]
                 except UnsafeArchive as e:
                     rows = [(book, None, None, None, None, str(e))]
+                # an archive without a file is still a book
+                rows = rows or [(book, None, None, None, None, None)]
                 yield pd.DataFrame(rows, columns=["book", "ord", "path", "data", "stored", "error"])
 
     return files.mapInPandas(run, ENTRIES)
 
 
-def opf_path(entries: DataFrame) -> DataFrame:
-    """(book, opf): the package document that each container names."""
-    xml = F.regexp_replace(F.decode("data", "UTF-8"), "<\\?xml[^>]*\\?>|\\s+xmlns(:\\w+)?=\"[^\"]*\"", "")
-    return entries.where("path = 'META-INF/container.xml'").select("book", xml.alias("x")).select("book", F.xpath_string("x", F.lit("//rootfile[1]/@full-path")).alias("opf"))
-
-
 def package(entries: DataFrame) -> DataFrame:
-    """(book, kind, ord, id, href, media_type, linear): manifest items (href resolved) and spine references."""
-    opf = opf_path(entries)
-    docs = entries.join(opf, "book").where("path = opf").select("book", "path", "data")
+    """(book, kind, ord, id, href, media_type, linear, opf): manifest items (href resolved), spine references, or one fault.
+
+    A fault (code in id, detail in href) stands for the whole package: a container or
+    package document that is missing, a container without a path, an item or reference
+    without what it must have, an href that leaves the archive.
+    """
+    readable = entries.where("error is null")
+    books = readable.select("book").distinct()
+    container = readable.where("path = 'META-INF/container.xml'").select("book", F.decode("data", "UTF-8").alias("xml"))
+    named = books.join(container, "book", "left").select("book", F.col("xml").isNotNull().alias("has"), root_file("xml").alias("opf"))
+    docs = named.join(readable.select("book", F.col("path").alias("opf"), "data"), ["book", "opf"], "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for book, path, data in zip(frame.book, frame.path, frame.data, strict=True):
-                rows, base = [], posixpath.dirname(path)
-                for n in markup.parse(bytes(data).decode("utf-8", "replace")).elements():
-                    up = n.parent.name.split(":")[-1] if n.parent and n.parent.name else ""
-                    if n.name.split(":")[-1] == "item" and up == "manifest":
-                        rows.append((book, "manifest", len(rows), n.get("id"), posixpath.normpath(posixpath.join(base, n.get("href") or "")), n.get("media-type"), None))
-                    elif n.name.split(":")[-1] == "itemref" and up == "spine":
-                        rows.append((book, "spine", len(rows), n.get("idref"), None, None, n.get("linear") != "no"))
-                yield pd.DataFrame(rows, columns=["book", "kind", "ord", "id", "href", "media_type", "linear"])
+            rows = []
+            for book, has, opf, data in zip(frame.book, frame.has, frame.opf, frame.data, strict=True):
+                try:
+                    if not has:
+                        raise BrokenBook("MANIFEST_RESOLUTION", "container.xml not found")
+                    if not opf:
+                        raise BrokenBook("INVALID_EPUB", "container.xml names no package document")
+                    if data is None:
+                        raise BrokenBook("MANIFEST_RESOLUTION", f"package document not found: {opf}")
+                    rows += [(book, *r, opf) for r in items_of(bytes(data).decode("utf-8", "replace"), opf)]
+                except BrokenBook as e:
+                    rows.append((book, "fault", 0, e.code, str(e), None, None, opf))
+            yield pd.DataFrame(rows, columns=["book", "kind", "ord", "id", "href", "media_type", "linear", "opf"])
+
+    return docs.select("book", "has", "opf", "data").mapInPandas(run, "book string, kind string, ord int, id string, href string, media_type string, linear boolean, opf string")
+
+
+class BrokenBook(ValueError):
+    """A book that cannot be read; ``code`` is stable."""
+
+    def __init__(self, code: str, detail: str):
+        super().__init__(detail)
+        self.code = code
+
+
+@F.pandas_udf(StringType())
+def root_file(xml: pd.Series) -> pd.Series:
+    def first(text: str) -> str | None:
+        node = next((n for n in markup.parse(text).elements() if n.name.split(":")[-1] == "rootfile"), None)
+        return node.get("full-path") if node is not None else None
+
+    return xml.map(first, na_action="ignore")
+
+
+def items_of(opf: str, path: str) -> list[tuple]:
+    """(kind, ord, id, href, media type, linear) of a package document."""
+    rows, base = [], posixpath.dirname(path)
+    for n in markup.parse(opf).elements():
+        up = n.parent.name.split(":")[-1]
+        if n.name.split(":")[-1] == "item" and up == "manifest":
+            key, href, kind = n.get("id"), n.get("href"), n.get("media-type")
+            if not (key and href and kind):
+                raise BrokenBook("MANIFEST_RESOLUTION", "a manifest item lacks id, href or media-type")
+            target = posixpath.normpath(posixpath.join(base, href.split("#")[0]))
+            if target.startswith(".."):
+                raise BrokenBook("MANIFEST_RESOLUTION", f"href leaves the archive: {href}")
+            rows.append(("manifest", len(rows), key, target, kind, None))
+        elif n.name.split(":")[-1] == "itemref" and up == "spine":
+            if not n.get("idref"):
+                raise BrokenBook("MANIFEST_RESOLUTION", "a spine reference lacks idref")
+            rows.append(("spine", len(rows), n.get("idref"), None, None, n.get("linear") != "no"))
+    return rows
+
+
+def mime_faults(entries: DataFrame) -> DataFrame:
+    """(book, at, code, detail) of what is wrong with the mimetype entry."""
+    files = entries.where("error is null")
+    first = files.groupBy("book").agg(F.min_by("path", "ord").alias("first"), F.max(F.when(F.col("path") == "mimetype", F.struct(F.col("stored"), trimmed(F.decode("data", "UTF-8")).alias("text")))).alias("m"))
+    found = F.array_compact(F.array(
+        F.when(~F.col("first").eqNullSafe(F.lit("mimetype")), F.struct(F.lit(1).alias("at"), F.lit("MIMETYPE_NOT_FIRST").alias("code"))),
+        F.when(F.col("m").isNull(), F.struct(F.lit(2).alias("at"), F.lit("MIMETYPE_MISSING").alias("code"))),
+        F.when(~F.col("m.stored"), F.struct(F.lit(3).alias("at"), F.lit("MIMETYPE_COMPRESSED").alias("code"))),
+        F.when(F.col("m.text") != MIMETYPE, F.struct(F.lit(4).alias("at"), F.lit("MIMETYPE_INVALID_CONTENT").alias("code"))),
+    ))
+    return first.select("book", F.explode(found).alias("x")).select("book", "x.at", "x.code", F.lit(None).cast("string").alias("detail"))
+
+
+def refusals(entries: DataFrame) -> DataFrame:
+    """(book, code, detail): the first reason not to read a book at all."""
+    parts = package(entries)
+    unsafe = entries.where("error is not null").select("book", F.lit(0).alias("at"), F.lit("UNSAFE_ARCHIVE").alias("code"), F.col("error").alias("detail"))
+    mime = mime_faults(entries).where("code <> 'MIMETYPE_COMPRESSED'").select("book", "at", F.lit("INVALID_EPUB").alias("code"), F.col("code").alias("detail"))
+    fault = parts.where("kind = 'fault'").select("book", F.lit(5).alias("at"), F.col("id").alias("code"), F.col("href").alias("detail"))
+    spine = parts.where("kind = 'spine' and linear").select("book", "id")
+    items = parts.where("kind = 'manifest'").select("book", "id", F.col("href").alias("path"))
+    unknown = spine.join(items, ["book", "id"], "left_anti").select("book", F.lit(6).alias("at"), F.lit("MANIFEST_RESOLUTION").alias("code"), F.concat(F.lit("spine names no item: "), "id").alias("detail"))
+    absent = spine.join(items, ["book", "id"]).join(entries.select("book", "path"), ["book", "path"], "left_anti").select("book", F.lit(7).alias("at"), F.lit("MANIFEST_RESOLUTION").alias("code"), F.concat(F.lit("no such document: "), "path").alias("detail"))
+    every = unsafe.unionByName(mime).unionByName(fault).unionByName(unknown).unionByName(absent)
+    return every.groupBy("book").agg(F.min(F.struct("at", "code", "detail")).alias("x")).select("book", "x.code", "x.detail")
+
 
-    return docs.mapInPandas(run, "book string, kind string, ord int, id string, href string, media_type string, linear boolean")
+def checksums(files: DataFrame) -> DataFrame:
+    """(book, input_checksum, archive): the digest of each input, and whether it begins as an archive does."""
+    return files.select("book", F.sha2("data", 256).alias("input_checksum"), F.startswith("data", F.lit(b"PK")).alias("archive"))
 
 
 def reading_order(entries: DataFrame) -> DataFrame:
-    """(book, ord, path, content): linear spine documents in order."""
+    """(book, ord, path, content): linear spine documents in order, of the books that ``refusals`` does not name."""
     parts = package(entries)
     spine = parts.where("kind = 'spine' and linear").select("book", "ord", "id")
-    items = parts.where("kind = 'manifest'").select("book", "id", F.col("href").alias("path"))
-    return spine.join(items, ["book", "id"]).join(entries.select("book", "path", "data"), ["book", "path"]).select("book", "ord", "path", F.decode("data", "UTF-8").alias("content"))
+    # of items with one id the last one counts
+    items = parts.where("kind = 'manifest'").groupBy("book", "id").agg(F.max_by("href", "ord").alias("path"))
+    good = spine.join(refusals(entries), "book", "left_anti")
+    return good.join(items, ["book", "id"]).join(entries.select("book", "path", "data"), ["book", "path"]).select("book", "ord", "path", F.decode("data", "UTF-8").alias("content"))
 
 
 def blocks(documents: DataFrame, html_mode: bool = False) -> DataFrame:
@@ -148,6 +228,15 @@ def blocks(documents: DataFrame, html_mode: bool = False) -> DataFrame:
     return documents.select("book", F.col("ord").cast("int").alias("ord"), "path", "content").mapInPandas(run, "book string, ord int, path string, at int, tag string, locator string, html string, text string, placeholder_text string")
 
 
+def drafts(blocks: DataFrame) -> DataFrame:
+    """Adds order_index (from 0, over the book), chapter_index (from 1), id and checksum to blocks."""
+    place = segments.with_offsets(blocks.groupBy("book", "path").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n")), "book", "ord", "n", "first").select("book", "path", "first")
+    number = F.row_number().over(Window.partitionBy("book", "path").orderBy("ord", "at"))
+    rows = blocks.withColumn("chapter_index", number).join(place, ["book", "path"])
+    normal = rows.withColumn("normal", normalized(F.col("text")))
+    return normal.withColumn("order_index", F.col("first") + F.col("chapter_index") - 1).withColumn("id", segment_id(F.col("path"), F.col("chapter_index"), F.col("normal"))).withColumn("checksum", checksum(F.col("normal"))).drop("first", "normal")
+
+
 def references(documents: DataFrame) -> DataFrame:
     """(book, path, kind, target, fragment): resolved internal links, and anchors."""
 
@@ -157,7 +246,7 @@ def references(documents: DataFrame) -> DataFrame:
             for book, path, content in zip(frame.book, frame.path, frame.content, strict=True):
                 hrefs, marks = markup.links(markup.parse(content))
                 for h in hrefs:
-                    if re.match(r"(?i)([a-z][a-z0-9+.-]*:|//)", h):
+                    if re.match(EXTERNAL, h):
                         continue
                     file, *rest = h.split("#")
                     target = posixpath.normpath(posixpath.join(posixpath.dirname(path), file)) if file else path
@@ -169,28 +258,55 @@ def references(documents: DataFrame) -> DataFrame:
 
 
 def issues(entries: DataFrame) -> DataFrame:
-    """(book, code, detail): every structural issue; a valid book has none."""
+    """(book, at, code, detail): every structural issue, by check; a valid book has none."""
     parts = package(entries)
     items, spine = parts.where("kind = 'manifest'"), parts.where("kind = 'spine'")
-    files = entries.where("error is null").select("book", "path", "ord", "stored", "data")
-    one = lambda rows, code, detail: rows.select("book", F.lit(code).alias("code"), detail.alias("detail"))
-    out = one(entries.where("error is not null"), "PARSE_ERROR", F.col("error"))
-    mime = files.where("path = 'mimetype'")
-    out = out.unionByName(one(mime.where("ord <> 0"), "MIMETYPE_NOT_FIRST", F.lit(None).cast("string")))
-    out = out.unionByName(one(mime.where("not stored"), "MIMETYPE_COMPRESSED", F.lit(None).cast("string")))
-    out = out.unionByName(one(mime.where(F.trim(F.decode("data", "UTF-8")) != MIMETYPE), "MIMETYPE_INVALID_CONTENT", F.lit(None).cast("string")))
-    out = out.unionByName(one(files.select("book").distinct().join(mime, "book", "left_anti"), "MIMETYPE_MISSING", F.lit(None).cast("string")))
-    out = out.unionByName(one(items.join(files, (items.book == files.book) & (items.href == files.path), "left_anti"), "MANIFEST_FILE_MISSING", F.col("href")))
-    out = out.unionByName(one(spine.join(items, ["book", "id"], "left_anti"), "SPINE_REFERENCES_UNKNOWN_ITEM", F.col("id")))
+    files = entries.where("error is null and path is not null").select("book", "path", "data")
+    one = lambda rows, at, code, detail: rows.select("book", F.lit(at).alias("at"), F.lit(code).alias("code"), detail.alias("detail"))
+    out = one(entries.where("error is not null"), 0, "UNSAFE_ARCHIVE", F.col("error")).unionByName(mime_faults(entries))
+    out = out.unionByName(parts.where("kind = 'fault'").select("book", F.lit(5).alias("at"), F.col("id").alias("code"), F.col("href").alias("detail")))
+    out = out.unionByName(one(items.join(files, (items.book == files.book) & (items.href == files.path), "left_anti"), 6, "MANIFEST_FILE_MISSING", F.col("href")))
+    out = out.unionByName(one(spine.join(items, ["book", "id"], "left_anti"), 7, "SPINE_REFERENCES_UNKNOWN_ITEM", F.col("id")))
     pages = items.where("media_type = 'application/xhtml+xml'").select("book", F.col("href").alias("path")).join(files, ["book", "path"]).select("book", "path", F.decode("data", "UTF-8").alias("content"))
-    out = out.unionByName(one(pages.withColumn("fault", fault(F.col("content"))).where("fault is not null"), "XHTML_NOT_WELL_FORMED", F.concat_ws(": ", "path", "fault")))
+    out = out.unionByName(one(pages.withColumn("fault", fault(F.col("content"))).where("fault is not null"), 8, "XHTML_NOT_WELL_FORMED", F.concat_ws(": ", "path", "fault")))
     refs = references(pages)
-    links, anchors = refs.where("kind = 'link'"), refs.where("kind = 'anchor'").select("book", "target", "fragment")
+    links = refs.where("kind = 'link'")
     there = files.select("book", F.col("path").alias("target"))
-    dead = links.join(there, ["book", "target"], "left_anti")
-    out = out.unionByName(one(dead, "UNRESOLVED_LINK", F.concat_ws(" -> ", "path", "target")))
-    lost = links.where("fragment is not null").join(there, ["book", "target"], "left_semi").join(anchors, ["book", "target", "fragment"], "left_anti")
-    return out.unionByName(one(lost, "UNRESOLVED_ANCHOR", F.concat_ws("#", "target", "fragment")))
+    out = out.unionByName(one(links.join(there, ["book", "target"], "left_anti"), 9, "UNRESOLVED_LINK", F.concat_ws(" -> ", "path", "target")))
+    # anchors may stand in any file that is linked to, whatever the manifest calls it
+    held = links.where("fragment is not null").join(there, ["book", "target"], "left_semi")
+    marked = held.select("book", F.col("target").alias("path")).distinct().join(files, ["book", "path"]).select("book", "path", F.decode("data", "UTF-8").alias("content"))
+    anchors = references(marked).where("kind = 'anchor'").select("book", "target", "fragment")
+    lost = held.join(anchors, ["book", "target", "fragment"], "left_anti")
+    return out.unionByName(one(lost, 10, "UNRESOLVED_ANCHOR", F.concat_ws("#", "target", "fragment")))
+
+
+def verdicts(entries: DataFrame) -> DataFrame:
+    """(book, valid, issues, codes): one row a book, valid ones too."""
+    return lookups.verdicts(entries.select("book").distinct(), issues(entries), "book")
+
+
+def translated(entries: DataFrame, outcomes: DataFrame, source: str, target: str, display: str = "ENGLISH_FIRST") -> DataFrame:
+    """(book, ord, path, data) of bilingual books.
+
+    ``outcomes``: (book, path, at, html), one a block of each chapter, html null where it
+    failed.  Chapters without outcomes keep their text; refused books give no row.
+    """
+    opf = package(entries).where("kind <> 'fault'").select("book", "opf").distinct()
+    chapters = reading_order(entries).select("book", "path").distinct()
+    own = outcomes.groupBy("book", "path").agg(F.array_sort(F.collect_list(F.struct("at", "html"))).alias("o")).select("book", "path", F.col("o.html").alias("html"))
+    # a book is bounded by the archive's limits, so one task can hold it
+    rows = entries.join(opf, "book").join(chapters.withColumn("chapter", F.lit(True)), ["book", "path"], "left").join(own, ["book", "path"], "left").select("book", "ord", "path", "data", "opf", "html", "chapter")
+    good = rows.join(refusals(entries), "book", "left_anti")
+
+    def render(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ord")
+        outcomes = {p: list(h) for p, h, c in zip(frame.path, frame.html, frame.chapter, strict=True) if c is True and h is not None}
+        first = not markup.english_first(source, target, display)
+        made = markup.book([(p, bytes(d)) for p, d in zip(frame.path, frame.data, strict=True)], frame.opf.iloc[0], outcomes, source, target, first)
+        return pd.DataFrame({"book": frame.book.iloc[0], "ord": range(len(made)), "path": [p for p, _ in made], "data": [d for _, d in made]})
+
+    return good.groupBy("book").applyInPandas(render, "book string, ord int, path string, data binary")
 
 
 @F.pandas_udf(StringType())
@@ -208,7 +324,7 @@ def safe_part(part: str) -> str:
 
 def renamed(paths: list[str]) -> dict[str, str]:
     """New path of each: safe ones first keep theirs, others get the first free name."""
-    out = {p: p for p in paths if re.fullmatch(r"[A-Za-z0-9._/-]+", p)}
+    out = {p: p for p in paths if re.fullmatch(SAFE_PATH, p)}
     taken = set(out)
     for p in paths:
         if p in out:
@@ -237,7 +353,7 @@ def moved(href: str, old: str, new: str, paths: dict[str, str]) -> str:
     return href if to is None else posixpath.relpath(to, posixpath.dirname(new) or ".") + mark + fragment
 
 
-#: Which attribute of which element refers to a file, by kind of document.
+# Which attribute of which element refers to a file, by kind of document.
 REFERS = {".opf": {("item", "href"), ("reference", "href")}, ".ncx": {("content", "src")}, "xhtml": {("a", "href"), ("link", "href"), ("img", "src"), ("image", "xlink:href")}}
 
 
@@ -251,11 +367,13 @@ def with_safe_paths(entries: list[tuple[str, bytes]]) -> list[tuple[str, bytes]]
         new, ext = paths[old], posixpath.splitext(old)[1].lower()
         refers = {("rootfile", "full-path")} if old == "META-INF/container.xml" else REFERS.get("xhtml" if ext in (".xhtml", ".html", ".htm") else ext)
         if refers:
-            root = markup.parse(data.decode("utf-8"))
-            base = ("x", "x") if old == "META-INF/container.xml" else (old, new)
-            for n in root.elements():
-                n.attrs = [(k, moved(v, *base, paths) if (n.name.split(":")[-1], k) in refers else v) for k, v in n.attrs]
-            data = markup.serialize(root).encode()
+            text = data.decode("utf-8")
+            base, edits = ("x", "x") if old == "META-INF/container.xml" else (old, new), []
+            for n in markup.parse(text).elements():
+                for (k, v), (a, b) in zip(n.attrs, n.spots, strict=True):
+                    if (n.name.split(":")[-1], k) in refers and (to := moved(v, *base, paths)) != v:
+                        edits.append((a, b, markup.quoted(to)))
+            data = markup.spliced(text, edits).encode()
         out.append((new, data))
     return out
 

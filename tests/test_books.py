@@ -1,5 +1,6 @@
 """Markup, archives, validation and streaming."""
 
+import hashlib
 import io
 import zipfile
 
@@ -9,9 +10,11 @@ from quirework.operators import markup
 from quirework.sources import epub
 from quirework.streaming import dropdir
 
-PAGE = """<html><head><title>t</title></head><body><h1>Un</h1><p>Deux <em>mots</em></p><ul><li>a</li><li>b</li></ul>
-<blockquote><p>dedans</p></blockquote><table><tr><th>c</th><td>d</td></tr></table><figure><figcaption>e</figcaption></figure>
-<pre><p>code</p></pre><p hidden="hidden">x</p><p style="display: none">y</p><p aria-hidden="true">z</p><p>  </p></body></html>"""
+PAGE = """<?xml version="1.0"?>
+<!DOCTYPE html><html><head><title>Mill</title></head><body><!-- kept --><h2>The mill</h2><p>Wheels <i>turn</i> &amp; creak</p>
+<ol><li>flour</li><li>bran</li></ol><blockquote><p>Grind slowly.</p></blockquote><table><tr><th>Year</th><td>1871</td></tr></table>
+<figure><figcaption>A wheel</figcaption></figure><pre><p>raw</p></pre><p hidden="hidden">a</p><p style="display: none">b</p><p aria-hidden="true">c</p><p> </p>
+<svg viewBox="0 0 1 1"><linearGradient id="g"/></svg></body></html>"""
 
 
 def book(**more):
@@ -27,18 +30,30 @@ def frame(spark, data, name="b"):
 
 def test_blocks():
     leaves = markup.leaves(markup.parse(PAGE))
-    assert [n.name for n in leaves] == ["h1", "p", "li", "li", "p", "th", "td", "figcaption"]
+    assert [n.name for n in leaves] == ["h2", "p", "li", "li", "p", "th", "td", "figcaption"]
     assert markup.locator(leaves[1]) == "html[0]>body[1]>p[1]"
 
 
 def test_placeholders_round_trip():
-    node = markup.leaves(markup.parse('<p>Il regarda <a href="u"><em>la mer</em></a> hier</p>'))[0]
+    node = markup.leaves(markup.parse('<p>The <a href="m?a=1&amp;b=2"><b>old mill</b></a> stands</p>'))[0]
     text, table = markup.placeholders(node)
-    assert [k[1] for k in table] == ["em", "a"]
-    assert markup.rebuilt(text, table) == 'Il regarda <a href="u"><em>la mer</em></a> hier'
+    assert [k[1] for k in table] == ["b", "a"]
+    assert markup.rebuilt(text, table) == 'The <a href="m?a=1&amp;b=2"><b>old mill</b></a> stands'
     assert markup.rebuilt(text.replace("inline-1", "inline-9"), table) is None
     assert markup.rebuilt("plain", table) is None
     assert markup.rebuilt(text + "</x-inline>", table) is None
+    assert markup.outcome_of(None, table) == markup.outcome_of("plain", table) == ("FAILED", None)
+
+
+def test_parsing_knows_where_things_stand():
+    for text in ("<p>a<br/>b</p>", "<A x='1' Y=2 z>t<!-- <p> --></A>", "<p>un<i>closed", "</p>stray", "<![CDATA[<p>]]>", "<?pi <p> ?>", "", "a < b", "<p a='>'>x</p>"):
+        root = markup.parse(text)
+        assert "".join(markup.serialize(n) for n in root.children).replace("</p>", "") in text or text in ("</p>stray",)
+        for n in root.elements():
+            assert text[n.start : n.end] == markup.serialize(n) and n.start <= n.inside <= n.outside <= n.end
+    assert [n.name for n in markup.parse("<svg><linearGradient/></svg>").elements()] == ["svg", "linearGradient"]
+    assert markup.parse("<p a='&lt;' b>x</p>").children[0].attrs == [("a", "<"), ("b", "")]
+    assert [n.name for n in markup.parse("<P>a<LI>b<P>c", True).elements()] == ["p", "li", "p"]
 
 
 def test_wellformedness():
@@ -48,12 +63,37 @@ def test_wellformedness():
 
 
 def test_rendering_pairs():
-    out = markup.rendered("<html><head></head><body><p>a</p><ul><li>b</li></ul><p>c</p></body></html>", ["A", "B", None], "en", "fr")
-    assert out.count('class="bilingual-pair"') == 2 and "<p>c</p>" in out and out.count("translation-secondary") == 2 and "bilingual.css" in out
+    out = markup.rendered(PAGE, ["Le moulin", None, "farine", *[None] * 5], "en", "fr")
+    pair = '<div class="bilingual-pair"><h2 class="translation-en" lang="en">The mill</h2><h2 class="translation-fr translation-secondary" lang="fr">Le moulin</h2></div>'
+    inside = '<li><div class="bilingual-pair"><p class="translation-en" lang="en">flour</p><p class="translation-fr translation-secondary" lang="fr">farine</p></div></li>'
+    link = '<link rel="stylesheet" type="text/css" href="styles/bilingual-pairs.css"/></head>'
+    assert out == PAGE.replace("<h2>The mill</h2>", pair).replace("<li>flour</li>", inside).replace("</head>", link)
+    assert markup.english_first("en", "fr", "ENGLISH_FIRST") and not markup.english_first("fr", "en", "ENGLISH_FIRST") and markup.english_first("fr", "en", "FRENCH_FIRST")
     with pytest.raises(ValueError):
         markup.rendered("<p>a</p>", [], "en", "fr")
 
 
+def test_a_bilingual_book_touches_only_what_it_must(spark):
+    entries = frame(spark, epub.pack(book()))
+    blocks = epub.blocks(epub.reading_order(entries))
+    made = epub.translated(entries, blocks.select("book", "path", "at", "html"), "en", "fr").orderBy("ord").collect()
+    old = dict(book())
+    assert [r.path for r in made] == [*old, "OEBPS/styles/bilingual-pairs.css"]
+    changed = {r.path for r in made if r.path in old and bytes(r.data) != old[r.path]}
+    assert changed == {"OEBPS/content.opf", "OEBPS/text/c1.xhtml", "OEBPS/text/c2.xhtml"}
+    new = {r.path: bytes(r.data).decode() for r in made}
+    assert new["OEBPS/content.opf"].replace('<item id="bilingual-pairs-css" href="styles/bilingual-pairs.css" media-type="text/css"/>', "") == old["OEBPS/content.opf"].decode()
+    assert 'href="../styles/bilingual-pairs.css"' in new["OEBPS/text/c1.xhtml"] and new["OEBPS/text/c1.xhtml"].count("bilingual-pair\"") == 8
+    again = epub.issues(frame(spark, epub.pack([(r.path, bytes(r.data)) for r in made])))
+    assert {r.code for r in again.collect()} == {"UNRESOLVED_ANCHOR", "UNRESOLVED_LINK"}
+
+
+def test_drafts_of_a_book(spark):
+    rows = epub.drafts(epub.blocks(epub.reading_order(frame(spark, epub.pack(book()))))).orderBy("order_index").collect()
+    assert [r.order_index for r in rows] == list(range(9)) and [r.chapter_index for r in rows] == [1, *range(1, 9)]
+    assert rows[1].id == "oebps-text-c1-p0001-" + hashlib.sha256(b"The mill").hexdigest()[:10]
+
+
 @pytest.mark.parametrize("path", ["../x", "/x", "C:/x", "a/../b"])
 def test_unsafe_paths(path):
     out = io.BytesIO()
@@ -88,23 +128,56 @@ def test_reading_order_and_blocks(spark):
 
 
 def codes(spark, data):
-    return sorted(r.code for r in epub.issues(frame(spark, data)).collect())
+    return [r.code for r in epub.issues(frame(spark, data)).orderBy("at", "detail").collect()]
+
+
+def archive(entries):
+    """An archive as it comes, without the writer's care."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for path, data, stored in entries:
+            z.writestr(zipfile.ZipInfo(path), data, zipfile.ZIP_STORED if stored else zipfile.ZIP_DEFLATED)
+    return out.getvalue()
 
 
 def test_validation(spark):
-    assert codes(spark, epub.pack(book())) == ["UNRESOLVED_ANCHOR", "UNRESOLVED_LINK"]
+    assert codes(spark, epub.pack(book())) == ["UNRESOLVED_LINK", "UNRESOLVED_ANCHOR"]
     plain = {"OEBPS/text/c2.xhtml": "<html><body><p>q</p></body></html>"}
     assert codes(spark, epub.pack(book(**plain))) == []
     assert codes(spark, epub.pack(book(**{"OEBPS/text/c2.xhtml": "<p><b>q</p>"}))) == ["XHTML_NOT_WELL_FORMED"]
     assert codes(spark, epub.pack(book(**{"OEBPS/text/c2.xhtml": None}))) == ["MANIFEST_FILE_MISSING"]
-    assert codes(spark, b"junk") == ["PARSE_ERROR"]
+    assert codes(spark, b"junk") == ["UNSAFE_ARCHIVE"]
+    assert codes(spark, epub.pack(book(**{"META-INF/container.xml": None}))) == ["MANIFEST_RESOLUTION"]
+    assert codes(spark, epub.pack(book(**{"META-INF/container.xml": "<container/>"}))) == ["INVALID_EPUB"]
+    assert codes(spark, epub.pack(book(**{"OEBPS/content.opf": None}))) == ["MANIFEST_RESOLUTION"]
+    assert codes(spark, epub.pack(book(**{"OEBPS/content.opf": '<package><manifest><item id="a" href="../../x" media-type="t"/></manifest></package>'}))) == ["MANIFEST_RESOLUTION"]
+    assert codes(spark, epub.pack(book(**{"OEBPS/content.opf": '<package><manifest><item href="x" media-type="t"/></manifest></package>'}))) == ["MANIFEST_RESOLUTION"]
+    assert codes(spark, epub.pack(book(mimetype=epub.MIMETYPE + "\n", **plain))) == []
+    assert codes(spark, archive([("a", b"x", True)])) == ["MIMETYPE_NOT_FIRST", "MIMETYPE_MISSING", "MANIFEST_RESOLUTION"]
+    assert codes(spark, archive([])) == ["MIMETYPE_NOT_FIRST", "MIMETYPE_MISSING", "MANIFEST_RESOLUTION"]
+    assert codes(spark, archive([("a", b"x", True), ("mimetype", b"text", False)])) == ["MIMETYPE_NOT_FIRST", "MIMETYPE_COMPRESSED", "MIMETYPE_INVALID_CONTENT", "MANIFEST_RESOLUTION"]
+    two = spark.createDataFrame([("good", epub.pack(book(**plain))), ("bad", b"junk")], "book string, data binary")
+    assert {r.book: (r.valid, r.issues, r.codes) for r in epub.verdicts(epub.unpacked(two)).collect()} == {"good": (True, 0, ""), "bad": (False, 1, "UNSAFE_ARCHIVE")}
+
+
+def test_refusals(spark):
+    why = lambda data: [(r.code, r.detail) for r in epub.refusals(frame(spark, data)).collect()]
+    assert why(epub.pack(book())) == []
+    assert why(epub.pack(book(**{"OEBPS/text/c1.xhtml": None}))) == [("MANIFEST_RESOLUTION", "no such document: OEBPS/text/c1.xhtml")]
+    assert [c for c, _ in why(epub.pack(book(**{"OEBPS/content.opf": '<package><manifest/><spine><itemref idref="q"/></spine></package>'})))] == ["MANIFEST_RESOLUTION"]
+    assert why(archive([("a", b"", True)]))[0][0] == "INVALID_EPUB"
+    sums = epub.checksums(spark.createDataFrame([("b", b"PK12"), ("c", b"no")], "book string, data binary")).collect()
+    assert {r.book: (r.archive, r.input_checksum) for r in sums} == {"b": (True, hashlib.sha256(b"PK12").hexdigest()), "c": (False, hashlib.sha256(b"no").hexdigest())}
 
 
 def test_renaming():
-    got = epub.renamed(["chap (1).html", "chap [1].html", "ok.html"])
-    assert got == {"chap (1).html": "chap_1.html", "chap [1].html": "chap_1-2.html", "ok.html": "ok.html"}
-    entries = [("mimetype", b"x"), ("a b.xhtml", b'<a href="c d.xhtml#f">x</a>'), ("c d.xhtml", b"<p>y</p>")]
-    assert dict(epub.with_safe_paths(entries)) == {"mimetype": b"x", "a_b.xhtml": b'<a href="c_d.xhtml#f">x</a>', "c_d.xhtml": b"<p>y</p>"}
+    got = epub.renamed(["part #1.html", "part !1.html", "ok.html", "part_1-2.html"])
+    assert got["part #1.html"] == "part_1.html" and got["ok.html"] == "ok.html" and got["part_1-2.html"] == "part_1-2.html"
+    assert len(set(got.values())) == 4
+    page = '<?xml version="1.0"?><!-- c --><html><a href="c d.xhtml#f">x</a><svg viewBox="1"/></html>'
+    ncx = '<ncx><navPoint playOrder="1"><content src="a b.xhtml"/></navPoint></ncx>'
+    entries = [("mimetype", b"x"), ("a b.xhtml", page.encode()), ("c d.xhtml", b"<p>y</p>"), ("t.ncx", ncx.encode())]
+    assert dict(epub.with_safe_paths(entries)) == {"mimetype": b"x", "a_b.xhtml": page.replace("c d", "c_d").encode(), "c_d.xhtml": b"<p>y</p>", "t.ncx": ncx.replace("a b", "a_b").encode()}
     assert epub.with_safe_paths([("a", b"x")]) == [("a", b"x")]
 
 
