@@ -12,7 +12,8 @@ Defined cases: vectors that are null, or hold null or non-finite components, and
 without an id take no part; a query is compared with vectors of its own length only;
 rows that repeat a query's id are not its candidates, and of rows that repeat an id
 the smallest vector is the query; candidate rows that repeat an id each take a place;
-fewer than k candidates give fewer rows; other columns are ignored.
+fewer than k candidates give fewer rows; vectors so long that a product might not fit 64
+bits are an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,6 +84,8 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "v
     schema = "query_id long, rank int, vec_id long, score long"
     if not total:
         return spark.createDataFrame([], schema)
+    if float(about.norm) ** 2 >= 2.0**62:
+        raise ValueError("inner products of these vectors do not fit 64 bits; scale them down")
     many = max(1, math.ceil(total / max(1, min(block, BLOCK_BYTES // (8 * max(about.d, 1))))))
     numbered = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(many)))
     out = None

@@ -4,9 +4,10 @@ Each document is the set of its character n-grams (4 and 5 characters of a word,
 its edges marked), hashed into 2**22 buckets.  On the training rows every bucket has a
 log-count ratio r = log((p / |p|) / (q / |q|)) from its smoothed document counts p in
 toxic and q in other rows; a logistic regression is fitted on x * r over the most
-telling buckets.  Training takes a bounded sample of labelled rows (``max_rows`` for
-each label, by hash of the id, reweighted to the true rates); scoring reads every
-whole text once and keeps only the buckets that have a weight.
+telling buckets.  Training takes a bounded sample of labelled rows (``max_rows`` rows and
+``max_bytes`` of text for each label on average, by hash of the id, reweighted to the true
+rates), which is what the driver holds; scoring reads every whole text once and keeps only
+the buckets that have a weight.
 
 Defined cases: a null text counts as empty and gets the score of a text without
 features; rows without a label, or with labels that disagree (the higher one counts),
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from quirework.llm._text import keep_fraction, pieces, type_of
 
 BITS, WIDTHS = 22, (4, 5)
-#: Sampled rows of each label, buckets that may get a weight, least documents with a bucket.
-MAX_ROWS, MAX_FEATURES, LEAST = 4000, 20000, 3
+#: Sampled rows and bytes of each label, buckets that may get a weight, least documents with a bucket.
+MAX_ROWS, MAX_BYTES, MAX_FEATURES, LEAST = 4000, 32 << 20, 20000, 3
 _PLAIN: list[np.ndarray] = []
 
 
@@ -107,16 +108,17 @@ def logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarra
     return w[:m] * scale, float(w[m])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where: Column | None = None, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where: Column | None = None, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, max_features: int = MAX_FEATURES) -> Model:
     """Learn from the labelled rows for which ``where`` (on the id) holds."""
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null").groupBy("id").agg(F.max("y").alias("y"))
     if where is not None:
         marked = marked.withColumnRenamed("id", id_col).where(where).withColumnRenamed(id_col, "id")
-    sizes = {r.y: r.n for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = docs.select(F.col(id_col).alias("id"), F.octet_length(text_col).alias("size")).groupBy("id").agg(F.sum("size").alias("size"))
+    sizes = {r.y: (r.n, r.size or 0) for r in marked.join(held, "id", "left").groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()}
     if len(sizes) < 2:
         rate = float(next(iter(sizes), 0))
         return Model(np.zeros(0, np.int64), np.zeros(0), 500.0 if rate else -500.0)
-    share = {y: min(1.0, max_rows / n) for y, n in sizes.items()}
+    share = {y: min(1.0, max_rows / n, max_bytes / max(size, 1)) for y, (n, size) in sizes.items()}
     chosen = marked.where(keep_fraction(F.col("id"), F.when(F.col("y") == 1, F.lit(share[1])).otherwise(F.lit(share[0])), "toxic"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

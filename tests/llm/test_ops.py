@@ -504,3 +504,116 @@ def test_one_key_in_every_pack(spark):
     assert sent.num_rows == 2 and len(sent.column("k0")[1].as_py()) == 4
     df = spark.createDataFrame([tuple(x) for x in zip(*[c.to_pylist() for c in sent.columns], strict=True)], exchange.WRITTEN)
     assert sorted((r.num, r.hits) for r in exchange.shared(df, 64).collect()) == [(k, 1) for k in range(5000)]
+
+
+def test_products_that_do_not_fit_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1e12] * 4), (1, [1e12] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        topk.top_k(df, F.col("vec_id") % 100 == 0)
+
+
+def test_language_id_is_the_out_of_place_distance(spark):
+    r = random.Random(8)
+    sound = {"aa": "bcdaeié", "bb": "bcdouwz"}
+    text = lambda lang: " ".join("".join(r.choice(sound[lang]) for _ in range(r.randint(1, 7))) + r.choice(["", ",", "!"]) for _ in range(r.randint(1, 80)))
+    rows = [(i, text(k), k) for i, k in enumerate(list(sound) * 25)] + [(99, "Zażółć 12 gęślą", None), (100, "x " * 9000, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+
+    def ranked(texts, size=60):
+        n = Counter()
+        for t in texts:
+            for w in re.findall(r"[^\W\d_]+", t.lower()):
+                w = f"\x01{w}\x01"
+                n.update(w[k : k + m] for m in (1, 2, 3) for k in range(len(w) - m + 1) if w[k : k + m] != "\x01")
+        return sorted(n, key=lambda g: (-n[g], sum(ord(c) << 21 * (len(g) - 1 - j) for j, c in enumerate(g))))[:size]
+
+    profiles = {k: ranked([t for _, t, x in rows if x == k]) for k in sound}
+    found = langid.fit_profiles(d, size=60)
+    assert {k: [sum(ord(c) << 21 * (len(g) - 1 - j) for j, c in enumerate(g)) for g in v] for k, v in profiles.items()} == found
+    for x in langid.identify(d, found, size=60).collect():
+        own = set(ranked([rows[[i for i, *_ in rows].index(x.doc_id)][1]]))
+        mine = ranked([rows[[i for i, *_ in rows].index(x.doc_id)][1]])
+        away = {k: sum(abs(p.index(g) - i) if g in p else 60 for i, g in enumerate(mine)) for k, p in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        # grams of letters of no profile are one class to the operator, so ties in their order may differ
+        if own <= set(profiles["aa"]) | set(profiles["bb"]):
+            assert x.lang_pred == best and math.isclose(x.score, 1 - away[best] / (60 * len(mine)), abs_tol=1e-9)
+        else:
+            assert x.lang_pred in sound
+
+
+def test_toxicity_scores_are_the_weighted_grams(spark):
+    r = random.Random(4)
+    make = lambda bad: " ".join(["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(r.randint(5, 40))] + ["grumblex"] * bad)
+    rows = [(i, make(i % 3 == 0)) for i in range(150)] + [(500, "Grumblex?! " * 3000), (501, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(d, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int"))
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+
+    def grams(text):
+        flat = " " + "".join(c if c.isalnum() else " " for c in (text or "").lower()) + " "
+        words = [f"\x01{w}\x01" for w in flat.split()]
+        return {w[k : k + m] for w in words for m in (4, 5) for k in range(len(w) - m + 1)}
+
+    def bucket_of(gram):
+        h = 0x811C9DC5 + len(gram)
+        for c in gram:
+            h = ((h ^ ord(c)) * 0x01000193) & 0xFFFFFFFF
+            h ^= h >> 15
+        return ((h * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - toxicity.BITS)
+
+    for x in toxicity.score(d, model).collect():
+        z = model.intercept + sum(weight.get(b, 0) for b in {bucket_of(g) for g in grams(dict(rows)[x.doc_id])})
+        assert math.isclose(x.score, 1 / (1 + math.exp(-z)), rel_tol=1e-6, abs_tol=1e-12) and x.predicted == (x.score >= 0.5)
+    # the sign of a gram's weight follows its log-count ratio
+    p, q = Counter(), Counter()
+    for i, t in rows[:150]:
+        (p if i % 3 == 0 else q).update({bucket_of(g) for g in grams(t)})
+    told = [b for b in weight if p[b] >= 30 and q[b] == 0]
+    assert told and all(weight[b] > 0 for b in told)
+
+
+def test_pii_adds_what_the_base_rules_miss(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8)))
+    planted, rows = {}, []
+    for i in range(300):
+        filler = lambda n: " ".join(word() for _ in range(n))
+        digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+        kind = ["email", "phone", "base", "none", "version"][i % 5]
+        hit = {"email": f"{word()} (at) {word()} (dot) com", "phone": f"({r.randint(200, 999)}) {r.randint(200, 999)}-{digits(4)}", "base": f"{word()}@{word()}.org", "none": word(), "version": f"version {digits(1)}.{digits(1)}.{digits(2)}"}[kind]
+        before = {"email": "contact ", "phone": "call ", "base": "mail "}.get(kind, "")
+        text = f"{filler(r.randint(3, 30))} {before}{hit} {filler(5)}"
+        rows.append((i, text))
+        at = text.index(hit)
+        if kind in ("email", "phone"):
+            planted[i] = (kind, at, at + len(hit))
+    out = {x.doc_id: x.spans for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    caught = sum("%s:%d:%d" % s in out[i].split(",") for i, s in planted.items())
+    assert caught >= 0.9 * len(planted)
+    assert all(not out[i] for i in range(300) if i % 5 in (3, 4))
+
+
+@pytest.mark.parametrize("op", ["mixing", "pii", "tokens", "toxic", "langid", "decontam"])
+def test_repeated_and_null_ids(spark, op):
+    rows = repeated()
+    d = frame(spark, rows).repartition(2)
+    many = Counter(str(i) for i, _ in rows)
+    if op == "mixing":
+        out = mixing.mix(d)
+    elif op == "pii":
+        out = pii.find(d, pii.fit(d))
+    elif op == "tokens":
+        P = pytest.importorskip("public_tokenizers")
+        got = {str(x.doc_id): x.n_bytes for x in token_counts.token_counts(d, P.path("byte_bpe_50k.json")).collect()}
+        assert got == {k: sum(len((t or "").encode()) for i, t in rows if str(i) == k) for k in many}
+        return
+    elif op == "toxic":
+        out = toxicity.score(d, toxicity.fit(d, spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")))
+    elif op == "langid":
+        out = langid.identify(d, langid.fit_profiles(d))
+    else:
+        items = spark.createDataFrame([(1, rows[1][1]), (2, " ".join(f"z{k}" for k in range(4000)))], "item_id long, text string")
+        assert {(x.doc_id, x.item_id) for x in decontam.leaks(d, items).collect()} == {(1, 1), (2, 1)}
+        return
+    assert Counter(str(x.doc_id) for x in out.collect()) == many

@@ -60,3 +60,24 @@ def test_run_keeps_what_brute_force_keeps(spark, tmp_path):
     words = {x[0]: x[1] for x in redacted}
     want = sorted((i, c + 1, words[i]) for i, size, taken in mixed for c in range(taken // size))
     assert sorted((x.doc_id, x.copy, x.text) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want and want
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, id string, num long, copy string, size string, comp long"
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, long texts, clashing columns; and no rows at all."""
+    r = random.Random(3)
+    text = " ".join("".join(r.choice("abcdefg") for _ in range(5)) for _ in range(60))
+    long = " ".join("".join(r.choice("hijklmn") for _ in range(5)) for _ in range(20000))
+    rows = [(1, text, "en", "a", len(text), "x", 1, "c", "s", 1), (1, text, "en", "a", len(text), "x", 1, "c", "s", 1), (None, None, None, None, None, None, None, None, None, None), (3, "", "en", None, 0, None, None, None, None, None), (4, long, None, "a", None, "y", 2, "c", "s", 2), (None, text[::-1], None, None, None, None, None, None, None, None)]
+    spark.createDataFrame([(1, None), (None, "zz yy xx ww vv uu tt ss rr")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    # the long text is in no learned language, the repeated row stays once
+    for some, most in ((rows, 2), ([], 0)):
+        docs = spark.createDataFrame(some, COLUMNS)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.checkpointed(stage(spark, docs, str(tmp_path)))
+            assert docs.columns == spark.createDataFrame([], COLUMNS).columns, name
+        assert docs.count() == most
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert out.count() >= 0 and "taken" in out.columns
