@@ -52,10 +52,10 @@ SPAN = 0.3
 LIMIT = U(int(SPAN * (1 << 64)))
 #: Tokens of the span a shard at most, and shards at least.
 SHARD_TOKENS, LEAST_SHARDS = 2_000_000, 64
-#: In how many documents a frequent token is at least, and tokens a part.
-FREQUENT, PART = 32, 6
 #: Members and shingles in a block of a unit; buckets of the counts; sets so large that their counts are not used.
 BLOCK, BLOCK_TOKENS, BUCKETS, WIDE = 1024, 400_000, 256, 65535
+#: A token is frequent if its documents do not fit a block; tokens a part.
+FREQUENT, PART = BLOCK + 1, 6
 
 
 def shingle_sets(array: pa.Array, width: int) -> tuple[list[np.ndarray], np.ndarray]:
