@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm import exchange
-from quirework.llm._text import LOWER, NUM, U, Words, checkpointed, join_counted, mix, numbered, of_nums, pieces, release, signed, window_hash
+from quirework.llm._text import FEW_TEXTS, LOWER, NUM, U, Words, checkpointed, join_counted, mix, numbered, of_nums, pieces, release, signed, window_hash
 from quirework.llm.components import components
 
 #: Part of the hash range for which it is found out whether a token is shared.
@@ -258,8 +258,10 @@ def distinct(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     owned = checkpointed(owners(documents, classes, rows))
     members = owned.where("comp is not null").join(base.select(F.col(NUM).alias("num"), F.col(id_col).alias("id")), "num")
     best = members.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "num")).alias("b")).select(F.col("b.num").alias("num"))
-    kept = checkpointed(owned.where("comp is null").select("num").unionByName(best))
-    return base.join(kept, base[NUM] == kept["num"], "left_semi").select(*docs.columns)
+    # the rows that go are few beside those that stay
+    gone = checkpointed(members.select("num").join(best, "num", "left_anti").withColumnRenamed("num", "gone"))
+    few = gone.count() <= FEW_TEXTS
+    return base.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), base[NUM] == gone["gone"], "left_anti").select(*docs.columns)
 
 
 def allowed(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
