@@ -62,6 +62,24 @@ def test_run_keeps_what_brute_force_keeps(spark, tmp_path):
     assert sorted((x.doc_id, x.copy, x.text) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want and want
 
 
+# the first sentence of a well-known declaration, or words of no language
+FOREIGN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu järki ja omatunto",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są obdarzeni rozumem i sumieniem",
+    "Minden emberi lény szabadon születik és egyenlő méltósága és joga van, az emberek ésszel és lelkiismerettel bírván",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах",
+    "xq zzk wvv kkx qqj wxw zqk jjx vvq",
+    "4711 ... 0815",
+]
+
+
+def test_language_stage_keeps_learned_languages_alone(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    some = spark.createDataFrame([(-1 - i, t, None, None, len(t)) for i, t in enumerate(FOREIGN)], docs.schema)
+    kept = corpus_pipeline.language_id(spark, docs.unionByName(some), sf_dir)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(x.doc_id for x in docs.collect())
+
+
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, id string, num long, copy string, size string, comp long"
 
 
