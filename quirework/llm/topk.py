@@ -6,7 +6,9 @@ between each query's bounds; the summed histograms tell in which bin the k-th hi
 score lies, and the next round counts within that bin, until the bin is one score
 wide or few candidates are left at or above it.  Then one pass emits the candidates at
 or above the bound.  A task never needs to report more than its own k best (by score,
-then smaller id), so ties of any number stay bounded and break deterministically.
+then smaller id), so ties of any number stay bounded and break deterministically.  What a block
+finds is written before the next one begins and its broadcasts are dropped, so the plan of
+the result is one scan however many blocks there are.
 
 Defined cases: vectors that are null, or hold null or non-finite components, and rows
 without an id take no part; a query is compared with vectors of its own length only;
@@ -26,6 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirework.llm._text import checkpointed
+
+SCHEMA = "query_id long, rank int, vec_id long, score long"
 #: Queries and bytes of query vectors in a block at most (on average), bins a round, scores computed at once.
 BLOCK, BLOCK_BYTES, BINS, AT_ONCE = 1024, 8 << 20, 1024, 1 << 21
 
@@ -81,26 +86,24 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "v
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     about = base.agg(F.max(norm).alias("norm"), F.max(F.size("v")).alias("d")).first()
     total = asked.count()
-    schema = "query_id long, rank int, vec_id long, score long"
     if not total:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], SCHEMA)
     if float(about.norm) ** 2 >= 2.0**62:
         raise ValueError("inner products of these vectors do not fit 64 bits; scale them down")
     many = max(1, math.ceil(total / max(1, min(block, BLOCK_BYTES // (8 * max(about.d, 1))))))
     numbered = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(many)))
-    out = None
+    written = []
     for b in range(many):
         rows: dict[int, list[int]] = {}
         for r in numbered.where(F.col("block") == b).select("id", "v").collect():
             rows[r.id] = min(rows.get(r.id, r.v), r.v)
         if rows:
-            found = one_block(base, sorted(rows.items()), about.norm or 0.0, k, bins)
-            out = found if out is None else out.unionByName(found)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            written.append(one_block(base, sorted(rows.items()), about.norm or 0.0, k, bins)._written)
+    return spark.read.schema(SCHEMA).parquet(*written)
 
 
 def one_block(base: DataFrame, rows: list[tuple[int, list[int]]], norm: float, k: int, bins: int) -> DataFrame:
+    """The result's rows of one block of queries, written."""
     spark, n = base.sparkSession, len(rows)
     block = Block(rows)
     reach = np.asarray([int(min(2**61, norm * math.sqrt(sum(float(x) * x for x in v)) + 2)) for _, v in rows], np.int64)
@@ -128,6 +131,7 @@ def one_block(base: DataFrame, rows: list[tuple[int, list[int]]], norm: float, k
         have = np.zeros((n, bins), np.int64)
         for r in base.mapInArrow(count, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).collect():
             have[r.q, r.bin] = r.n
+        sent.destroy()
         reached = above[:, None] + np.cumsum(have[:, ::-1], 1)[:, ::-1]
         for q in np.flatnonzero(open_):
             full = np.flatnonzero(reached[q] >= k)
@@ -158,4 +162,8 @@ def one_block(base: DataFrame, rows: list[tuple[int, list[int]]], norm: float, k
             q, ids, scores = q[best], ids[best], scores[best]
         yield pa.RecordBatch.from_arrays([pa.array(block.ids[q]), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
 
-    return base.mapInArrow(select, "query_id long, vec_id long, score long")
+    found = base.mapInArrow(select, "query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    out = checkpointed(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+    sent.destroy()
+    return out
