@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over the whole tables, and their SQL where SQL can say it."""
+"""Queries op1 to op13 over the whole tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import decontam, jaccard, langid, mixing, ngram_lm, pii, substring_dedup, topk, toxicity
+from quirework.llm import decontam, fim, jaccard, langid, mixing, neardup_vectors, ngram_lm, pii, resampling, substring_dedup, topk, toxicity
 from quirework.llm._text import bucket, small_batches
 from quirework.llm.token_counts import token_counts
 
@@ -68,6 +68,20 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.links(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(table(spark, sf_dir, "documents"), unit="char", seed="1", fim_percent=90, spm_percent=20)
+    digests = [F.sha2(x.cast("binary"), 256).alias(k) for k, x in (("output_sha256", F.col("output")), ("restored_sha256", fim.restored(F.col("output"), F.col("form"))))]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20, runs=1, buckets=10_000, seed="2024")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2:3].isdigit()}
 
@@ -107,6 +121,35 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 35)) AS p FROM win SEMI JOI
 one AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w),
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM one ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+    "op11_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents),
+h AS (SELECT *, CAST(length(text) AS BIGINT) AS n, list_transform(range(4), lambda k: CAST('0x' || substr(hex, CAST(8 * k + 1 AS BIGINT), 8) AS BIGINT)) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS low, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS high,
+      CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(text, 1, low) AS prefix, substr(text, low + 1, high - low) AS middle, substr(text, high + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
+    "op12_near_duplicate_vectors": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r, b.r AS s, b.vec_id AS other FROM u a JOIN u b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= CAST(0.98 AS DOUBLE)),
+reach AS (SELECT r, s, other FROM l UNION SELECT reach.r, l.s, l.other FROM reach JOIN l ON l.r = reach.s),
+n AS (SELECT r, count(*) AS n FROM l GROUP BY 1), m AS (SELECT r, min(other) AS least FROM reach GROUP BY 1)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, least) AS component_id, vec_id IS NOT DISTINCT FROM least(vec_id, least) AS kept FROM v LEFT JOIN n USING (r) LEFT JOIN m USING (r)""",
+    "op13_importance_resampling": r"""
+WITH table_of AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+q AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+dw AS (SELECT r, w, count(*) AS c FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY ALL), qw AS (SELECT w, count(*) AS c FROM q GROUP BY 1),
+hexed AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM qw)),
+bytes AS (SELECT w, list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM hexed),
+hashed AS (SELECT w, xor(list_reduce(list_prepend(4294967295, b), lambda c, k: xor(c >> 8, crc[CAST(xor(c, k) & 255 AS BIGINT) + 1])), 4294967295) % 10000 AS bucket FROM bytes, table_of),
+s AS (SELECT bucket, sum(c) AS s FROM dw JOIN hashed USING (w) GROUP BY 1), t AS (SELECT bucket, sum(c) AS t FROM qw JOIN hashed USING (w) GROUP BY 1),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM s) + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(t), 0) FROM t) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+weighed AS (SELECT r, sum(c * gain) AS weight FROM dw JOIN hashed USING (w) JOIN g USING (bucket) GROUP BY 1),
+o AS (SELECT doc_id, len(ws) AS n, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST(coalesce(weight, 0) AS BIGINT) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM d LEFT JOIN weighed USING (r)),
+k AS (SELECT *, CASE WHEN n >= 20 THEN row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) END AS rank, count(*) FILTER (WHERE n >= 20) OVER () AS able FROM o)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= 10 * able // 100 THEN CAST(rank AS BIGINT) END AS rank FROM k""",
 }
 
 

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, on the smallest tables."""
+"""The registered queries of the operators, on the smallest tables."""
 
 import pytest
 
@@ -21,6 +21,8 @@ NAMED = {
     "op8": "doc_id n_bytes n_tokens over_limit",
     "op9": "doc_id held_out lang_pred score",
     "op10": "doc_id n_shingles component_id",
+    "op11": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    "op13": "doc_id n_features weight score rank",
 }
 
 
