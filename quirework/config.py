@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-LANGUAGES = ("en", "fr")
+# Fixed values.
+LANGUAGES, DISPLAY_ORDERS = ("en", "fr"), ("ENGLISH_FIRST", "FRENCH_FIRST")
 
 
 class ConfigError(ValueError):
@@ -16,7 +17,7 @@ class ConfigError(ValueError):
 
 @dataclass(frozen=True)
 class Budget:
-    """Token and cost limits; the margin shaves all but the request limits."""
+    """Token and cost limits (the defaults are fixed values); the margin shaves all but the request limits."""
 
     max_source_tokens_per_request: int = 8000
     max_output_tokens_per_request: int = 12000
@@ -33,7 +34,7 @@ class Budget:
     max_cost_per_month: float | None = None
 
 
-#: Named run budgets: requests, input tokens and output tokens a run.
+# Named run budgets: requests, input tokens and output tokens a run.
 PRESETS = {"SAFE_DAILY": (5, 50_000, 70_000), "BALANCED_DAILY": (10, 100_000, 140_000), "WEEKLY": (25, 250_000, 350_000)}
 
 
@@ -43,7 +44,7 @@ class Book:
 
     source_language: str = "en"
     target_language: str = "fr"
-    display_order: str = "SOURCE_FIRST"
+    display_order: str = "ENGLISH_FIRST"
     granularity: str = "PARAGRAPH"
     schedule: str = "MANUAL"
     time: str = "02:00"
@@ -53,7 +54,7 @@ class Book:
             raise ConfigError(f"languages are {', '.join(LANGUAGES)}")
         if self.source_language == self.target_language:
             raise ConfigError("source and target language are the same")
-        if self.display_order not in ("SOURCE_FIRST", "TARGET_FIRST") or self.granularity != "PARAGRAPH":
+        if self.display_order not in DISPLAY_ORDERS or self.granularity != "PARAGRAPH":
             raise ConfigError("unknown display order or granularity")
         if self.schedule not in ("MANUAL", "DAILY", "WEEKLY") or not re.fullmatch(r"([01]\d|2[0-3]):[0-5]\d", self.time):
             raise ConfigError("unknown schedule, or a time that isn't HH:mm")

@@ -13,6 +13,7 @@ SPACE = "[\\x{0009}-\\x{000D}\\x{0020}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2
 URL, NUMERIC = "(?i)^https?://\\S+$", "^[\\d\\s.,%$€£-]+$"
 PLACEHOLDER, OPENING = "</?x-inline[^>]*>", '<x-inline data-id="[^"]+">'
 SAFE_PATH, EXTERNAL = "^[A-Za-z0-9._/-]+$", "(?i)^([a-z][a-z0-9+.-]*:|//)"
+UNSAFE, ACCENT = "[^A-Za-z0-9._-]+", "[\u0300-\u036F]"
 
 
 def _normalizer(form: str):
@@ -98,13 +99,13 @@ def safe_path(path: Column, ascii_only: bool = False) -> Column:
         has = F.regexp_like(p, F.lit("(?s)^.+\\.[^.]*$"))
         base = F.when(has, F.regexp_replace(p, "\\.[^.]*$", "")).otherwise(p)
         ext = F.when(has, F.regexp_extract(p, "(\\.[^.]*)$", 1)).otherwise(F.lit(""))
-        clean = F.regexp_replace(base, "[^A-Za-z0-9._-]+", "_")
+        clean = F.regexp_replace(base, UNSAFE, "_")
         clean = F.regexp_replace(F.regexp_replace(clean, "_+", "_"), "^[._]+|[._]+$", "")
         return F.concat(F.when(clean == "", "file").otherwise(clean), ext)
 
     if not ascii_only:
         # accents go from the base of each part; decomposing the whole path leaves ASCII extensions alone
-        path = F.regexp_replace(normal_form(path, "NFKD"), "[\\x{0300}-\\x{036F}]", "")
+        path = F.regexp_replace(normal_form(path, "NFKD"), ACCENT, "")
     return F.array_join(F.transform(F.split(path, "/"), part), "/")
 
 

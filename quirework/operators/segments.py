@@ -17,29 +17,62 @@ def lines(docs: DataFrame, *keep: str) -> DataFrame:
     return parts.where(t.trimmed(F.col("line")) != "").select("doc_id", *keep, "line_no", t.trimmed(F.col("line")).alias("text"))
 
 
-def with_offsets(rows: DataFrame, group: str, order: str, size: str, out: str) -> DataFrame:
-    """Adds the running total of ``size`` ahead of each row within its group, by an integer order.
+def running(rows: DataFrame, group: list[str], order: str, sizes: dict[str, str]) -> DataFrame:
+    """Adds, for each (name, column) of ``sizes``, the running total of the column ahead of each row of its group, by an integer order.
 
     Two levels: totals of order buckets are summed first (few rows a group), then within
-    buckets, so a group with a third of all rows is still dealt over many tasks.
+    buckets, so a group with a third of all rows is still dealt over many tasks.  Null groups
+    and orders count as values, the null order as the last.
     """
     rows = rows.withColumn("_b", F.floor(F.col(order) / BUCKET))
-    totals = rows.groupBy(group, "_b").agg(F.sum(size).alias("_n"))
-    ahead = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(group, "_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(group, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(totals, [group, "_b"]).withColumn(out, F.col("_before") + F.coalesce(F.sum(size).over(within), F.lit(0))).drop("_b", "_before")
+    totals = rows.groupBy(*group, "_b").agg(*[F.sum(c).alias(f"_n_{name}") for name, c in sizes.items()])
+    ahead = Window.partitionBy(*group).orderBy(F.asc_nulls_last("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(F.sum(f"_n_{name}").over(ahead), F.lit(0)).alias(f"_before_{name}") for name in sizes]
+    totals = totals.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_b").alias("_of"), *before)
+    on = F.col("_b").eqNullSafe(F.col("_of"))
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    within = Window.partitionBy(*group, "_b").orderBy(F.asc_nulls_last(order)).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(totals, on)
+    out = out.withColumns({name: F.col(f"_before_{name}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for name, c in sizes.items()})
+    return out.drop("_b", "_of", *[f"_before_{name}" for name in sizes], *[f"_g_{g}" for g in group])
 
 
-def segments(docs: DataFrame) -> DataFrame:
-    """(book, chapter, order_index, chapter_index, text, tokens): a book is a source, a chapter a document."""
+def with_offsets(rows: DataFrame, group: str, order: str, size: str, out: str) -> DataFrame:
+    return running(rows, [group], order, {out: size})
+
+
+def chapters(docs: DataFrame) -> DataFrame:
+    """(book, chapter, blocks) of each row: a book is a source, a chapter a document, a block a non-blank line."""
     blocks = F.filter(F.transform(F.split("text", "\n"), t.trimmed), lambda x: x != "")
-    own = docs.select(F.coalesce("source", F.lit("")).alias("book"), F.col("doc_id").alias("chapter"), blocks.alias("blocks"))
+    return docs.select(F.coalesce("source", F.lit("")).alias("book"), F.col("doc_id").alias("chapter"), F.coalesce(blocks, F.array().cast("array<string>")).alias("blocks"))
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(book, chapter, chapter_index, text, tokens): segments without their place in the book; nothing is shuffled."""
+    rows = chapters(docs).select("book", "chapter", F.posexplode("blocks").alias("at", "text"))
+    return rows.select("book", "chapter", (F.col("at") + 1).cast("long").alias("chapter_index"), "text", estimate(F.col("text"), F.col("chapter")).alias("tokens"))
+
+
+def estimate(text: Column, chapter: Column) -> Column:
+    return t.estimated_tokens(text, F.concat(F.lit("ch"), F.coalesce(chapter.cast("string"), F.lit(""))))
+
+
+def segments(docs: DataFrame) -> DataFrame:
+    """(book, chapter, order_index, chapter_index, text, tokens): ``paragraphs`` with their place in the book.
+
+    Chapters come in order of their ids, a null id last.  Rows that share an id are chapters
+    of their own, in order of a hash of their blocks.
+    """
+    own = chapters(docs)
     # offsets come from counts alone; texts are read once more, and never sorted
-    first = with_offsets(own.select("book", "chapter", F.size("blocks").cast("long").alias("n")), "book", "chapter", "n", "first").select("chapter", "first")
-    rows = own.join(first, "chapter").select("book", "chapter", "first", F.posexplode("blocks").alias("at", "text"))
-    path = F.concat(F.lit("ch"), F.col("chapter").cast("string"))
-    return rows.select("book", "chapter", (F.col("first") + F.col("at")).alias("order_index"), (F.col("at") + 1).cast("long").alias("chapter_index"), "text", t.estimated_tokens(F.col("text"), path).alias("tokens"))
+    facts = own.groupBy("book", "chapter").agg(F.sum(F.size("blocks").cast("long")).alias("n"), F.count(F.lit(1)).alias("rows"))
+    first = with_offsets(facts, "book", "chapter", "n", "first").select(F.col("book").alias("_book"), F.col("chapter").alias("_chapter"), "first", "rows")
+    placed = own.join(first, F.col("book").eqNullSafe(F.col("_book")) & F.col("chapter").eqNullSafe(F.col("_chapter"))).drop("_book", "_chapter")
+    ahead = Window.partitionBy("book", "chapter").orderBy(F.xxhash64("blocks"), F.size("blocks")).rowsBetween(Window.unboundedPreceding, -1)
+    again = placed.where("rows > 1").withColumn("first", F.col("first") + F.coalesce(F.sum(F.size("blocks")).over(ahead), F.lit(0)))
+    rows = placed.where("rows = 1").unionByName(again).select("book", "chapter", "first", F.posexplode("blocks").alias("at", "text"))
+    return rows.select("book", "chapter", (F.col("first") + F.col("at")).alias("order_index"), (F.col("at") + 1).cast("long").alias("chapter_index"), "text", estimate(F.col("text"), F.col("chapter")).alias("tokens"))
 
 
 def target(limit: int, margin: float) -> int:

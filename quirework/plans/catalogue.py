@@ -77,7 +77,7 @@ def seg_order_index(spark, sf_dir):
 
 @query(SEGMENTS + " SELECT chapter, chapter_index, tokens FROM segs")
 def seg_tokens(spark, sf_dir):
-    return segments.segments(table(spark, sf_dir, "documents")).select("chapter", "chapter_index", "tokens")
+    return segments.paragraphs(table(spark, sf_dir, "documents")).select("chapter", "chapter_index", "tokens")
 
 
 @query(
@@ -109,7 +109,7 @@ def batch_sizes(spark, sf_dir):
 
 @query(SEGMENTS + f" SELECT chapter, chapter_index, tokens FROM segs WHERE tokens > {LIMIT}")
 def unsafe_paragraphs(spark, sf_dir):
-    return segments.segments(table(spark, sf_dir, "documents")).where(F.col("tokens") > LIMIT).select("chapter", "chapter_index", "tokens")
+    return segments.paragraphs(table(spark, sf_dir, "documents")).where(F.col("tokens") > LIMIT).select("chapter", "chapter_index", "tokens")
 
 
 @query(SEGMENTS + f" SELECT book, order_index, tokens FROM segs WHERE tokens > {LIMIT} ORDER BY book, order_index LIMIT 20")
@@ -239,35 +239,45 @@ GATED = (
     LEDGER.replace("WITH l", "WITH RECURSIVE l")
     + """, d AS (SELECT CAST(ts AS DATE) AS day, CAST(sum(tin) AS BIGINT) AS di, CAST(sum(tout) AS BIGINT) AS do_ FROM l WHERE event_id % 2 = 1 GROUP BY 1),
 m AS (SELECT strftime(ts, '%Y-%m') AS month, CAST(sum(tin) AS BIGINT) AS mi, CAST(sum(tout) AS BIGINT) AS mo FROM l WHERE event_id % 2 = 1 GROUP BY 1),
-b AS (SELECT event_id, job_id % 10 AS run, CAST(ts AS DATE) AS day, tin, tout, row_number() OVER (PARTITION BY job_id % 10, CAST(ts AS DATE) ORDER BY event_id) AS k, coalesce(di, 0) AS di, coalesce(do_, 0) AS do_, coalesce(mi, 0) AS mi, coalesce(mo, 0) AS mo
-      FROM l LEFT JOIN d ON d.day = CAST(l.ts AS DATE) LEFT JOIN m ON m.month = strftime(l.ts, '%Y-%m') WHERE event_id % 2 = 0),
-w AS (SELECT run, day, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ui, CAST(0 AS BIGINT) AS uo, CAST(NULL AS VARCHAR) AS scope, false AS stopped FROM b WHERE k = 1
+e AS (SELECT event_id, job_id % 10 AS run, CAST(ts AS DATE) AS day, tin, (row_number() OVER (PARTITION BY job_id % 10, CAST(ts AS DATE) ORDER BY event_id) - 1) // 4 AS batch FROM l WHERE event_id % 2 = 0),
+b AS (SELECT run, day, batch, list(tin ORDER BY event_id) AS tok FROM e GROUP BY 1, 2, 3),
+w AS (SELECT run, day, list({'b': batch, 'a': 0, 'z': len(tok)} ORDER BY batch) AS q, list(tok ORDER BY batch) AS t, CAST(NULL AS BIGINT) AS batch, CAST(NULL AS INTEGER) AS a, CAST(NULL AS INTEGER) AS z, CAST(NULL AS BIGINT) AS tokens_in, CAST(NULL AS BIGINT) AS tokens_out,
+             CAST(NULL AS VARCHAR) AS scope, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ui, CAST(0 AS BIGINT) AS uo, false AS stopped FROM b GROUP BY 1, 2
       UNION ALL
-      SELECT run, day, k, event_id, n + CASE WHEN scope IS NULL THEN 1 ELSE 0 END, ui + CASE WHEN scope IS NULL THEN tin ELSE 0 END, uo + CASE WHEN scope IS NULL THEN tout ELSE 0 END, scope, stopped OR coalesce(scope NOT IN ('REQUEST', 'NOT_REACHED'), false)
-      FROM (SELECT b.*, w.n, w.ui, w.uo, w.stopped, CASE WHEN w.stopped THEN 'NOT_REACHED' WHEN b.tin > 200 OR b.tout > 230 THEN 'REQUEST' WHEN w.n + 1 > 20 OR w.ui + b.tin > 1040 OR w.uo + b.tout > 1200 THEN 'RUN' WHEN b.di + w.ui + b.tin > 9200 OR b.do_ + w.uo + b.tout > 11200 THEN 'DAY' WHEN b.mi + w.ui + b.tin > 256000 OR b.mo + w.uo + b.tout > 320000 THEN 'MONTH' WHEN CAST(w.ui AS DOUBLE) / 1e6 * 3e0 + CAST(w.uo AS DOUBLE) / 1e6 * 15e0 + (CAST(b.tin AS DOUBLE) / 1e6 * 3e0 + CAST(b.tout AS DOUBLE) / 1e6 * 15e0) > 0.013e0 THEN 'COST' END AS scope
-            FROM w JOIN b ON b.run = w.run AND b.day = w.day AND b.k = w.k + 1))"""
+      SELECT run, day, CASE WHEN scope = 'HALVED' THEN list_concat([{'b': h.b, 'a': h.a, 'z': (h.a + h.z + 1) // 2}, {'b': h.b, 'a': (h.a + h.z + 1) // 2, 'z': h.z}], q[2:]) ELSE q[2:] END, t, h.b, h.a, h.z, tin, tout, scope,
+             n + CASE WHEN scope IS NULL THEN 1 ELSE 0 END, ui + CASE WHEN scope IS NULL THEN tin ELSE 0 END, uo + CASE WHEN scope IS NULL THEN tout ELSE 0 END, stopped OR coalesce(scope IN ('RUN', 'DAY', 'MONTH', 'COST'), false)
+      FROM (SELECT *, CASE WHEN (tin > 200 OR tout > 230) AND h.z - h.a > 1 THEN 'HALVED' WHEN stopped THEN 'NOT_REACHED' WHEN tin > 200 OR tout > 230 THEN 'REQUEST' WHEN n + 1 > 20 OR ui + tin > 1040 OR uo + tout > 1200 THEN 'RUN' WHEN di + ui + tin > 9200 OR do_ + uo + tout > 11200 THEN 'DAY' WHEN mi + ui + tin > 256000 OR mo + uo + tout > 320000 THEN 'MONTH' WHEN CAST(ui AS DOUBLE) / 1e6 * 3e0 + CAST(uo AS DOUBLE) / 1e6 * 15e0 + (CAST(tin AS DOUBLE) / 1e6 * 3e0 + CAST(tout AS DOUBLE) / 1e6 * 15e0) > 0.013e0 THEN 'COST' END AS scope
+            FROM (SELECT *, CAST(ceil(tin * CAST(1.2 AS DOUBLE)) AS BIGINT) AS tout
+                  FROM (SELECT w.run, w.day, w.q, w.t, w.n, w.ui, w.uo, w.stopped, w.q[1] AS h, CAST(list_sum(w.t[w.q[1].b + 1][w.q[1].a + 1:w.q[1].z]) AS BIGINT) AS tin, coalesce(di, 0) AS di, coalesce(do_, 0) AS do_, coalesce(mi, 0) AS mi, coalesce(mo, 0) AS mo
+                        FROM w LEFT JOIN d ON d.day = w.day LEFT JOIN m ON m.month = strftime(w.day, '%Y-%m') WHERE len(w.q) > 0)))),
+r AS (SELECT run, day, batch, CAST(row_number() OVER (PARTITION BY run, day, batch ORDER BY a) - 1 AS INTEGER) AS part, a, z, tokens_in, tokens_out, scope FROM w WHERE batch IS NOT NULL AND scope IS DISTINCT FROM 'HALVED')"""
 )
 
 
 def gated(spark, sf_dir):
-    """Runs of a day (even events, a job group a run) against what the ledger (odd events) holds of the day and the month."""
+    """Runs of a day (even events in batches of four, a job group a run) against what the ledger (odd events) holds of the day and the month."""
     l = ledger(spark, sf_dir).withColumn("day", F.to_date("ts")).withColumn("month", cal.month_key(F.col("ts")))
     old = l.where("event_id % 2 = 1")
     sums = lambda key: old.groupBy(key).agg(F.sum("tin").alias(f"{key}_in"), F.sum("tout").alias(f"{key}_out"))
-    b = l.where("event_id % 2 = 0").withColumn("run", F.col("job_id") % 10).join(sums("day"), "day", "left").join(sums("month"), "month", "left")
-    return budget.admitted(b, ["run", "day"], "event_id", "tin", "tout", GATE, prices=PRICES)
+    e = l.where("event_id % 2 = 0").withColumn("run", F.col("job_id") % 10)
+    e = e.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("run", "day").orderBy("event_id")) - 1) / 4))
+    b = e.groupBy("run", "day", "month", "batch").agg(F.array_sort(F.collect_list(F.struct("event_id", "tin"))).alias("e")).select("run", "day", "month", "batch", F.col("e.tin").alias("sizes"))
+    return budget.queue(b.join(sums("day"), "day", "left").join(sums("month"), "month", "left"), ["run", "day"], "batch", "sizes", GATE, prices=PRICES)
 
 
-@query(GATED + " SELECT event_id, scope FROM w WHERE k > 0")
+@query(GATED + " SELECT run, strftime(day, '%Y-%m-%d') AS day, batch, part, a, z, tokens_in, tokens_out, scope FROM r")
 def budget_decision(spark, sf_dir):
-    return gated(spark, sf_dir).select("event_id", "scope")
+    return gated(spark, sf_dir).select("run", F.date_format("day", "yyyy-MM-dd").alias("day"), "batch", "part", "a", "z", "tokens_in", "tokens_out", "scope")
 
 
-@query(GATED + " SELECT run, strftime(day, '%Y-%m-%d') AS day, CAST(count(*) FILTER (WHERE scope IS NULL) AS BIGINT) AS admitted, min(event_id) FILTER (WHERE scope NOT IN ('REQUEST', 'NOT_REACHED')) AS stop, min(scope) FILTER (WHERE scope NOT IN ('REQUEST', 'NOT_REACHED')) AS scope FROM w WHERE k > 0 GROUP BY 1, 2")
+STOPS = "('RUN', 'DAY', 'MONTH', 'COST')"
+
+
+@query(GATED + f" SELECT run, strftime(day, '%Y-%m-%d') AS day, CAST(count(*) FILTER (WHERE scope IS NULL) AS BIGINT) AS admitted, CAST(count(*) FILTER (WHERE scope = 'REQUEST') AS BIGINT) AS failed, min(batch) FILTER (WHERE scope IN {STOPS}) AS stop, min(scope) FILTER (WHERE scope IN {STOPS}) AS scope FROM r GROUP BY 1, 2")
 def budget_stop(spark, sf_dir):
-    denied = ~F.col("scope").isin("REQUEST", "NOT_REACHED")
+    denied = F.col("scope").isin("RUN", "DAY", "MONTH", "COST")
     out = gated(spark, sf_dir).groupBy("run", F.date_format("day", "yyyy-MM-dd").alias("day"))
-    return out.agg(F.count_if("admitted").alias("admitted"), F.min(F.when(denied, F.col("event_id"))).alias("stop"), F.min(F.when(denied, F.col("scope"))).alias("scope"))
+    return out.agg(F.count_if("admitted").alias("admitted"), F.count_if(F.col("scope") == "REQUEST").alias("failed"), F.min(F.when(denied, F.col("batch"))).alias("stop"), F.min(F.when(denied, F.col("scope"))).alias("scope"))
 
 
 SPLIT = PACKED + """, b AS (SELECT chapter, batch, list(tokens ORDER BY chapter_index) AS t, list(chapter_index ORDER BY chapter_index) AS c FROM walk GROUP BY 1, 2),
@@ -284,8 +294,9 @@ def batch_split(spark, sf_dir):
     """Batches over a request limit, halved until they fit; a segment that does not fit alone has no part."""
     b = segments.batches(table(spark, sf_dir, "documents"), LIMIT, MARGIN)
     whole = b.groupBy("chapter", "batch").agg(F.array_sort(F.collect_list(F.struct("chapter_index", "tokens"))).alias("s"))
-    whole = whole.withColumn("part", budget.request_parts(F.col("s.tokens"), F.lit(150), F.lit(170)))
-    return whole.select("chapter", "batch", F.explode(F.arrays_zip(F.col("s.chapter_index").alias("chapter_index"), "part")).alias("x")).select("chapter", "batch", F.col("x.chapter_index").alias("chapter_index"), F.col("x.part").alias("part"))
+    whole = whole.withColumn("parts", budget.requests(F.col("s.tokens"), 150, 170)).select("chapter", "batch", "s", "parts", F.posexplode("parts").alias("k", "p"))
+    part = F.when(F.col("p.fits"), F.size(F.filter(F.slice("parts", F.lit(1), F.col("k")), lambda p: p["fits"]))).otherwise(-1)
+    return whole.select("chapter", "batch", F.explode(F.slice("s.chapter_index", F.col("p.a") + 1, F.col("p.z") - F.col("p.a"))).alias("chapter_index"), part.alias("part"))
 
 
 STATUS = "CASE WHEN l_returnflag = 'R' THEN 'FAILED' WHEN l_linestatus = 'O' THEN 'PENDING' ELSE 'TRANSLATED' END"
@@ -350,6 +361,30 @@ def transition_allowed(spark, sf_dir):
     return e.select("event_id", state.allowed(F.col("a"), F.col("b")).alias("allowed"))
 
 
+JUDGED = f"""WITH RECURSIVE allowed(a, b) AS (VALUES {MOVES}), n AS (SELECT event_id, user_id, ts, {STATE_SQL} AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+w AS (SELECT user_id, k, event_id, ts, s AS tried, CAST(NULL AS VARCHAR) AS before, s AS state, true AS ok FROM n WHERE k = 1
+      UNION ALL
+      SELECT user_id, k, event_id, ts, s, state, CASE WHEN good THEN s ELSE state END, good
+      FROM (SELECT n.*, w.state, (w.state, n.s) IN (SELECT (a, b) FROM allowed) AS good FROM w JOIN n ON n.user_id = w.user_id AND n.k = w.k + 1))"""
+
+
+def judged(spark, sf_dir):
+    return state.applied(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", state_of().alias("tried")), "user_id", "event_id", "tried")
+
+
+@query(JUDGED + " SELECT event_id, before, CASE WHEN NOT ok THEN 'INVALID_JOB_TRANSITION' END AS error FROM w")
+def transition_log(spark, sf_dir):
+    """Users as jobs: every move tried, the state it met, and whether it was refused."""
+    return judged(spark, sf_dir).select("event_id", "before", "error")
+
+
+@query(JUDGED + " SELECT user_id, arg_max(state, k) AS status, 'moved by ' || max(event_id) FILTER (WHERE ok AND event_id % 2 = 0) AS error_message, min(ts) FILTER (WHERE ok) AS created_at, max(ts) FILTER (WHERE ok) AS updated_at, max(ts) FILTER (WHERE ok AND tried = 'TRANSLATING') AS last_run_at, CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS refused FROM w GROUP BY 1")
+def job_states(spark, sf_dir):
+    """Jobs as their moves have left them; every other event brings a message."""
+    rows = judged(spark, sf_dir).withColumn("message", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("moved by "), F.col("event_id").cast("string"))))
+    return state.jobs(rows, "user_id", "event_id", "tried", "message", "ts")
+
+
 @query("SELECT user_id, arg_max(event_type, event_id) AS status, CAST(count(*) AS BIGINT) AS events FROM events GROUP BY 1")
 def latest_state(spark, sf_dir):
     return state.latest(table(spark, sf_dir, "events"), "user_id", F.col("event_type"), F.col("event_id")).select("user_id", F.col("value").alias("status"), "events")

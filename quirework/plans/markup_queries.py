@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirework.functions import text as t
 from quirework.operators import markup
 from quirework.sources import epub
 
@@ -83,11 +84,12 @@ def chapter_drafts(spark, sf_dir):
 
 
 def book_render(spark, sf_dir):
-    """Bilingual books, every third block without a translation: digests of all entries."""
+    """Bilingual books from mock replies to placeholder texts, every third block without one, every fifth without its placeholders: digests of all entries."""
     entries = bound(spark, sf_dir)
     blocks = epub.blocks(epub.reading_order(entries))
-    done = blocks.select("book", "path", "at", F.when(F.col("at") % 3 != 2, F.concat(F.lit("[FR] "), "html")).alias("html"))
-    made = epub.translated(entries, done, "en", "fr")
+    reply = F.when(F.col("at") % 5 == 4, t.without_placeholders(F.col("placeholder_text"))).otherwise(F.col("placeholder_text"))
+    replies = blocks.where("at % 3 <> 2").select("book", "path", "at", F.concat(F.lit("[FR] "), reply).alias("translated"))
+    made = epub.translated(entries, epub.resolved(blocks, replies), "en", "fr")
     return made.select("book", "ord", "path", F.sha2("data", 256).alias("digest"))
 
 

@@ -120,7 +120,7 @@ def jobs_newest(spark, sf_dir):
 @query(f"WITH {LINE} SELECT chapter, string_agg(chapter_index || ':' || length(text), ',' ORDER BY chapter_index) AS segments FROM lines GROUP BY 1")
 def chapter_segments(spark, sf_dir):
     """The segments of a chapter as one list, in order."""
-    rows = segments.segments(table(spark, sf_dir, "documents")).select("chapter", "chapter_index", F.length("text").alias("n"))
+    rows = segments.paragraphs(table(spark, sf_dir, "documents")).select("chapter", "chapter_index", F.length("text").alias("n"))
     own = F.array_sort(F.collect_list(F.struct("chapter_index", "n")))
     return rows.groupBy("chapter").agg(own.alias("s")).select("chapter", F.array_join(F.transform("s", lambda x: F.concat(x["chapter_index"].cast("string"), F.lit(":"), x["n"].cast("string"))), ",").alias("segments"))
 
@@ -128,14 +128,14 @@ def chapter_segments(spark, sf_dir):
 @query(f"WITH {LINE}, b AS (SELECT chapter, CAST((chapter_index - 1) // 5 AS BIGINT) AS batch, CAST(sum(length(text)) AS BIGINT) AS chars FROM lines GROUP BY 1, 2) SELECT chapter, batch, chars, CAST(ceil(chars / 4e0) AS BIGINT) AS input_tokens, CAST(ceil(chars / 3.5e0) AS BIGINT) AS output_tokens FROM b")
 def batch_characters(spark, sf_dir):
     """Estimates of a batch by its characters alone."""
-    rows = segments.segments(table(spark, sf_dir, "documents")).groupBy("chapter", F.floor((F.col("chapter_index") - 1) / 5).alias("batch")).agg(F.sum(t.units(F.col("text"))).alias("chars"))
+    rows = segments.paragraphs(table(spark, sf_dir, "documents")).groupBy("chapter", F.floor((F.col("chapter_index") - 1) / 5).alias("batch")).agg(F.sum(t.units(F.col("text"))).alias("chars"))
     return rows.select("chapter", "batch", "chars", *[F.ceil(F.col("chars") / F.lit(k)).cast("long").alias(n) for n, k in (("input_tokens", 4.0), ("output_tokens", 3.5))])
 
 
 @query(f"WITH {LINE}, a AS (SELECT DISTINCT chapter, CAST(chapter_index AS BIGINT) AS chapter_index FROM lines WHERE chapter_index % 3 = 1) SELECT l.chapter, l.chapter_index, sha256(l.text) AS checksum FROM a JOIN lines l USING (chapter, chapter_index)")
 def batch_segments(spark, sf_dir):
     """Ids of a batch joined to the segments they name."""
-    s = segments.segments(table(spark, sf_dir, "documents"))
+    s = segments.paragraphs(table(spark, sf_dir, "documents"))
     asked = s.where("chapter_index % 3 = 1").select("chapter", "chapter_index")
     return lookups.named(asked, s, ["chapter", "chapter_index"]).select("chapter", "chapter_index", t.checksum(F.col("text")).alias("checksum"))
 
@@ -170,7 +170,7 @@ def segment_log(spark, sf_dir):
 @query(f"WITH {LINE} SELECT chapter, chapter_index, 'PENDING' AS status, CAST(0 AS BIGINT) AS retry_count FROM lines l WHERE NOT EXISTS (SELECT 1 FROM lines o WHERE o.chapter = l.chapter AND o.chapter_index = l.chapter_index AND o.chapter % 2 = 0 AND o.chapter_index = 1)")
 def insert_segments(spark, sf_dir):
     """Drafts that are not stored yet, as the rows to append."""
-    s = segments.segments(table(spark, sf_dir, "documents")).select("chapter", "chapter_index")
+    s = segments.paragraphs(table(spark, sf_dir, "documents")).select("chapter", "chapter_index")
     stored = s.where("chapter % 2 = 0 and chapter_index = 1")
     return lookups.fresh(s, stored, ["chapter", "chapter_index"]).select("chapter", "chapter_index", F.lit("PENDING").alias("status"), F.lit(0).cast("long").alias("retry_count"))
 
@@ -205,7 +205,7 @@ def user_log(spark, sf_dir):
 @query(f"WITH {LINE}, b AS (SELECT chapter, CAST((chapter_index - 1) // 5 AS BIGINT) AS batch, chapter_index, text, CASE WHEN chapter_index % 7 = 0 THEN 'missing' WHEN chapter_index % 5 = 0 THEN 'rejected' ELSE 'valid' END AS verdict FROM lines) SELECT chapter, batch, CAST(count(*) FILTER (WHERE verdict = 'valid') AS BIGINT) AS translated, CAST(count(*) FILTER (WHERE verdict <> 'valid') AS BIGINT) AS failed, CAST(coalesce(sum(length(text)) FILTER (WHERE verdict = 'valid'), 0) AS BIGINT) AS output_chars FROM b GROUP BY 1, 2")
 def batch_writes(spark, sf_dir):
     """All that one batch writes: segments translated and failed, and its ledger entry, as one row."""
-    s = segments.segments(table(spark, sf_dir, "documents"))
+    s = segments.paragraphs(table(spark, sf_dir, "documents"))
     verdict = F.when(F.col("chapter_index") % 7 == 0, "missing").when(F.col("chapter_index") % 5 == 0, "rejected").otherwise("valid")
     rows = s.select("chapter", F.floor((F.col("chapter_index") - 1) / 5).alias("batch"), verdict.alias("verdict"), "text")
     ok = F.col("verdict") == "valid"

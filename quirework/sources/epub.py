@@ -15,11 +15,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quirework.functions.text import EXTERNAL, SAFE_PATH, checksum, normalized, segment_id, trimmed
+from quirework.functions.text import ACCENT, EXTERNAL, SAFE_PATH, UNSAFE, checksum, normalized, segment_id, trimmed
 from quirework.operators import lookups, markup, segments
 
 MIMETYPE = "application/epub+zip"
@@ -103,6 +103,11 @@ def unpacked(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return files.mapInPandas(run, ENTRIES)
 
 
+def text_of(data: Column) -> Column:
+    """Bytes as UTF-8; what is none becomes replacement characters, and never fails the books beside it."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
 def package(entries: DataFrame) -> DataFrame:
     """(book, kind, ord, id, href, media_type, linear, opf): manifest items (href resolved), spine references, or one fault.
 
@@ -112,7 +117,7 @@ def package(entries: DataFrame) -> DataFrame:
     """
     readable = entries.where("error is null")
     books = readable.select("book").distinct()
-    container = readable.where("path = 'META-INF/container.xml'").select("book", F.decode("data", "UTF-8").alias("xml"))
+    container = readable.where("path = 'META-INF/container.xml'").select("book", text_of(F.col("data")).alias("xml"))
     named = books.join(container, "book", "left").select("book", F.col("xml").isNotNull().alias("has"), root_file("xml").alias("opf"))
     docs = named.join(readable.select("book", F.col("path").alias("opf"), "data"), ["book", "opf"], "left")
 
@@ -175,7 +180,7 @@ def items_of(opf: str, path: str) -> list[tuple]:
 def mime_faults(entries: DataFrame) -> DataFrame:
     """(book, at, code, detail) of what is wrong with the mimetype entry."""
     files = entries.where("error is null")
-    first = files.groupBy("book").agg(F.min_by("path", "ord").alias("first"), F.max(F.when(F.col("path") == "mimetype", F.struct(F.col("stored"), trimmed(F.decode("data", "UTF-8")).alias("text")))).alias("m"))
+    first = files.groupBy("book").agg(F.min_by("path", "ord").alias("first"), F.max(F.when(F.col("path") == "mimetype", F.struct(F.col("stored"), trimmed(text_of(F.col("data"))).alias("text")))).alias("m"))
     found = F.array_compact(F.array(
         F.when(~F.col("first").eqNullSafe(F.lit("mimetype")), F.struct(F.lit(1).alias("at"), F.lit("MIMETYPE_NOT_FIRST").alias("code"))),
         F.when(F.col("m").isNull(), F.struct(F.lit(2).alias("at"), F.lit("MIMETYPE_MISSING").alias("code"))),
@@ -211,7 +216,7 @@ def reading_order(entries: DataFrame) -> DataFrame:
     # of items with one id the last one counts
     items = parts.where("kind = 'manifest'").groupBy("book", "id").agg(F.max_by("href", "ord").alias("path"))
     good = spine.join(refusals(entries), "book", "left_anti")
-    return good.join(items, ["book", "id"]).join(entries.select("book", "path", "data"), ["book", "path"]).select("book", "ord", "path", F.decode("data", "UTF-8").alias("content"))
+    return good.join(items, ["book", "id"]).join(entries.select("book", "path", "data"), ["book", "path"]).select("book", "ord", "path", text_of(F.col("data")).alias("content"))
 
 
 def blocks(documents: DataFrame, html_mode: bool = False) -> DataFrame:
@@ -267,7 +272,7 @@ def issues(entries: DataFrame) -> DataFrame:
     out = out.unionByName(parts.where("kind = 'fault'").select("book", F.lit(5).alias("at"), F.col("id").alias("code"), F.col("href").alias("detail")))
     out = out.unionByName(one(items.join(files, (items.book == files.book) & (items.href == files.path), "left_anti"), 6, "MANIFEST_FILE_MISSING", F.col("href")))
     out = out.unionByName(one(spine.join(items, ["book", "id"], "left_anti"), 7, "SPINE_REFERENCES_UNKNOWN_ITEM", F.col("id")))
-    pages = items.where("media_type = 'application/xhtml+xml'").select("book", F.col("href").alias("path")).join(files, ["book", "path"]).select("book", "path", F.decode("data", "UTF-8").alias("content"))
+    pages = items.where("media_type = 'application/xhtml+xml'").select("book", F.col("href").alias("path")).join(files, ["book", "path"]).select("book", "path", text_of(F.col("data")).alias("content"))
     out = out.unionByName(one(pages.withColumn("fault", fault(F.col("content"))).where("fault is not null"), 8, "XHTML_NOT_WELL_FORMED", F.concat_ws(": ", "path", "fault")))
     refs = references(pages)
     links = refs.where("kind = 'link'")
@@ -275,7 +280,7 @@ def issues(entries: DataFrame) -> DataFrame:
     out = out.unionByName(one(links.join(there, ["book", "target"], "left_anti"), 9, "UNRESOLVED_LINK", F.concat_ws(" -> ", "path", "target")))
     # anchors may stand in any file that is linked to, whatever the manifest calls it
     held = links.where("fragment is not null").join(there, ["book", "target"], "left_semi")
-    marked = held.select("book", F.col("target").alias("path")).distinct().join(files, ["book", "path"]).select("book", "path", F.decode("data", "UTF-8").alias("content"))
+    marked = held.select("book", F.col("target").alias("path")).distinct().join(files, ["book", "path"]).select("book", "path", text_of(F.col("data")).alias("content"))
     anchors = references(marked).where("kind = 'anchor'").select("book", "target", "fragment")
     lost = held.join(anchors, ["book", "target", "fragment"], "left_anti")
     return out.unionByName(one(lost, 10, "UNRESOLVED_ANCHOR", F.concat_ws("#", "target", "fragment")))
@@ -290,7 +295,7 @@ def translated(entries: DataFrame, outcomes: DataFrame, source: str, target: str
     """(book, ord, path, data) of bilingual books.
 
     ``outcomes``: (book, path, at, html), one a block of each chapter, html null where it
-    failed.  Chapters without outcomes keep their text; refused books give no row.
+    failed.  Chapters without outcomes keep their text and get the sheet's link; refused books give no row.
     """
     opf = package(entries).where("kind <> 'fault'").select("book", "opf").distinct()
     chapters = reading_order(entries).select("book", "path").distinct()
@@ -301,7 +306,7 @@ def translated(entries: DataFrame, outcomes: DataFrame, source: str, target: str
 
     def render(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ord")
-        outcomes = {p: list(h) for p, h, c in zip(frame.path, frame.html, frame.chapter, strict=True) if c is True and h is not None}
+        outcomes = {p: None if h is None else list(h) for p, h, c in zip(frame.path, frame.html, frame.chapter, strict=True) if c is True}
         first = not markup.english_first(source, target, display)
         made = markup.book([(p, bytes(d)) for p, d in zip(frame.path, frame.data, strict=True)], frame.opf.iloc[0], outcomes, source, target, first)
         return pd.DataFrame({"book": frame.book.iloc[0], "ord": range(len(made)), "path": [p for p, _ in made], "data": [d for _, d in made]})
@@ -309,6 +314,26 @@ def translated(entries: DataFrame, outcomes: DataFrame, source: str, target: str
     return good.groupBy("book").applyInPandas(render, "book string, ord int, path string, data binary")
 
 
+@F.pandas_udf(StringType())
+def rebuilt(html: pd.Series, translated: pd.Series) -> pd.Series:
+    """Inline markup of a block from its translated placeholder text; null if it is not there or cannot be rebuilt."""
+
+    def one(own: str, text: str | None) -> str | None:
+        return markup.outcome_of(text, markup.placeholders(markup.parse(own))[1])[1]
+
+    return pd.Series([one(a, b) for a, b in zip(html, translated, strict=True)], dtype=object)
+
+
+def resolved(blocks: DataFrame, replies: DataFrame) -> DataFrame:
+    """(book, path, at, status, html) of every block, from replies (book, path, at, translated) in placeholder text.
+
+    A block without a reply, or whose placeholders a reply lost, changed or left open, has FAILED and keeps no html.
+    """
+    rows = blocks.select("book", "path", "at", F.col("html").alias("own")).join(replies.select("book", "path", "at", "translated"), ["book", "path", "at"], "left")
+    rows = rows.select("book", "path", "at", rebuilt("own", "translated").alias("html"))
+    return rows.select("book", "path", "at", F.when(F.col("html").isNull(), "FAILED").otherwise("TRANSLATED").alias("status"), "html")
+
+
 @F.pandas_udf(StringType())
 def fault(content: pd.Series) -> pd.Series:
     return content.map(markup.fault, na_action="ignore")
@@ -317,8 +342,8 @@ def fault(content: pd.Series) -> pd.Series:
 def safe_part(part: str) -> str:
     dot = part.rfind(".")
     base, ext = (part[:dot], part[dot:]) if dot > 0 else (part, "")
-    base = re.sub("[̀-ͯ]", "", unicodedata.normalize("NFKD", base))
-    base = re.sub("_+", "_", re.sub("[^A-Za-z0-9._-]+", "_", base)).strip("._")
+    base = re.sub(ACCENT, "", unicodedata.normalize("NFKD", base))
+    base = re.sub("_+", "_", re.sub(UNSAFE, "_", base)).strip("._")
     return (base or "file") + ext
 
 
@@ -347,7 +372,7 @@ def renamed(paths: list[str]) -> dict[str, str]:
 def moved(href: str, old: str, new: str, paths: dict[str, str]) -> str:
     """A reference from a renamed document to a renamed one."""
     file, mark, fragment = href.partition("#")
-    if not file or re.match(r"(?i)([a-z][a-z0-9+.-]*:|//)", file):
+    if not file or re.match(EXTERNAL, file):
         return href
     to = paths.get(posixpath.normpath(posixpath.join(posixpath.dirname(old), file)))
     return href if to is None else posixpath.relpath(to, posixpath.dirname(new) or ".") + mark + fragment
@@ -367,7 +392,7 @@ def with_safe_paths(entries: list[tuple[str, bytes]]) -> list[tuple[str, bytes]]
         new, ext = paths[old], posixpath.splitext(old)[1].lower()
         refers = {("rootfile", "full-path")} if old == "META-INF/container.xml" else REFERS.get("xhtml" if ext in (".xhtml", ".html", ".htm") else ext)
         if refers:
-            text = data.decode("utf-8")
+            text = data.decode("utf-8", "replace")
             base, edits = ("x", "x") if old == "META-INF/container.xml" else (old, new), []
             for n in markup.parse(text).elements():
                 for (k, v), (a, b) in zip(n.attrs, n.spots, strict=True):

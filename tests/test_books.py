@@ -2,9 +2,13 @@
 
 import hashlib
 import io
+import random
+import re
+import time
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirework.operators import markup
 from quirework.sources import epub
@@ -171,9 +175,9 @@ def test_refusals(spark):
 
 
 def test_renaming():
-    got = epub.renamed(["part #1.html", "part !1.html", "ok.html", "part_1-2.html"])
-    assert got["part #1.html"] == "part_1.html" and got["ok.html"] == "ok.html" and got["part_1-2.html"] == "part_1-2.html"
-    assert len(set(got.values())) == 4
+    # accents and spaces fall together; a name that another file owns is not taken
+    got = epub.renamed(["é.css", "è.css", "e-2.css", "map of mill.svg", "map~of~mill.svg"])
+    assert got == {"e-2.css": "e-2.css", "é.css": "e.css", "è.css": "e-2-3.css", "map of mill.svg": "map_of_mill.svg", "map~of~mill.svg": "map_of_mill-2.svg"}
     page = '<?xml version="1.0"?><!-- c --><html><a href="c d.xhtml#f">x</a><svg viewBox="1"/></html>'
     ncx = '<ncx><navPoint playOrder="1"><content src="a b.xhtml"/></navPoint></ncx>'
     entries = [("mimetype", b"x"), ("a b.xhtml", page.encode()), ("c d.xhtml", b"<p>y</p>"), ("t.ncx", ncx.encode())]
@@ -195,3 +199,54 @@ def test_stream_of_archives(spark, tmp_path):
     go()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 10 and got.select("book").distinct().count() == 2
+
+
+def test_one_page_that_is_not_utf8_fails_no_other_book(spark):
+    fine = {"OEBPS/text/c2.xhtml": "<html><body><p>q</p></body></html>"}
+    broken = [(p, d.replace(b"Wheels", b"Wh\xe9els")) for p, d in book(**fine)]
+    entries = epub.unpacked(spark.createDataFrame([("good", epub.pack(book(**fine))), ("latin", epub.pack(broken))], "book string, data binary"))
+    assert epub.issues(entries).count() == 0
+    order = epub.reading_order(entries).orderBy("book", "ord").collect()
+    assert [(r.book, r.path[-8:]) for r in order] == [(b, f"c{k}.xhtml") for b in ("good", "latin") for k in (2, 1)]
+    assert "Wh\ufffdels" in order[3].content and "Wheels" in order[1].content
+    made = epub.translated(entries, epub.blocks(epub.reading_order(entries)).select("book", "path", "at", "html"), "en", "fr")
+    assert made.count() == 12
+    assert [p for p, _ in epub.with_safe_paths([("a b.html", b"<p>\xff</p>")])] == ["a_b.html"]
+
+
+def test_chapters_without_blocks_get_the_sheet(spark):
+    entries = frame(spark, epub.pack(book(**{"OEBPS/text/c2.xhtml": "<html><head></head><body><img/></body></html>"})))
+    blocks = epub.blocks(epub.reading_order(entries))
+    made = {r.path: bytes(r.data).decode() for r in epub.translated(entries, blocks.select("book", "path", "at", "html"), "en", "fr").collect()}
+    assert made["OEBPS/text/c2.xhtml"] == '<html><head><link rel="stylesheet" type="text/css" href="../styles/bilingual-pairs.css"/></head><body><img/></body></html>'
+
+
+def test_replies_become_outcomes(spark):
+    blocks = epub.blocks(epub.reading_order(frame(spark, epub.pack(book()))))
+    replies = blocks.where("path like '%c1%' and at < 3").select("book", "path", "at", F.when(F.col("at") == 1, F.lit("Roues <x-inline data-id=\"inline-1\">tournent</x-inline>")).when(F.col("at") == 0, "<x-inline data-id=\"inline-9\">?</x-inline>").otherwise("farine").alias("translated"))
+    got = {(r.path[-8:], r["at"]): (r.status, r.html) for r in epub.resolved(blocks, replies).collect()}
+    assert got["c1.xhtml", 1] == ("TRANSLATED", "Roues <i>tournent</i>") and got["c1.xhtml", 2] == ("TRANSLATED", "farine")
+    assert got["c1.xhtml", 0] == got["c2.xhtml", 0] == got["c1.xhtml", 5] == ("FAILED", None) and len(got) == 9
+
+
+@pytest.mark.parametrize("text", ["<a " * 100_000, "<a '" * 80_000, "<p>" * 500 + "</q>" * 80_000, "<! " * 100_000, '<a "x" ' * 50_000, "<p>" + "<i>" * 60_000 + "x"])
+def test_long_broken_markup_takes_one_pass(text):
+    began = time.process_time()
+    root = markup.parse(text)
+    markup.fault(text)
+    assert len([markup.placeholders(n) for n in markup.leaves(root)]) <= 1
+    assert time.process_time() - began < 5
+
+
+def test_tags_end_outside_quotes():
+    """The one-pass scanner against a pattern that tries every tag by itself."""
+    slow = re.compile(r"<(/?)([A-Za-z_][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>")
+    r = random.Random(2)
+    for _ in range(3000):
+        text = "".join(r.choice(["<a", "</a", "<", ">", '"', "'", " ", "=", "x", "/"]) for _ in range(r.randint(1, 25)))
+        want, at = [], 0
+        while at < len(text):
+            m = slow.match(text, at) if text[at] == "<" else None
+            want += [m.span()] if m else []
+            at = m.end() if m else at + 1
+        assert [(a, b) for a, b, kind, _ in markup.tokens(text) if kind == "tag"] == want, text

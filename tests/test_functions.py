@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirework.config import Book, Budget, ConfigError
 from quirework.functions import calendar, money
 from quirework.functions import text as t
-from quirework.operators import budget, contract, jobs, lookups, segments, state
+from quirework.operators import budget, contract, jobs, lookups, markup, segments, state
 
 
 def one(spark, *columns, **values):
@@ -125,6 +125,10 @@ def test_config():
         Book("en", "en")
     with pytest.raises(ConfigError):
         Book(time="24:00")
+    with pytest.raises(ConfigError):
+        Book(display_order="SOURCE_FIRST")
+    first = lambda b: markup.english_first(b.source_language, b.target_language, b.display_order)
+    assert first(Book()) and not first(Book("fr", "en")) and first(Book("fr", "en", "FRENCH_FIRST"))
 
 
 def test_leases_pass_only_when_granted(spark):
@@ -136,20 +140,118 @@ def test_leases_pass_only_when_granted(spark):
 
 def test_budgets_add_the_ledger_to_the_run(spark):
     config = Budget(max_input_per_day=1000, max_output_per_day=10**6, max_cost_per_day=0.05, margin_percent=0.0)
-    rows = spark.createDataFrame([("r", k, 100, 100, 750, 0, 0.0) for k in range(4)] + [("s", k, 100, 100, 0, 0, 0.047) for k in range(3)] + [("t", 0, 9000, 1, 0, 0, 0.0), ("t", 1, 1, 1, 0, 0, 0.0)], "run string, n int, tin int, tout int, day_in int, day_out int, cost_day double")
-    got = budget.admitted(rows, "run", "n", "tin", "tout", config, prices=(3.0, 15.0)).collect()
-    assert {(r.run, r.n): r.scope for r in got} == {("r", 0): None, ("r", 1): None, ("r", 2): "DAY", ("r", 3): "NOT_REACHED", ("s", 0): None, ("s", 1): "COST", ("s", 2): "NOT_REACHED", ("t", 0): "REQUEST", ("t", 1): None}
+    rows = [("r", k, [60, 40], 750, 0, 0.0) for k in range(4)] + [("s", k, [100], 0, 0, 0.0475) for k in range(3)] + [("t", 0, [9000], 0, 0, 0.0), ("t", 1, [1], 0, 0, 0.0), (None, 0, [1], None, None, None)]
+    frame = spark.createDataFrame(rows, "run string, n long, sizes array<long>, day_in int, day_out int, cost_day double")
+    got = budget.queue(frame, "run", "n", "sizes", config, prices=(3.0, 15.0)).collect()
+    assert {(r.run, r.n): r.scope for r in got} == {("r", 0): None, ("r", 1): None, ("r", 2): "DAY", ("r", 3): "NOT_REACHED", ("s", 0): None, ("s", 1): "COST", ("s", 2): "NOT_REACHED", ("t", 0): "REQUEST", ("t", 1): None, (None, 0): None}
+
+
+def test_halves_use_up_the_run(spark):
+    """Two batches that must be halved: the second one's first half is the third request, of which the run allows three."""
+    config = Budget(max_source_tokens_per_request=100, max_requests_per_run=3, margin_percent=0.0)
+    frame = spark.createDataFrame([("r", 0, [60, 60]), ("r", 1, [60, 300, 60, 60]), ("r", 2, [1])], "run string, n long, sizes array<long>")
+    got = [(r.n, r.part, r.a, r.z, r.scope) for r in budget.queue(frame, "run", "n", "sizes", config).orderBy("n", "part").collect()]
+    assert got == [(0, 0, 0, 1, None), (0, 1, 1, 2, None), (1, 0, 0, 1, None), (1, 1, 1, 2, "REQUEST"), (1, 2, 2, 3, "RUN"), (1, 3, 3, 4, "NOT_REACHED"), (2, 0, 0, 1, "NOT_REACHED")]
+
+
+def queued(batches, most_in, most_out, requests, run_in):
+    """The queue as a loop: halves go to its front."""
+    waiting, out, n, used, stopped = [(k, 0, len(s)) for k, s in enumerate(batches) if s], [], 0, 0, False
+    while waiting:
+        k, a, z = waiting.pop(0)
+        total = sum(batches[k][a:z])
+        large = total > most_in or -(-total * 6 // 5) > most_out
+        if large and z - a > 1:
+            middle = a + (z - a + 1) // 2
+            waiting = [(k, a, middle), (k, middle, z), *waiting]
+            continue
+        scope = "NOT_REACHED" if stopped else "REQUEST" if large else "RUN" if n + 1 > requests or used + total > run_in else None
+        stopped = stopped or scope == "RUN"
+        n, used = (n + 1, used + total) if scope is None else (n, used)
+        out.append((k, a, z, scope))
+    return out
+
+
+def test_queues_match_a_loop(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(segments, "BUCKET", 5)
+    r, runs = random.Random(8), {}
+    for run in range(30):
+        runs[run] = [[r.randint(0, 70) for _ in range(r.choice([0, 1, 2, 5, 9]))] for _ in range(r.randint(1, 40))]
+    frame = spark.createDataFrame([(run, k, s) for run, b in runs.items() for k, s in enumerate(b)], "run int, n long, sizes array<long>")
+    config = Budget(max_source_tokens_per_request=90, max_output_tokens_per_request=100, max_requests_per_run=25, max_input_per_run=900, margin_percent=0.0)
+    got = sorted((x.run, x.n, x.a, x.z, x.scope or "") for x in budget.queue(frame, "run", "n", "sizes", config).collect())
+    assert got == sorted((run, k, a, z, scope or "") for run, b in runs.items() for k, a, z, scope in queued(b, 90, 100, 25, 900))
+
+
+def test_a_queue_is_no_task_of_its_own(spark):
+    """The run's total comes in two levels: no window of the plan is partitioned by the run alone but the one over bucket totals."""
+    frame = spark.range(20000).selectExpr("'hot' AS run", "id AS n", "array(1L, 2L) AS sizes")
+    got = budget.queue(frame, "run", "n", "sizes", Budget(max_requests_per_run=15000, max_input_per_run=10**9, max_output_per_run=10**9, max_input_per_day=10**9, max_output_per_day=10**9, margin_percent=0.0))
+    assert got.where("admitted").count() == 15000 and got.where("scope = 'RUN'").first().n == 15000
 
 
 def test_batches_are_halved_until_they_fit(spark):
-    cut = lambda sizes: one(spark, budget.request_parts(F.array(*map(F.lit, sizes)), F.lit(100), F.lit(1000)))[0]
-    assert cut([60, 30, 60, 30, 101]) == [0, 0, 1, 2, -1]
-    assert cut([10, 20]) == [0, 0] and cut([500]) == [-1]
+    cut = lambda sizes: [(p.a, p.z, p.fits) for p in one(spark, budget.requests(F.array(*[F.lit(x).cast("long") for x in sizes]), 100, 1000))[0]]
+    assert cut([60, 30, 60, 30, 101]) == [(0, 2, True), (2, 3, True), (3, 4, True), (4, 5, False)]
+    assert cut([10, 20]) == [(0, 2, True)] and cut([500]) == [(0, 1, False)] and cut([]) == []
+
 
+def judged(spark, statuses):
+    rows = spark.createDataFrame([(1, k, s) for k, s in enumerate(statuses)], "job int, n int, status string")
+    return [(r.before, r.error is None) for r in state.applied(rows, "job", "n", "status").orderBy("n").collect()]
+
+
+def test_a_refused_move_leaves_the_state(spark):
+    assert judged(spark, ["CREATED", "READY", "EXTRACTING", "SEGMENTING", "nonsense", None, "FAILED"]) == [(None, True), ("CREATED", False), ("CREATED", True), ("EXTRACTING", True), ("SEGMENTING", False), ("SEGMENTING", False), ("SEGMENTING", True)]
+    assert judged(spark, ["nonsense", "CREATED"]) == [(None, False), (None, True)]
+
+
+def moves_of_one_hot_job():
+    import random
 
-def test_moves_that_are_not_listed_are_errors(spark):
-    rows = spark.createDataFrame([(1, k, s) for k, s in enumerate(["CREATED", "EXTRACTING", "READY", "FAILED"])], "job int, n int, status string")
-    assert [r.error for r in state.applied(rows, "job", "n", "status").orderBy("n").collect()] == [None, None, "INVALID_JOB_TRANSITION", "INVALID_JOB_TRANSITION"]
+    r = random.Random(4)
+    rows = [(k, "hot" if k % 3 else f"j{r.randint(0, 5)}", r.choice([*state.STATES, *state.STATES[:4], "odd"])) for k in range(9000)]
+    at, out = {}, {}
+    for n, job, to in rows:
+        good = to in state.STATES and (job not in at or to in state.TRANSITIONS.get(at[job], ()))
+        out[n] = (at.get(job), good)
+        at |= {job: to} if good else {}
+    return rows, out
+
+
+def test_moves_match_a_loop_and_a_stream_that_restarts(spark, tmp_path):
+    from quirework.streaming import moves
+
+    rows, want = moves_of_one_hot_job()
+    told = lambda frame: {r.n: (r.before, r.error is None) for r in frame.select("n", "before", "error").collect()}
+    schema = "n long, job string, status string"
+    assert told(state.applied(spark.createDataFrame(rows, schema), "job", "n", "status")) == want
+    spark.conf.set(*moves.PROVIDER)
+    for k in range(3):
+        spark.createDataFrame(rows[3000 * k : 3000 * k + 3000], schema).repartition(2).write.parquet(str(tmp_path / f"in/{k}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        moves.applied(stream, "job", "n", "status").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    spark.conf.unset(moves.PROVIDER[0])
+    assert told(spark.read.parquet(str(tmp_path / "out"))) == want
+
+
+def test_jobs_from_their_moves(spark):
+    at = lambda m: dt.datetime(2026, 1, 1, 0, m)
+    rows = [(0, "CREATED", None, at(0)), (1, "EXTRACTING", "slow", at(1)), (2, "READY", "refused", at(2)), (3, "SEGMENTING", None, at(3)), (4, "READY", None, at(4)), (5, "TRANSLATING", None, at(5)), (6, "CREATED", None, at(6))]
+    moves_ = spark.createDataFrame([("j", *r) for r in rows], "job string, n int, status string, message string, at timestamp_ntz")
+    got = state.jobs(state.applied(moves_, "job", "n", "status"), "job", "n", "status", "message", "at").first()
+    assert tuple(got) == ("j", "TRANSLATING", "slow", at(0), at(5), at(5), 2)
+
+
+def test_segments_of_rows_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, "a\nb", "x"), (1, "c", "x"), (1, "c", "x"), (None, "d", "x"), (2, "e\n\nf", "x"), (2, None, "y"), (3, "g", None)], "doc_id long, text string, source string")
+    rows = segments.segments(docs).collect()
+    assert sorted((r.order_index, r.chapter is None, r.chapter) for r in rows if r.book == "x") == [(0, False, 1), (1, False, 1), (2, False, 1), (3, False, 1), (4, False, 2), (5, False, 2), (6, True, None)]
+    at = {r.text: r.order_index for r in rows if r.book == "x"}
+    assert at["b"] == at["a"] + 1 and (at["e"], at["f"], at["d"]) == (4, 5, 6)
+    assert sorted(r.text for r in segments.paragraphs(docs).collect()) == sorted("abccdefg")
 
 
 def test_lookups(spark):
