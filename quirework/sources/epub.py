@@ -39,29 +39,33 @@ class UnsafeArchive(ValueError):
     code = "UNSAFE_ARCHIVE"
 
 
+def checked(infos: list[zipfile.ZipInfo], limits: Limits) -> list[zipfile.ZipInfo]:
+    """The files of a central directory, in order; raises UnsafeArchive, before a byte of them is read."""
+    if len(infos) > limits.entries:
+        raise UnsafeArchive("too many entries")
+    out, total = [], 0
+    for i in infos:
+        name = i.orig_filename
+        if not name or "\0" in name or name.startswith("/") or re.match(r"[A-Za-z]:", name) or ".." in name.split("/"):
+            raise UnsafeArchive(f"unsafe path {name!r}")
+        if i.create_system == 3 and (i.external_attr >> 16) & 0o170000 == 0o120000:
+            raise UnsafeArchive(f"symbolic link {name}")
+        if name.endswith("/"):
+            continue
+        total += i.file_size
+        if total > limits.unpacked:
+            raise UnsafeArchive("unpacked size too large")
+        out.append(i)
+    return out
+
+
 def unpack(data: bytes, limits: Limits = Limits()) -> list[tuple[str, bytes, bool]]:
     """(path, bytes, stored) of each file, in archive order; raises UnsafeArchive."""
     if len(data) > limits.archive:
         raise UnsafeArchive("archive too large")
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            infos = z.infolist()
-            if len(infos) > limits.entries:
-                raise UnsafeArchive("too many entries")
-            out, total = [], 0
-            for i in infos:
-                name = i.orig_filename
-                if not name or "\0" in name or name.startswith("/") or re.match(r"[A-Za-z]:", name) or ".." in name.split("/"):
-                    raise UnsafeArchive(f"unsafe path {name!r}")
-                if i.create_system == 3 and (i.external_attr >> 16) & 0o170000 == 0o120000:
-                    raise UnsafeArchive(f"symbolic link {name}")
-                if name.endswith("/"):
-                    continue
-                total += i.file_size
-                if total > limits.unpacked:
-                    raise UnsafeArchive("unpacked size too large")
-                out.append((name, z.read(i), i.compress_type == zipfile.ZIP_STORED))
-            return out
+            return [(i.orig_filename, z.read(i), i.compress_type == zipfile.ZIP_STORED) for i in checked(z.infolist(), limits)]
     except UnsafeArchive:
         raise
     except Exception as e:
