@@ -1,13 +1,12 @@
-"""Text expressions: built-ins, but for Unicode normalisation of non-ASCII text."""
+"""Text expressions, all of them built-ins."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quirework.functions import unicode
+
 # White space as scripts in browsers see it.
 SPACE = "[\\x{0009}-\\x{000D}\\x{0020}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+"
 URL, NUMERIC = "(?i)^https?://\\S+$", "^[\\d\\s.,%$€£-]+$"
@@ -16,20 +15,6 @@ SAFE_PATH, EXTERNAL = "^[A-Za-z0-9._/-]+$", "(?i)^([a-z][a-z0-9+.-]*:|//)"
 UNSAFE, ACCENT = "[^A-Za-z0-9._-]+", "[\u0300-\u036F]"
 
 
-def _normalizer(form: str):
-    @F.pandas_udf("string")
-    def normalize(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")
-
-    return normalize
-
-
-def normal_form(text: Column, form: str = "NFC") -> Column:
-    """The normal form; a text of ASCII only is its own, and Python gets a null in its place."""
-    wide = F.octet_length(text) != F.char_length(text)
-    return F.coalesce(_normalizer(form)(F.when(wide, text)), text)
-
-
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"^{SPACE}", ""), f"{SPACE}$", "")
 
@@ -40,7 +25,7 @@ def squeezed(text: Column) -> Column:
 
 
 def normalized(text: Column) -> Column:
-    return normal_form(squeezed(text))
+    return unicode.nfc(squeezed(text))
 
 
 def units(text: Column) -> Column:
@@ -98,14 +83,12 @@ def safe_path(path: Column, ascii_only: bool = False) -> Column:
     def part(p: Column) -> Column:
         has = F.regexp_like(p, F.lit("(?s)^.+\\.[^.]*$"))
         base = F.when(has, F.regexp_replace(p, "\\.[^.]*$", "")).otherwise(p)
+        base = base if ascii_only else unicode.without_accents(base)
         ext = F.when(has, F.regexp_extract(p, "(\\.[^.]*)$", 1)).otherwise(F.lit(""))
         clean = F.regexp_replace(base, UNSAFE, "_")
         clean = F.regexp_replace(F.regexp_replace(clean, "_+", "_"), "^[._]+|[._]+$", "")
         return F.concat(F.when(clean == "", "file").otherwise(clean), ext)
 
-    if not ascii_only:
-        # accents go from the base of each part; decomposing the whole path leaves ASCII extensions alone
-        path = F.regexp_replace(normal_form(path, "NFKD"), ACCENT, "")
     return F.array_join(F.transform(F.split(path, "/"), part), "/")
 
 

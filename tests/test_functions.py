@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework.config import Book, Budget, ConfigError
-from quirework.functions import calendar, money
+from quirework.functions import calendar, money, unicode
 from quirework.functions import text as t
 from quirework.operators import budget, contract, jobs, lookups, markup, segments, state
 
@@ -58,6 +58,39 @@ def test_text(spark):
     assert [one(spark, t.language_neutral(F.lit(x)))[0] for x in ("", "42", "http://a.b/c", "$5.00", "word", "—")] == [True, True, True, True, False, True]
 
 
+def test_normal_forms_equal_unicodedata(spark):
+    import random
+    import unicodedata
+
+    r = random.Random(6)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    acting = [c for c in every if unicodedata.normalize("NFD", c) != c or unicodedata.combining(c)]
+    jamo = [chr(c) for c in (*range(0x1100, 0x1113), *range(0x1161, 0x1176), *range(0x11A7, 0x11C3))]
+    pool = acting + [c for c in acting if unicodedata.combining(c)] * 3 + list("aeE n") * 200 + jamo * 10
+    texts = [*every, *("".join(r.choice(pool) for _ in range(r.randint(1, 12))) for _ in range(20000)), *(unicodedata.normalize("NFD", c) + r.choice(pool) for c in acting), None, ""]
+    frame = spark.createDataFrame([(x, x and unicodedata.normalize("NFC", x)) for x in texts], "t string, want string").select("t", "want", unicode.nfc(F.col("t")).alias("got"))
+    assert frame.where("not (got <=> want)").count() == 0
+
+
+def test_safe_paths_equal_the_archive_writer(spark):
+    import random
+
+    from quirework.sources import epub
+
+    r = random.Random(7)
+    signs = list("abZ09._-/ (#é½ﬁ①．／Å한漢😀´ñ") + ["e\u0301", "\u0301", "\u212b"]
+    paths = ["".join(r.choice(signs) for _ in range(r.randint(1, 14))) for _ in range(3000)]
+    frame = spark.createDataFrame([(p, "/".join(map(epub.safe_part, p.split("/")))) for p in paths], "p string, want string")
+    wrong = frame.select("p", "want", t.safe_path(F.col("p")).alias("got")).where("not (got <=> want)")
+    assert wrong.collect() == []
+
+
+def test_cache_keys_stay_in_the_jvm(spark):
+    key = t.cache_key(*[F.lit(x) for x in ("en", "fr", "mock", "m")], t.normalized(F.col("x")))
+    plan = spark.createDataFrame([("é",)], ["x"]).select(key.alias("k"), t.safe_path(F.col("x")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan.replace("PythonRDD", "") and "from_json" not in plan
+
+
 def test_money(spark):
     assert one(spark, money.cost(F.lit(1e6), F.lit(1e6), F.lit(3.0), F.lit(15.0)))[0] == 18
     assert one(spark, money.cost(F.lit(1e6), F.lit(1e6), F.lit(None).cast("double"), F.lit(15.0)))[0] is None
