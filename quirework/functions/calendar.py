@@ -29,7 +29,3 @@ def backoff(attempt: Column, retry_after: Column, base: int = 1000, most: int =
     """Milliseconds before jitter: what the provider asks for, else doubling; never above the most."""
     return F.when(retry_after.isNotNull(), F.least(retry_after, F.lit(most))).otherwise(F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(most))).cast("long")
 
-
-def jittered(delay: Column, share: Column | None = None) -> Column:
-    """The delay with an eighth more at most; ``share`` between 0 and 1 takes the place of chance."""
-    return delay + delay * 0.125 * (F.rand() if share is None else share)

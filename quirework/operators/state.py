@@ -137,6 +137,3 @@ def settled(sessions: DataFrame, orders: DataFrame) -> DataFrame:
     found = found.select(F.coalesce("_o", "_o2").alias("order_id"), F.coalesce("_s", "_s2").alias("status"), "session_id", "payment").where("status = 'AWAITING_PAYMENT'")
     return found.groupBy("order_id").agg(F.min(F.struct("session_id", "payment")).alias("x")).select("order_id", "x.session_id", "x.payment")
 
-
-def retryable(error: Column, flag: Column) -> Column:
-    return F.when(error == "AUTH_ERROR", False).when(error == "RATE_LIMIT_ERROR", True).when(error == "PROVIDER_ERROR", flag).otherwise(False)

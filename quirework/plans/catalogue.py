@@ -17,7 +17,7 @@ from quirework.config import Budget
 from quirework.functions import calendar as cal
 from quirework.functions import money
 from quirework.functions import text as t
-from quirework.operators import budget, contract, segments, state
+from quirework.operators import budget, contract, names, segments, state
 from quirework.plans import markup_queries, relations
 from quirework.schemas import RUNNABLE, TRANSITIONS
 
@@ -435,10 +435,22 @@ def sanitize_ascii(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", t.safe_path(F.col("url"), ascii_only=True).alias("path"))
 
 
-@query(f"WITH s AS (SELECT page_id, {SAFE} AS path FROM pages) SELECT page_id, path, CAST(row_number() OVER (PARTITION BY path ORDER BY page_id) AS BIGINT) AS copy FROM s")
+@query(f"""WITH RECURSIVE f AS (SELECT page_id % 7 AS book, CASE WHEN page_id % 5 = 0 THEN 'text/' || substr(md5(url), 1, 1) || CASE WHEN page_id % 10 = 0 THEN '-2' ELSE '' END || '.html' ELSE 'text/' || substr(md5(url), 1, 1) || repeat('!', CAST(page_id // 7 AS INTEGER) + 1) || CASE WHEN page_id % 3 = 0 THEN '-2' ELSE '' END || '.html' END AS path, page_id FROM pages),
+d AS (SELECT book, path, min(page_id) AS page_id FROM f GROUP BY 1, 2), c AS (SELECT *, regexp_matches(path, '^[A-Za-z0-9._/-]+$') AS safe, {SAFE.replace("url", "path")} AS c FROM d),
+q AS (SELECT book, list({{'o': page_id, 'p': path, 'c': c}} ORDER BY page_id) FILTER (NOT safe) AS q, coalesce(list(path) FILTER (safe), []) AS used FROM c GROUP BY 1),
+w AS (SELECT book, q, used, q[1].c AS c, 2 AS n, CAST(NULL AS BIGINT) AS page_id, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS new_path FROM q WHERE len(q) > 0
+      UNION ALL
+      SELECT book, CASE WHEN hit THEN q ELSE q[2:] END, CASE WHEN hit THEN used ELSE list_append(used, c) END, CASE WHEN hit THEN regexp_replace(c, '(\\.[^.]*)$', '-' || n || '\\1') ELSE q[2].c END, CASE WHEN hit THEN n + 1 ELSE 2 END, q[1].o, q[1].p, CASE WHEN NOT hit THEN c END
+      FROM (SELECT *, list_contains(used, c) AS hit FROM w WHERE len(q) > 0))
+SELECT book, page_id, path, new_path FROM w WHERE new_path IS NOT NULL UNION ALL SELECT book, page_id, path, path FROM c WHERE safe""")
 def sanitize_collisions(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", t.safe_path(F.col("url"), ascii_only=True).alias("path"))
-    return p.withColumn("copy", F.row_number().over(Window.partitionBy("path").orderBy("page_id")).cast("long"))
+    """Pages as files of seven books, many of whose names fall together: every file gets a name of its own."""
+    letter = F.concat(F.lit("text/"), F.substring(F.md5("url"), 1, 1))
+    two = lambda k: F.when(F.col("page_id") % k == 0, "-2").otherwise("")
+    loose = F.concat(letter, F.repeat(F.lit("!"), (F.floor(F.col("page_id") / 7) + 1).cast("int")), two(3), F.lit(".html"))
+    path = F.when(F.col("page_id") % 5 == 0, F.concat(letter, two(10), F.lit(".html"))).otherwise(loose)
+    files = table(spark, sf_dir, "pages").groupBy((F.col("page_id") % 7).alias("book"), path.alias("path")).agg(F.min("page_id").alias("page_id"))
+    return names.free_names(files, "book", "page_id", "path")
 
 
 @query("SELECT page_id, nullif(regexp_extract('https://drive.example/file/d/' || md5(url) || '/view', '/file/d/([A-Za-z0-9_-]+)', 1), '') AS by_path, nullif(regexp_extract(url, '[?&]id=([A-Za-z0-9_-]+)', 1), '') AS by_name FROM pages")

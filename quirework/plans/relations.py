@@ -6,6 +6,7 @@ uploads, events for logs, lines of documents for segments of chapters.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,8 @@ from quirework.functions import calendar as cal
 from quirework.functions import money
 from quirework.functions import text as t
 from quirework.operators import lookups, segments, state
+from quirework.session import shared_folder
+from quirework.sources.store import Store, conformed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -175,11 +178,16 @@ def insert_segments(spark, sf_dir):
     return lookups.fresh(s, stored, ["chapter", "chapter_index"]).select("chapter", "chapter_index", F.lit("PENDING").alias("status"), F.lit(0).cast("long").alias("retry_count"))
 
 
-@query("SELECT event_id AS id, user_id AS job_id, event_type AS provider, CAST(floor(value) AS BIGINT) AS input_tokens, CAST(ceil(floor(value) * CAST(1.2 AS DOUBLE)) AS BIGINT) AS output_tokens, strftime(timezone('America/Toronto', timezone('UTC', ts)), '%Y-%m-%d') AS date_key, strftime(timezone('America/Toronto', timezone('UTC', ts)), '%Y-%m') AS month_key FROM events")
+@query("SELECT event_id AS id, user_id AS job_id, event_type AS provider, CAST(floor(value) AS BIGINT) AS input_tokens, CAST(ceil(floor(value) * CAST(1.2 AS DOUBLE)) AS BIGINT) AS output_tokens, strftime(timezone('America/Toronto', timezone('UTC', ts)), '%Y-%m-%d') AS date_key, strftime(timezone('America/Toronto', timezone('UTC', ts)), '%Y-%m') AS month_key, ts AS created_at FROM events")
 def ledger_append(spark, sf_dir):
-    """Usage as ledger rows, with the keys of the configured zone."""
+    """Usage as ledger rows, appended to the stored ledger in three batches, one of them twice; a fourth one never commits."""
     e, n = table(spark, sf_dir, "events"), F.floor("value").cast("long")
-    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("job_id"), F.col("event_type").alias("provider"), n.alias("input_tokens"), money.output_estimate(n).alias("output_tokens"), cal.date_key(F.col("ts"), "America/Toronto").alias("date_key"), cal.month_key(F.col("ts"), "America/Toronto").alias("month_key"))
+    rows = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("job_id"), F.col("event_type").alias("provider"), F.lit("m1").alias("model"), n.alias("input_tokens"), money.output_estimate(n).alias("output_tokens"), cal.date_key(F.col("ts"), "America/Toronto").alias("date_key"), cal.month_key(F.col("ts"), "America/Toronto").alias("month_key"), F.col("ts").alias("created_at"))
+    kept = Store(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    for k in (0, 1, 2, 1):
+        kept.append(f"run-{k}", usage_ledger=rows.where(F.pmod("id", F.lit(3)) == k))
+    conformed("usage_ledger", rows).limit(1).write.parquet(f"{kept.root}/usage_ledger/batch=cut-off")
+    return kept.read("usage_ledger").select("id", F.col("job_id").cast("long").alias("job_id"), "provider", "input_tokens", "output_tokens", "date_key", "month_key", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
 
 KIND = "['created', 'paid', 'job', 'failed'][CAST(event_id % 4 + 1 AS INTEGER)]"

@@ -25,7 +25,3 @@ def run_available(spark: SparkSession, path: str, out: str, checkpoint: str) ->
 
     arrivals(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-
-def usage_windows(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Daily usage of a stream of ledger events (job_id, tokens_in, tokens_out, ts), with a watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "job_id").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
