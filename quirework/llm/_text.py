@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -226,18 +225,28 @@ def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
+def bare_scan(docs: DataFrame) -> bool:
+    """Is each row of the frame a row of one file, read once: a scan of distinct paths below nothing but columns chosen and rows filtered."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    roots = [p.rstrip("/") for p in plan.relation().location().rootPaths().mkString("\n").split("\n")]
+    return not any(a == b or a.startswith(b + "/") for i, a in enumerate(roots) for j, b in enumerate(roots) if i != j)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """The rows, each with a number of its own, ``NUM``: ids may repeat or be null.
 
-    Rows of files are numbered by file and place, the same in every pass; other rows are
-    written first.  So are those of more than ``FILES`` files, whose list every task would hold.
+    Rows of files are numbered by file and place, the same in every pass.  Rows of any other plan (exploded, joined,
+    united, cached, dealt anew) are written first; so are those of more than ``FILES`` files, whose list every task would hold.
     """
-    try:
-        paths = sorted(r[0] for r in docs.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.row_index")).select("p").distinct().limit(FILES + 1).collect())
-    except AnalysisException:
-        paths = None
-    if paths is None or len(paths) > FILES:
-        return numbered(checkpointed(docs)) if paths is None else checkpointed(docs.select(F.monotonically_increasing_id().alias(NUM), "*"))
+    if not bare_scan(docs):
+        return numbered(checkpointed(docs))
+    paths = sorted(r[0] for r in docs.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.row_index")).select("p").distinct().limit(FILES + 1).collect())
+    if len(paths) > FILES:
+        return checkpointed(docs.select(F.monotonically_increasing_id().alias(NUM), "*"))
     files = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), "_file string, _order long")
     rows = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_place"))
     rows = rows.join(F.broadcast(files), F.col("_path") == F.col("_file"))

@@ -48,7 +48,7 @@ def lettered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return points[keep], rows[keep]
 
 
-def grams(points: np.ndarray, rows: np.ndarray, bits: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+def grams(points: np.ndarray, rows: np.ndarray, bits: int, longest: int, edge: int = EDGE) -> tuple[np.ndarray, np.ndarray]:
     """(row, n-gram as an integer) of every n-gram without an edge inside and with a letter."""
     found, of = [], []
     key = points
@@ -61,11 +61,11 @@ def grams(points: np.ndarray, rows: np.ndarray, bits: int, longest: int) -> tupl
         good = rows[:m] == rows[n - 1 :]
         for k in range(n):
             if n == 1 or 0 < k < n - 1:
-                good &= points[k : k + m] != EDGE
+                good &= points[k : k + m] != edge
         if n == 2:
-            good &= (points[:m] != EDGE) | (points[1:] != EDGE)
+            good &= (points[:m] != edge) | (points[1:] != edge)
         if n == 3:
-            good &= points[1 : 1 + m] != EDGE
+            good &= points[1 : 1 + m] != edge
         found.append(key[good])
         of.append(rows[:m][good])
     return np.concatenate(of), np.concatenate(found)
@@ -111,24 +111,14 @@ def fit_profiles(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "te
 
 
 class Profiles:
-    """Profiles over a compact alphabet, ready for whole batches."""
+    """Profiles ready for whole batches: n-grams as 63-bit integers, and the rank of each in every profile."""
 
     def __init__(self, profiles: dict[str, list[int]], size: int):
         self.size, self.names = size, sorted(profiles)
-        seen = {p for grams_ in profiles.values() for g in grams_ for p in ((g >> 42), (g >> 21) & 0x1FFFFF, g & 0x1FFFFF)} - {0, EDGE}
-        # 0: no letter, 1: edge, 2: a letter of no profile, then the known letters
-        self.bits = max(2, int(len(seen) + 3).bit_length())
-        self.small = np.full(0x110000, 2, np.int64)
-        self.small[0], self.small[EDGE] = 0, EDGE
-        for k, p in enumerate(sorted(seen)):
-            self.small[p] = k + 3
         ranks: dict[int, dict[int, int]] = {}
         for k, name in enumerate(self.names):
             for rank, g in enumerate(profiles[name]):
-                key = 0
-                for p in (g >> 42, (g >> 21) & 0x1FFFFF, g & 0x1FFFFF):
-                    key = (key << self.bits) | int(self.small[p])
-                ranks.setdefault(key, {})[k] = rank
+                ranks.setdefault(g, {})[k] = rank
         self.keys = np.asarray(sorted(ranks), np.int64)
         self.rank = np.full((len(self.keys) + 1, max(1, len(self.names))), -1, np.int64)
         for i, key in enumerate(self.keys):
@@ -140,21 +130,34 @@ class Profiles:
         if not self.names:
             return ["und"] * n, np.zeros(n)
         points, rows = lettered(texts)
-        of, key = grams(self.small[points], rows, self.bits, LONGEST)
-        wide = 3 * self.bits
-        key = np.sort((of << wide) | key)
-        at, count = runs(key)
-        key = key[at]
-        of, key = key >> wide, key & ((1 << wide) - 1)
+        # every letter of the batch, known or not, is a symbol of its own, in order of code points; 0 is none
+        alphabet, symbol = np.unique(points, return_inverse=True)
+        bits = max(2, int(len(alphabet) + 1).bit_length())
+        of, key = grams(symbol + 1, rows, bits, LONGEST, edge=1 if len(alphabet) and alphabet[0] == EDGE else -1)
+        wide = 3 * bits
+        if wide + n.bit_length() < 63:
+            both = np.sort((of << wide) | key)
+            at, count = runs(both)
+            of, key = both[at] >> wide, both[at] & ((1 << wide) - 1)
+        else:
+            order = np.lexsort((key, of))
+            of, key = of[order], key[order]
+            at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])])) if len(key) else np.zeros(0, np.int64)
+            count = np.diff(np.append(at, len(key)))
+            of, key = of[at], key[at]
         order = np.lexsort((key, -count, of))
         of, key = of[order], key[order]
         first, length = runs(of)
         place = np.arange(len(of)) - np.repeat(first, length)
         keep = place < self.size
         of, key, place = of[keep], key[keep], place[keep]
-        i = np.searchsorted(self.keys, key)
+        point = np.concatenate([[0], alphabet])
+        known = np.zeros(len(key), np.int64)
+        for k in (2, 1, 0):
+            known = (known << 21) | point[(key >> (k * bits)) & ((1 << bits) - 1)]
+        i = np.searchsorted(self.keys, known)
         i[(i == len(self.keys))] = 0
-        i[self.keys[i] != key] = len(self.keys)
+        i[self.keys[i] != known] = len(self.keys)
         rank = self.rank[i]
         apart = np.where(rank < 0, self.size, np.abs(rank - place[:, None]))
         held = np.bincount(of, minlength=n)

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.llm import fim, neardup_vectors, resampling
+from quirework.llm import fim, jaccard, neardup_vectors, ngram_lm, resampling, substring_dedup
+from quirework.llm._text import NUM, numbered
 
 DOCS = "doc_id long, text string, n long, form string, output string, marked string, weight long, rank long, _row long, id long"
 ODD = [None, "", " ", "x", "é😀z", "\x01", "\x02", "a\x02d\x01e\x02", "has <P> inside", "<", "<P", "<S>", "tail <M", "a\nb\r\nc\n", "\x00nul", "Ärger 12 über-all", "$1 \\ {x}"]
@@ -196,3 +197,30 @@ def test_near_duplicate_vectors_of_nothing_and_without_labels(spark):
     df = spark.createDataFrame([(i, x, label, 1, 2, "clash", 3, 4) for i, x, label in rows], VECTORS)
     got = {x.vec_id: x.component_id for x in neardup_vectors.near_duplicates(df, label_col=None).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 9: 0}
+
+
+def multiplied(spark, folder):
+    """Frames of eight rows in which rows of files were multiplied or moved after the read, by name."""
+    spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(40)), "en", "a", 1) for k in range(4)], "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(folder)
+    read = lambda: spark.read.parquet(folder)
+    two = spark.range(2).withColumnRenamed("id", "_k")
+    frames = {"exploded": read().withColumn("_k", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_k"), "joined": read().crossJoin(F.broadcast(two)).drop("_k"), "united": read().unionAll(read()), "cached": read().unionAll(read()).cache(), "twice": spark.read.parquet(folder, folder)}
+    return frames | {"filtered": read().where("doc_id >= 0").select("*").withColumn("n_chars", F.lit(2))}
+
+
+def test_every_row_of_any_plan_has_a_number(spark, tmp_path):
+    for name, frame in multiplied(spark, str(tmp_path / "d")).items():
+        want = 4 if name == "filtered" else 8
+        assert frame.count() == want and numbered(frame).select(NUM).distinct().count() == want, name
+
+
+@pytest.mark.parametrize("name", ["exploded", "united"])
+def test_operators_on_rows_that_were_multiplied(spark, tmp_path, name):
+    frame = multiplied(spark, str(tmp_path / "d"))[name]
+    gone = substring_dedup.dedup(frame, width=35).select("doc_id", "n_words", "n_removed").collect()
+    assert sorted(map(tuple, gone)) == sorted([(k, 40, 40) for k in range(4)] * 2)
+    linked = jaccard.links(frame, width=4, num=85, den=100).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, linked)) == sorted([(k, 37, k) for k in range(4)] * 2)
+    assert sorted(r.doc_id for r in jaccard.distinct(frame, width=5, num=80, den=100).select("doc_id").collect()) == [0, 1, 2, 3]
+    scored = ngram_lm.score(frame, F.lit(True)).select("doc_id", "n_tokens", "train_tokens").collect()
+    assert sorted(map(tuple, scored)) == sorted([(k, 41, 328) for k in range(4)] * 2)
