@@ -57,3 +57,26 @@ def totals(outcomes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("processed"), F.count_if(F.col("status") == "TRANSLATED").alias("translated"), F.count_if(F.col("status") == "FAILED").alias("failed"), F.count_if("from_cache").alias("cache_hits"),
         F.coalesce(F.sum(F.when(sent, t.estimated_tokens(F.col("text")))), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum(F.when(sent & F.col("translated").isNotNull(), t.estimated_tokens(F.col("translated")))), F.lit(0)).alias("output_tokens"),
     )
+
+
+def reports(facts: DataFrame, segments: DataFrame, issues: DataFrame) -> DataFrame:
+    """(job_id, path, report): the report of each job as indented JSON, and where it lies: beside the book.
+
+    ``facts``: (job_id, input_path, output_path, source_language, target_language, display_order, provider, model, created_at,
+    completed_at); ``segments``: (job_id, id, chapter_path, at, status, error_message, input_tokens, output_tokens);
+    ``issues``: (job_id, at, code, message).  A report lists its failures and issues, in order.
+    """
+    is_ = lambda s: F.count_if(F.col("status") == s)
+    failure = F.when(F.col("status") == "FAILED", F.struct("at", F.struct("id", F.col("chapter_path").alias("chapterPath"), F.col("error_message").alias("errorMessage")).alias("x")))
+    done = segments.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), is_("TRANSLATED").alias("ok"), is_("FAILED").alias("bad"), F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o"), F.array_sort(F.collect_list(failure)).alias("failures"))
+    found = issues.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("at", F.struct("code", "message").alias("x")))).alias("issues"))
+    rows = facts.join(done, "job_id", "left").join(found, "job_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    each = lambda c, kind: F.coalesce(F.transform(c, lambda y: y["x"]), F.array().cast(kind))
+    fields = [
+        F.col("job_id").alias("jobId"), F.col("input_path").alias("sourceFile"), F.col("output_path").alias("outputFile"), F.col("source_language").alias("sourceLanguage"), F.col("target_language").alias("targetLanguage"), F.col("display_order").alias("displayOrder"),
+        zero("n").alias("totalSegments"), zero("ok").alias("translatedSegments"), zero("bad").alias("failedSegments"), zero("i").alias("inputTokens"), zero("o").alias("outputTokens"), "provider", "model", F.col("created_at").alias("startedAt"), F.col("completed_at").alias("completedAt"),
+        each("failures", "array<struct<id:string,chapterPath:string,errorMessage:string>>").alias("failures"), each("issues", "array<struct<code:string,message:string>>").alias("validationIssues"),
+    ]
+    report = F.to_json(F.struct(*fields), {"pretty": "true", "ignoreNullFields": "false"})
+    return rows.select("job_id", F.concat("output_path", F.lit(".report.json")).alias("path"), report.alias("report"))

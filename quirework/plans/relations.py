@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from quirework.functions import calendar as cal
 from quirework.functions import money
 from quirework.functions import text as t
-from quirework.operators import lookups, segments, state
+from quirework.operators import jobs as runs
+from quirework.operators import lookups, providers, segments, state
 from quirework.session import shared_folder
 from quirework.sources.store import Store, conformed
+from quirework.streaming import usage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -247,3 +249,65 @@ def parsed_replies(spark, sf_dir):
     """Replies as JSON, read by a schema: what does not fit is broken, never guessed."""
     e = table(spark, sf_dir, "events")
     return e.select("event_id", lookups.parsed(F.col("props"), "k long")["k"].alias("k")).withColumn("broken", F.col("k").isNull())
+
+
+def faulty():
+    """A provider, sent by value: chapters whose replies fail for a while, for good, or come broken, by their number."""
+
+    class Faulty(providers.Mock):
+        def translate(self, request):
+            batch = request["segments"][0]["id"].split("-")[0]
+            chapter = int(batch.split(":")[0])
+            self.calls = getattr(self, "calls", {}) | {batch: getattr(self, "calls", {}).get(batch, 0) + 1}
+            if chapter % 13 == 6:
+                raise providers.AuthFault("the key is refused")
+            if self.calls[batch] <= chapter % 6:
+                raise providers.RateLimited("too many calls", 45_000 if chapter % 4 == 3 else None)
+            return '{"translations": [{"id": "x"}]}' if chapter % 7 == 2 else super().translate(request)
+
+    return lambda settings: Faulty()
+
+
+WAIT = "CASE WHEN chapter % 4 = 3 THEN 30000 ELSE CAST(floor(1000 * pow(2, k) + 1000 * pow(2, k) * CAST(0.125 AS DOUBLE) * (CAST('0x' || substr(md5(batch || ':' || k), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE))) AS BIGINT) END"
+
+
+@query(f"""WITH {LINE}, b AS (SELECT chapter, chapter || ':' || (chapter_index - 1) // 5 AS batch, count(*) AS n, sum(length(text)) AS chars FROM lines GROUP BY 1, 2),
+a AS (SELECT *, CASE WHEN chapter % 13 = 6 THEN 0 ELSE least(chapter % 6, 3) END AS again, CASE WHEN chapter % 13 = 6 THEN 'AUTH_ERROR' WHEN chapter % 6 > 3 THEN 'RATE_LIMIT_ERROR' WHEN chapter % 7 = 2 THEN 'REPLY_INVALID' END AS error FROM b)
+SELECT batch, CAST(again + 1 AS INTEGER) AS attempts, CAST(coalesce(list_sum(list_transform(range(again), lambda k: {WAIT})), 0) AS BIGINT) AS waited, error, CASE WHEN error IS NULL THEN CAST(n AS BIGINT) ELSE 0 END AS translated, CASE WHEN error IS NULL THEN CAST(chars + 5 * n AS BIGINT) ELSE 0 END AS chars FROM a""")
+def provider_calls(spark, sf_dir):
+    """Requests of five paragraphs to a provider that fails by rule: attempts, milliseconds waited, and what its replies hold."""
+    rows = segments.paragraphs(table(spark, sf_dir, "documents"))
+    batch = F.concat(F.col("chapter").cast("string"), F.lit(":"), F.floor((F.col("chapter_index") - 1) / 5).cast("string"))
+    asked = providers.requests(rows.select(batch.alias("batch"), F.concat(batch, F.lit("-"), F.col("chapter_index").cast("string")).alias("id"), "text"), "en", "fr")
+    judged = providers.checked(providers.sent(asked, faulty(), sleep=lambda seconds: None))
+    good = F.when(F.col("error").isNull(), F.col("translations"))
+    chars = F.aggregate(good, F.lit(0).cast("long"), lambda n, x: n + t.units(x["translatedText"]))
+    waited = F.aggregate("delays", F.lit(0).cast("long"), lambda n, x: n + x)
+    return judged.select("batch", "attempts", waited.alias("waited"), "error", F.coalesce(F.size(good), F.lit(0)).cast("long").alias("translated"), F.coalesce(chars, F.lit(0)).alias("chars"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, CAST(floor(value) AS BIGINT) AS n, timezone('America/Toronto', timezone('UTC', ts)) AS local FROM events)
+SELECT strftime(local, '%Y-%m-%d') AS day, strftime(local, '%Y-%m') AS month, user_id AS job_id, CAST(count(*) AS BIGINT) AS entries, CAST(sum(n) AS BIGINT) AS tokens_in, CAST(sum(ceil(n * CAST(1.2 AS DOUBLE))) AS BIGINT) AS tokens_out FROM e GROUP BY 1, 2, 3""")
+def usage_days(spark, sf_dir):
+    """The streaming ledger's days over a table in which every third entry comes twice."""
+    e, n = table(spark, sf_dir, "events"), F.floor("value").cast("long")
+    rows = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("job_id"), n.alias("tokens_in"), money.output_estimate(n).alias("tokens_out"), F.col("ts").cast("timestamp").alias("ts"))
+    return usage.days(rows.unionByName(rows.where("id % 3 = 0")), "America/Toronto")
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'FAILED' WHEN l_linestatus = 'O' THEN 'PENDING' ELSE 'TRANSLATED' END AS status, CAST(floor(l_quantity) AS BIGINT) AS q FROM lineitem),
+g AS (SELECT l_orderkey, count(*) AS total, count(*) FILTER (WHERE status = 'TRANSLATED') AS done, count(*) FILTER (WHERE status = 'FAILED') AS failed, sum(q) AS tin, min(l_linenumber) FILTER (WHERE status = 'FAILED') AS first FROM s GROUP BY 1)
+SELECT o_orderkey AS job_id, 'out/' || o_orderkey || '.epub.report.json' AS path, CAST(coalesce(total, 0) AS BIGINT) AS total, CAST(coalesce(done, 0) AS BIGINT) AS translated, CAST(coalesce(failed, 0) AS BIGINT) AS failed, CAST(coalesce(tin, 0) AS BIGINT) AS input_tokens, CAST(coalesce(failed, 0) AS BIGINT) AS failures, first AS first_failure, CASE WHEN o_orderkey % 9 = 0 THEN 'UNRESOLVED_LINK' END AS issue, 17 AS fields FROM orders LEFT JOIN g ON l_orderkey = o_orderkey""")
+def report_fields(spark, sf_dir):
+    """Whole reports as JSON, read back: counts, the first failure and the first issue of each."""
+    o = table(spark, sf_dir, "orders")
+    done = stored_segments(spark, sf_dir)
+    key = F.col("o_orderkey").cast("string")
+    facts = o.select(F.col("o_orderkey").alias("job_id"), F.concat(F.lit("in/"), key, F.lit(".epub")).alias("input_path"), F.concat(F.lit("out/"), key, F.lit(".epub")).alias("output_path"), *[F.lit(v).alias(k) for k, v in (("source_language", "en"), ("target_language", "fr"), ("display_order", "ENGLISH_FIRST"), ("provider", "mock"), ("model", "mock-1"))], F.col("o_orderdate").cast("string").alias("created_at"), F.col("o_orderdate").cast("string").alias("completed_at"))
+    q = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("order_index"), F.floor("l_quantity").cast("long").alias("input_tokens"))
+    rows = done.select("job_id", "order_index", "status").join(q, ["job_id", "order_index"]).select("job_id", F.col("order_index").cast("string").alias("id"), F.lit("ch").alias("chapter_path"), F.col("order_index").alias("at"), "status", F.lit(None).cast("string").alias("error_message"), "input_tokens", F.lit(0).cast("long").alias("output_tokens"))
+    issues = o.where("o_orderkey % 9 = 0").select(F.col("o_orderkey").alias("job_id"), F.lit(1).alias("at"), F.lit("UNRESOLVED_LINK").alias("code"), F.lit("gone").alias("message"))
+    made = runs.reports(facts, rows, issues)
+    part = lambda p: F.get_json_object("report", f"$.{p}")
+    numbers = {"total": "totalSegments", "translated": "translatedSegments", "failed": "failedSegments", "input_tokens": "inputTokens"}
+    return made.select("job_id", "path", *[part(v).cast("long").alias(k) for k, v in numbers.items()], F.json_array_length(part("failures")).cast("long").alias("failures"), part("failures[0].id").cast("int").alias("first_failure"), part("validationIssues[0].code").alias("issue"), F.size(F.json_object_keys("report")).alias("fields"))
