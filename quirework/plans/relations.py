@@ -301,11 +301,10 @@ SELECT o_orderkey AS job_id, 'out/' || o_orderkey || '.epub.report.json' AS path
 def report_fields(spark, sf_dir):
     """Whole reports as JSON, read back: counts, the first failure and the first issue of each."""
     o = table(spark, sf_dir, "orders")
-    done = stored_segments(spark, sf_dir)
     key = F.col("o_orderkey").cast("string")
     facts = o.select(F.col("o_orderkey").alias("job_id"), F.concat(F.lit("in/"), key, F.lit(".epub")).alias("input_path"), F.concat(F.lit("out/"), key, F.lit(".epub")).alias("output_path"), *[F.lit(v).alias(k) for k, v in (("source_language", "en"), ("target_language", "fr"), ("display_order", "ENGLISH_FIRST"), ("provider", "mock"), ("model", "mock-1"))], F.col("o_orderdate").cast("string").alias("created_at"), F.col("o_orderdate").cast("string").alias("completed_at"))
-    q = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("order_index"), F.floor("l_quantity").cast("long").alias("input_tokens"))
-    rows = done.select("job_id", "order_index", "status").join(q, ["job_id", "order_index"]).select("job_id", F.col("order_index").cast("string").alias("id"), F.lit("ch").alias("chapter_path"), F.col("order_index").alias("at"), "status", F.lit(None).cast("string").alias("error_message"), "input_tokens", F.lit(0).cast("long").alias("output_tokens"))
+    status = F.when(F.col("l_returnflag") == "R", "FAILED").when(F.col("l_linestatus") == "O", "PENDING").otherwise("TRANSLATED")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").cast("string").alias("id"), F.lit("ch").alias("chapter_path"), F.col("l_linenumber").alias("at"), status.alias("status"), F.lit(None).cast("string").alias("error_message"), F.floor("l_quantity").cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"))
     issues = o.where("o_orderkey % 9 = 0").select(F.col("o_orderkey").alias("job_id"), F.lit(1).alias("at"), F.lit("UNRESOLVED_LINK").alias("code"), F.lit("gone").alias("message"))
     made = runs.reports(facts, rows, issues)
     part = lambda p: F.get_json_object("report", f"$.{p}")
