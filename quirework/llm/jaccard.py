@@ -16,16 +16,15 @@ are indexed one by one and frequent tokens by pairs within a part.  B depends on
 size class; a document is indexed under its own and the next one, so any two that can
 link meet in one.
 
-Documents with equal sets form a class that is joined once.  What signatures connect is
-a bundle; every pair that can link lies in one.  A member is held first against the
-smallest one with which it shares a signature, which settles groups of copies.  Where a
-bundle still spans several components, its members outside the largest of them meet all
-its members (a bundle beyond a block may be taken in its parts, by smallest member of a
-signature, if that means fewer rows).  Both comparisons run in units of bounded rows and
-bytes, which hold the texts, check every pair of different components (first an exact
-bound by bucketed counts, then the sets) and merge components as they go: a unit yields
-fewer links than it has members, no pairs of a group are written out, and no link between
-components is lost.
+Documents with equal sets form a class that is joined once.  A unit holds the members of
+the signatures that have one smallest member; every pair with a common signature lies in
+one.  A member is held first against the smallest one with which it shares a signature,
+which settles groups of copies.  Where a unit still spans several components, its members
+outside the largest of them meet all its members.  Both comparisons run in blocks of
+bounded rows and bytes, which hold the texts, check every pair of different components
+(first an exact bound by bucketed counts, then the sets) and merge components as they go:
+a block yields fewer links than it has members, no pairs of a group are written out, and
+no link between components is lost.
 
 Defined cases: null and empty texts (or texts without words) have no set, link with
 nothing and are their own component; fewer words than n give one shingle; every row is a
@@ -54,8 +53,8 @@ LIMIT = U(int(SPAN * (1 << 64)))
 SHARD_TOKENS, LEAST_SHARDS = 2_000_000, 64
 #: Members and shingles in a block of a unit; buckets of the counts; sets so large that their counts are not used.
 BLOCK, BLOCK_TOKENS, BUCKETS, WIDE = 1024, 400_000, 256, 65535
-#: A token is frequent if its documents do not fit a block; tokens a part.
-FREQUENT, PART = BLOCK + 1, 6
+#: Documents from which a token is frequent; tokens a part.
+FREQUENT, PART = 32, 6
 
 
 def shingle_sets(array: pa.Array, width: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -184,29 +183,20 @@ def grouped(base: DataFrame, text_col: str, width: int, num: int, den: int) -> t
     groups = sigs.groupBy("sig").agg(F.min("num").alias("low"), F.max("num").alias("high"), F.count(F.lit(1)).alias("g"), F.bit_xor(F.xxhash64("num")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "num")).alias("x2")).where("low < high")
     groups = groups.groupBy("low", "high", "g", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", "low")
     shared = checkpointed(sigs.join(groups, "sig"))
+    # a unit: the members of signatures with one smallest member; every pair that can link lies in one
     pairs = checkpointed(shared.where("num > low").select(F.col("low").alias("unit"), "num").distinct())
-    # bundles: what signatures connect; every pair that can link lies in one
-    bundles = components(pairs.select(F.col("unit").alias("a"), F.col("num").alias("b"))).select(F.col("id").alias("num"), F.col("comp").alias("bundle"))
-    bundles = checkpointed(bundles.join(facts.select("num", "n"), "num"))
+    sizes = facts.select("num", "n")
     # first each member is held against the smallest one with which it shares a signature; sizes may rule a link out
-    hub = bundles.select(F.col("num").alias("unit"), F.col("n").alias("hub"))
-    near = pairs.groupBy("num").agg(F.min("unit").alias("unit")).join(bundles.select("num", "n"), "num").join(hub, "unit").where((den * F.least("n", "hub")) >= (num * F.greatest("n", "hub")))
+    hub = sizes.select(F.col("num").alias("unit"), F.col("n").alias("hub"))
+    near = pairs.groupBy("num").agg(F.min("unit").alias("unit")).join(sizes, "num").join(hub, "unit").where((den * F.least("n", "hub")) >= (num * F.greatest("n", "hub")))
     counted = near.groupBy("unit").agg(F.lit(-1).cast("long").alias("most"), F.lit(1).alias("outer"), F.lit(0).cast("long").alias("outer_tokens"), F.count(F.lit(1)).alias("all"), F.sum("n").alias("tokens"))
     dealt = checkpointed(dealt_in_blocks(near.withColumn("comp", F.col("num")), counted).where("not o"))
     heads = dealt.select("unit", "i", "j").distinct().select("unit", "i", "j", F.lit(True).alias("o"), F.col("unit").alias("num"), F.col("unit").alias("comp"))
     linked = checkpointed(settle(dealt.unionByName(heads), texts, width, num, den))
     comp = components(linked)
-    # bundles that still span several components: members outside the largest one meet all members
-    where = checkpointed(bundles.join(comp.withColumnRenamed("id", "num"), "num", "left").select("num", "n", "bundle", F.coalesce("comp", "num").alias("comp")))
-    mixed = spanning(where.withColumnRenamed("bundle", "unit"))
-    # a large bundle may cost less in its parts: the members of signatures with one smallest member
-    parts = pairs.join(where, "num").select("bundle", "unit", "num", "n", "comp")
-    parts = parts.unionByName(parts.select("bundle", "unit").distinct().join(where.select(F.col("num").alias("unit"), "n", "comp"), "unit").select("bundle", "unit", F.col("unit").alias("num"), "n", "comp"))
-    cost = F.col("all") * F.ceil(F.col("outer") / BLOCK) + F.col("outer") * F.ceil(F.col("all") / BLOCK)
-    large = checkpointed(mixed.where(F.col("all") > BLOCK).withColumn("cost", cost).join(parts.groupBy(F.col("bundle").alias("unit")).agg(F.count(F.lit(1)).alias("in_parts")), "unit").where(F.col("cost") > F.col("in_parts")).select(F.col("unit").alias("bundle")))
-    whole = where.join(large, "bundle", "left_anti").select(F.col("bundle").alias("unit"), "num", "n", "comp")
-    split = parts.join(large, "bundle", "left_semi").select("unit", "num", "n", "comp")
-    left = checkpointed(whole.unionByName(split))
+    # units that still span several components: members outside the largest one meet all members
+    members = pairs.unionByName(pairs.select("unit", F.col("unit").alias("num")).distinct())
+    left = checkpointed(members.join(sizes, "num").join(comp.withColumnRenamed("id", "num"), "num", "left").select("unit", "num", "n", F.coalesce("comp", "num").alias("comp")))
     more = checkpointed(settle(dealt_in_blocks(left, spanning(left)), texts, width, num, den))
     if more.limit(1).count():
         comp = components(linked.unionByName(more))
