@@ -23,8 +23,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -114,10 +116,13 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     if "(at)" in text or "[at]" in text or " at " in text:
         if " dot " in text or "(dot)" in text or "[dot]" in text or "(at)" in text or "[at]" in text:
             found += [(m.start(), m.end(), "email") for m in LOOSE["email"].finditer(text)]
-    taken = [(a, b) for a, b, _ in base]
+    # base spans of different kinds may overlap: of those that start before b, only the furthest end counts
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
+    done = 0
     for a, b, kind in sorted(found, key=lambda s: (s[0], -s[1])):
-        if all(b <= x or a >= y for x, y in taken):
-            taken.append((a, b))
+        before = bisect_left(starts, b)
+        if a >= done and (not before or reach[before - 1] <= a):
+            done = b
             out.append((a, b, kind, False))
     return out
 

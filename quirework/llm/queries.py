@@ -121,6 +121,16 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 35)) AS p FROM win SEMI JOI
 one AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w),
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM one ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+    "op10_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+d AS (SELECT doc_id, r, list_sort(list_distinct(CASE WHEN len(ws) >= 4 THEN list_transform(list_zip(ws, ws[2:], ws[3:], ws[4:], true), lambda x: x[1] || ' ' || x[2] || ' ' || x[3] || ' ' || x[4]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS s FROM w),
+c AS (SELECT s, min(r) AS c, min(doc_id) AS least, len(s) AS n FROM d WHERE len(s) > 0 GROUP BY s),
+t AS (SELECT c, n, unnest(s) AS t FROM c),
+l AS (SELECT a.c AS a, b.c AS b FROM t a JOIN t b ON a.t = b.t AND a.c < b.c AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+m AS (SELECT reach.a AS c, min(least) AS far FROM reach JOIN c ON c.c = reach.b GROUP BY 1)
+SELECT doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(least(c.least, far), doc_id) AS component_id FROM d LEFT JOIN c ON d.s = c.s LEFT JOIN m USING (c)""",
     "op11_fill_in_middle": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents),
 h AS (SELECT *, CAST(length(text) AS BIGINT) AS n, list_transform(range(4), lambda k: CAST('0x' || substr(hex, CAST(8 * k + 1 AS BIGINT), 8) AS BIGINT)) AS h FROM d),

@@ -4,14 +4,16 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.llm import fim, jaccard, neardup_vectors, ngram_lm, resampling, substring_dedup
+from quirework.llm import fim, jaccard, neardup_vectors, ngram_lm, pii, resampling, substring_dedup
 from quirework.llm._text import NUM, numbered
 
 DOCS = "doc_id long, text string, n long, form string, output string, marked string, weight long, rank long, _row long, id long"
@@ -224,3 +226,46 @@ def test_operators_on_rows_that_were_multiplied(spark, tmp_path, name):
     assert sorted(r.doc_id for r in jaccard.distinct(frame, width=5, num=80, den=100).select("doc_id").collect()) == [0, 1, 2, 3]
     scored = ngram_lm.score(frame, F.lit(True)).select("doc_id", "n_tokens", "train_tokens").collect()
     assert sorted(map(tuple, scored)) == sorted([(k, 41, 328) for k in range(4)] * 2)
+
+
+def test_frequent_tokens_are_indexed_by_pairs(spark, sf_dir):
+    texts = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/documents.parquet").select("text").toPandas()["text"]
+    sets, _ = jaccard.shingle_sets(pa.array(texts), 4)
+    names, many = np.unique(np.concatenate(sets), return_counts=True)
+    pairs = singles = 0
+    for x in sets:
+        held = many[np.searchsorted(names, x)]
+        order = np.lexsort((x, held))
+        order = order[held[order] > 1]
+        often = held[order] >= jaccard.FREQUENT
+        every = jaccard.signatures(len(x), len(x) - len(order), x[order], often, 85, 100)
+        rare = jaccard.signatures(len(x), len(x) - len(order), x[order][~often], often[~often], 85, 100)
+        pairs, singles = pairs + len(every) - len(rare), singles + len(rare)
+    assert pairs > 0
+    assert singles > 0
+
+
+def test_looser_spans_never_touch_others():
+    r = random.Random(5)
+    for _ in range(300):
+        text = "".join(r.choice(["192.168.0.7", "4111 1111 1111 1111", "+44 20 7946 0018", "a@b.example", " x (at) y dot com ", "1.2.3.999", "0049 30 123456", ".", " ", "7", "word "]) for _ in range(r.randrange(1, 25)))
+        base = pii.base_spans(text)
+        proposals = []
+        for kind in ("ip", "card", "phone"):
+            proposals += [(m.start(), m.end(), kind) for m in pii.LOOSE[kind].finditer(text)]
+        proposals += [(m.start(), m.end(), "email") for m in pii.LOOSE["email"].finditer(text)]
+        taken, expected = [s[:2] for s in base], [(*s, True) for s in base]
+        for a, b, kind in sorted(proposals, key=lambda s: (s[0], -s[1])):
+            if all(b <= x or a >= y for x, y in taken):
+                taken.append((a, b))
+                expected.append((a, b, kind, False))
+        got = pii.candidates(text, base)
+        # looser addresses are sought only where the text spells out an "at"
+        assert got == [s for s in expected if s[3] or s[2] != "email" or " at " in text or "(at)" in text]
+
+
+def test_many_spans_in_one_text_take_time_in_proportion():
+    text = "call 0049 30 1234567 or 10.20.30.400 and 4111 1111 1111 1112; " * 16000
+    began = time.monotonic()
+    assert len(pii.candidates(text, pii.base_spans(text))) >= 16000
+    assert time.monotonic() - began < 20
