@@ -9,16 +9,23 @@ Where one candidate has a root to itself, its files are numbered in order (in tw
 candidate that all files share is many tasks) and step over the taken places of the chain: the j-th file, from 0, is behind
 as many taken places r_i (the i-th, from 1) as have ``r_i - i <= j``.  Only roots with several candidates are gone
 through file by file, each root by itself.
+
+Paths and the last names of a chain may be long, of some thousand characters a file.  Where a path is made of
+narrower columns, those alone are shuffled: it is made once to read its candidate off, which a written
+table keeps, and once for the result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.functions import text as t
 from quirework.operators import segments
+from quirework.session import shared_folder
 
 
 def stem(name: Column) -> Column:
@@ -67,19 +74,29 @@ def place(name: Column) -> Column:
 
 def chained(name: Column, at: Column) -> Column:
     """The name at a place of a candidate's chain."""
-    tail = F.when(at > 1, F.concat(F.lit("-"), F.array_join(F.transform(F.sequence(F.lit(2), F.greatest(at.cast("int"), F.lit(2))), lambda x: x.cast("string")), "-"))).otherwise(F.lit(""))
+    tail = F.when(at > 1, F.concat(F.lit("-"), F.array_join(F.sequence(F.lit(2), F.greatest(at.cast("int"), F.lit(2))).cast("array<string>"), "-"))).otherwise(F.lit(""))
     return F.concat(stem(name), tail, ending(name))
 
 
-def free_names(files: DataFrame, group: str, order: str, path: str) -> DataFrame:
-    """(group, order, path, new_path); ``order`` is an integer, paths are distinct within a group."""
-    rows = files.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(path).alias("p"))
-    safe = F.coalesce(F.col("p").rlike(t.SAFE_PATH), F.lit(False))
-    kept = rows.where(safe).select("g", "o", "p", F.col("p").alias("name"))
-    loose = rows.where(~safe).withColumn("c", t.safe_path(F.col("p")))
-    loose = loose.withColumn("root", root(F.col("c")))
+def free_names(files: DataFrame, group: str, order: str, path: str, made: Column | None = None) -> DataFrame:
+    """(group, order, path, new_path); ``order`` is an integer, paths are distinct within a group.
+
+    ``made`` says how ``path``, which is no column of ``files`` then, is made of the columns it has.
+    """
+    spark = files.sparkSession
+    # so many tasks, whatever the size of the narrow rows that long names are made of
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    whole = F.col(path) if made is None else made
+    rows = files if made is None else files.repartition(parts, group, order)
+    safe = F.coalesce(whole.rlike(t.SAFE_PATH), F.lit(False))
+    rows = rows.select(F.monotonically_increasing_id().alias("id"), F.struct("*").alias("p"), F.col(group).alias("g"), F.col(order).alias("o"), safe.alias("safe"), F.when(safe, whole).otherwise(t.safe_path(whole)).alias("c"))
+    to = f"{shared_folder(spark)}/names-{uuid.uuid4().hex}"
+    rows.write.parquet(to)
+    rows = spark.read.schema(rows.schema).parquet(to)
+    kept = rows.where("safe").select("g", "p", "c", F.lit(1).cast("long").alias("at"))
+    loose = rows.where("not safe").select("id", "g", "o", "p", "c").withColumn("root", root(F.col("c")))
     roots = loose.groupBy("g", "root").agg((F.min("c") == F.max("c")).alias("alone"))
-    taken = kept.select("g", F.col("p").alias("x"), root(F.col("p")).alias("root"))
+    taken = kept.select("g", F.col("c").alias("x"), root(F.col("c")).alias("root"))
     same = lambda a, b, keys: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
     loose = loose.alias("l").join(roots.alias("r"), same("l", "r", ("g", "root"))).select("l.*", "alone")
     taken = taken.alias("t").join(roots.alias("r"), same("t", "r", ("g", "root"))).select("t.*", "alone")
@@ -88,21 +105,23 @@ def free_names(files: DataFrame, group: str, order: str, path: str) -> DataFrame
     held = taken.where("alone").select("g", F.explode(F.array(F.struct(F.col("x").alias("c"), F.lit(1).alias("at")), F.struct(parent(F.col("x")).alias("c"), place(F.col("x")).alias("at")))).alias("y")).select("g", "y.c", "y.at").distinct()
     gaps = held.withColumn("i", F.row_number().over(Window.partitionBy("g", "c").orderBy("at"))).groupBy("g", "c").agg(F.collect_list(F.col("at") - F.col("i")).alias("gaps"))
     one = segments.running(loose.where("alone").withColumn("n", F.lit(1)), ["g", "c"], "o", {"j": "n"})
-    one = one.alias("l").join(gaps.alias("h"), same("l", "h", ("g", "c")), "left").select("l.g", "l.o", "l.p", "l.c", "l.j", "h.gaps")
+    one = one.alias("l").join(gaps.alias("h"), same("l", "h", ("g", "c")), "left").select("l.p", "l.c", "l.j", "h.gaps")
     behind = F.coalesce(F.size(F.filter("gaps", lambda x: x <= F.col("j"))), F.lit(0))
-    one = one.select("g", "o", "p", chained(F.col("c"), F.col("j") + 1 + F.when(F.col("gaps").isNull(), 0).otherwise(behind)).alias("name"))
+    one = one.select("p", "c", (F.col("j") + 1 + F.when(F.col("gaps").isNull(), 0).otherwise(behind)).alias("at"))
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        used = set(frame.loc[frame.o.isna(), "c"])
-        mine = frame[frame.o.notna()].sort_values("o")
-        names = [first_free(c, used) for c in mine.c]
-        return mine.assign(name=names)[["g", "o", "p", "name"]]
-
-    both = loose.where("not alone").select("g", "root", "o", "p", "c").unionByName(taken.where("not alone").select("g", "root", F.lit(None).cast(kinds["o"]).alias("o"), F.lit(None).cast("string").alias("p"), F.col("x").alias("c")))
-    several = both.groupBy("g", "root").applyInPandas(settle, f"g {kinds['g']}, o {kinds['o']}, p string, name string")
-    return kept.unionByName(one).unionByName(several).select(F.col("g").alias(group), F.col("o").alias(order), F.col("p").alias(path), F.col("name").alias("new_path"))
+        used = set(frame.loc[frame.id < 0, "c"])
+        mine = frame[frame.id >= 0].sort_values("o")
+        return pd.DataFrame({"id": mine.id, "name": [first_free(c, used) for c in mine.c]})
+
+    both = loose.where("not alone").select("g", "root", "o", "id", "c").unionByName(taken.where("not alone").select("g", "root", F.lit(0).cast(kinds["o"]).alias("o"), F.lit(-1).cast("long").alias("id"), F.col("x").alias("c")))
+    several = both.groupBy("g", "root").applyInPandas(settle, "id long, name string")
+    several = loose.where("not alone").join(several, "id").select("p", F.col("name").alias("c"), F.lit(1).cast("long").alias("at"))
+    named = kept.drop("g").unionByName(one).unionByName(several).select("p.*", F.col("c").alias("_c"), F.col("at").alias("_at"))
+    named = named if made is None else named.repartition(parts, group, order)
+    return named.select(group, order, whole.alias(path), chained(F.col("_c"), F.col("_at")).alias("new_path"))
 
 
 def first_free(name: str, used: set[str]) -> str:

@@ -445,12 +445,14 @@ w AS (SELECT book, q, used, q[1].c AS c, 2 AS n, CAST(NULL AS BIGINT) AS page_id
 SELECT book, page_id, path, new_path FROM w WHERE new_path IS NOT NULL UNION ALL SELECT book, page_id, path, path FROM c WHERE safe""")
 def sanitize_collisions(spark, sf_dir):
     """Pages as files of seven books, many of whose names fall together: every file gets a name of its own."""
-    letter = F.concat(F.lit("text/"), F.substring(F.md5("url"), 1, 1))
-    two = lambda k: F.when(F.col("page_id") % k == 0, "-2").otherwise("")
-    loose = F.concat(letter, F.repeat(F.lit("!"), (F.floor(F.col("page_id") / 7) + 1).cast("int")), two(3), F.lit(".html"))
-    path = F.when(F.col("page_id") % 5 == 0, F.concat(letter, two(10), F.lit(".html"))).otherwise(loose)
-    files = table(spark, sf_dir, "pages").groupBy((F.col("page_id") % 7).alias("book"), path.alias("path")).agg(F.min("page_id").alias("page_id"))
-    return names.free_names(files, "book", "page_id", "path")
+    bare = F.col("page_id") % 5 == 0
+    marks = F.when(bare, 0).otherwise(F.expr("page_id div 7") + 1).cast("int")
+    two = F.when(bare, F.col("page_id") % 10 == 0).otherwise(F.col("page_id") % 3 == 0)
+    pages = table(spark, sf_dir, "pages").where("page_id is not null and url is not null")
+    # a path has as many marks as there are pages ahead of it in its book, so files are told apart by what paths are made of
+    files = pages.groupBy((F.col("page_id") % 7).alias("book"), F.substring(F.md5("url"), 1, 1).alias("letter"), F.greatest(marks, F.lit(0)).alias("marks"), two.alias("two")).agg(F.min("page_id").alias("page_id"))
+    path = F.concat(F.lit("text/"), F.col("letter"), F.repeat(F.lit("!"), F.col("marks")), F.when(F.col("two"), "-2").otherwise(""), F.lit(".html"))
+    return names.free_names(files, "book", "page_id", "path", path)
 
 
 @query("SELECT page_id, nullif(regexp_extract('https://drive.example/file/d/' || md5(url) || '/view', '/file/d/([A-Za-z0-9_-]+)', 1), '') AS by_path, nullif(regexp_extract(url, '[?&]id=([A-Za-z0-9_-]+)', 1), '') AS by_name FROM pages")

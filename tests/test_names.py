@@ -1,11 +1,15 @@
 """Free names over many files against the loop over one archive."""
 
 import random
+import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quirework.functions import text as t
 from quirework.operators import names, segments
+from quirework.plans import catalogue
 from quirework.sources import epub
 
 
@@ -37,3 +41,51 @@ def test_names_equal_the_loop(spark, monkeypatch, bucket):
     for k in books:
         mine = [x.new_path for x in got if x.book == k]
         assert len(set(mine)) == len(mine)
+
+
+def test_paths_made_of_other_columns(spark):
+    r = random.Random(12)
+    rows = [(k, o, r.choice("ab"), r.choice((0, 1, 2, 31, 32, 33, 1023, 1057)), r.choice((".x", "-2.x", ".x!!"))) for k in range(3) for o in range(60)]
+    rows = sorted({(k, *rest): (k, o, *rest) for k, o, *rest in rows}.values())
+    files = spark.createDataFrame(rows, "book int, ord int, letter string, marks int, ext string")
+    made = F.concat("letter", F.repeat(F.lit("! "), F.col("marks")), "ext")
+    got = names.free_names(files, "book", "ord", "path", made)
+    assert got.columns == ["book", "ord", "path", "new_path"]
+    want = {}
+    for k in range(3):
+        paths = {a + "! " * n + b: o for j, o, a, n, b in rows if j == k}
+        want |= {(k, paths[p], p): n for p, n in epub.renamed(list(paths)).items()}
+    assert {(x.book, x.ord, x.path): x.new_path for x in got.collect()} == want
+    plain = names.free_names(files.select("book", "ord", made.alias("path")), "book", "ord", "path")
+    assert {(x.book, x.ord, x.path): x.new_path for x in plain.collect()} == want
+
+
+def test_long_parts(spark):
+    parts = ["!" * 5000 + ".html", "a" + "é" * 2000 + "!" * 3000 + "é", "x.!" + "!" * 2000, "=" * 1025 + "̸" + "=" * 1023 + "a.b", " " * 33 + "#" * 4000 + " .", "." * 40 + "y", ".!", "a.", "\n" * 1025 + "b\n.c\n", "漢" * 2000]
+    paths = [*parts, *(f"{a}/{b}" for a in parts for b in parts)]
+    got = spark.createDataFrame([(p,) for p in paths], ["p"]).select("p", t.safe_path(F.col("p")).alias("got")).collect()
+    assert {x.p: x.got for x in got} == {p: "/".join(map(epub.safe_part, p.split("/"))) for p in paths}
+
+
+def pages(spark, folder, rows):
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{folder}/pages.parquet")
+    return catalogue.sanitize_collisions(spark, str(folder))
+
+
+def test_odd_pages(spark, tmp_path):
+    ids = [None, None, 0, *range(-80, 90, 3), 5, 10, 20]
+    rows = [(i, f"u{k % 5}") for k, i in enumerate(ids)] + [(3, None), (6, None)]
+    got = [tuple(x) for x in pages(spark, tmp_path, rows).select("book", "page_id", "path", "new_path").collect()]
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(got) == sorted(c.sql(catalogue.SQL["sanitize_collisions"]).fetchall())
+
+
+def test_pages_with_long_paths(spark, tmp_path):
+    """A hundred paths of a million characters; they took minutes."""
+    rows = [(7_000_001 + 70 * k, f"u{k}") for k in range(100)]
+    began = time.time()
+    got = pages(spark, tmp_path, rows).agg(F.count(F.lit(1)), F.countDistinct("book", "new_path"), F.sum(F.length("path").cast("long")), F.max(F.length("new_path"))).first()
+    assert time.time() - began < 60
+    ends = sum(len("text/a.html") + 2 * (i % 3 == 0) for i, _ in rows)
+    assert list(got)[:3] == [100, 100, sum(i // 7 + 1 for i, _ in rows) + ends] and got[3] < 60
